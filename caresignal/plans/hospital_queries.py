@@ -331,7 +331,7 @@ SELECT k.records, k.hospitals, k.states_territories, k.conditions, k.valid_err_r
        s.numeric_readmission_records, s.suppressed_or_non_numeric_readmission_records,
        c.persistent_high AS persistent_high_err_hospitals, c.persistent_low AS persistent_low_err_hospitals,
        CAST(5 AS BIGINT) AS persistent_signal_min_conditions,
-       p.period_start AS reporting_period_start, p.period_end AS reporting_period_end
+       CAST(p.period_start AS VARCHAR) AS reporting_period_start, CAST(p.period_end AS VARCHAR) AS reporting_period_end
 FROM (SELECT count(*) AS records, count(DISTINCT facility_id) AS hospitals, count(DISTINCT state) AS states_territories,
              count(DISTINCT condition) AS conditions, count(err) AS valid_err_records, avg(err) AS mean_err,
              median(err) AS median_err, 100.0 * count(*) FILTER (WHERE err > 1) / count(err) AS err_above_1_pct
