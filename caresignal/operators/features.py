@@ -78,6 +78,7 @@ class FittedPrep:
     stds: dict[str, float] = field(default_factory=dict)
     modes: dict[str, str] = field(default_factory=dict)
     kept: dict[str, list[str]] = field(default_factory=dict)
+    pooled: dict[str, list[str]] = field(default_factory=dict)
     scale: bool = True
 
     def to_dict(self) -> dict:
@@ -99,14 +100,19 @@ def fit_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
         modes = categorical_modes(category_counts(train, categorical))
         fp.modes = {r["feature"]: r["mode"] for r in modes.collect()}
         kept: dict[str, list[str]] = {c: [] for c in categorical}
-        for r in pooled.where("kept").select("feature", "value").collect():
-            kept[r["feature"]].append(r["value"])
+        rare: dict[str, list[str]] = {c: [] for c in categorical}
+        # one entry per distinct training level: bounded by the features' cardinality
+        for r in pooled.select("feature", "value", "kept").collect():
+            (kept if r["kept"] else rare)[r["feature"]].append(r["value"])
         fp.kept = {k: sorted(v) for k, v in kept.items()}
+        fp.pooled = {k: sorted(v) for k, v in rare.items()}
     return fp
 
 
 def apply_prep(df: DataFrame, fp: FittedPrep) -> DataFrame:
-    """Narrow projection: impute, scale, pool. Adds `_n_<f>` and `_c_<f>` columns."""
+    """Narrow projection: impute, scale, pool. Adds `_n_<f>` and `_c_<f>` columns.
+    Levels seen in training but rare become the pooled level; levels never seen
+    stay as they are and encode to an all-zero block."""
     cols = []
     for c in fp.numeric:
         v = F.coalesce(col_of(c).cast("double"), F.lit(fp.medians.get(c)))
@@ -116,16 +122,17 @@ def apply_prep(df: DataFrame, fp: FittedPrep) -> DataFrame:
         cols.append(F.coalesce(v, F.lit(0.0)).alias(f"_n_{c}"))
     for c in fp.categorical:
         v = F.coalesce(col_of(c).cast("string"), F.lit(fp.modes.get(c)))
-        kept = fp.kept.get(c, [])
-        pooled = F.when(v.isin(kept), v).when(v.isNull(), F.lit(None)).otherwise(F.lit(INFREQUENT)) \
-            if kept else F.lit(INFREQUENT)
+        rare = fp.pooled.get(c, [])
+        pooled = F.when(v.isin(rare), F.lit(INFREQUENT)).otherwise(v) if rare else v
         cols.append(pooled.alias(f"_c_{c}"))
     return df.select("*", *cols)
 
 
 def encoder_stages(fp: FittedPrep, output: str = "features") -> list:
-    """MLlib stages: index pooled levels (unseen -> extra index), one-hot with the
-    extra index dropped so an unseen level encodes as all zeros."""
+    """MLlib stages: index the pooled levels (unseen and missing -> the extra
+    'keep' index, which is the last category), one-hot with the last category
+    dropped so an unseen level encodes as all zeros while every known level keeps
+    its own column."""
     stages = []
     ohe_in, ohe_out = [], []
     for c in fp.categorical:
@@ -134,7 +141,7 @@ def encoder_stages(fp: FittedPrep, output: str = "features") -> list:
         ohe_in.append(f"_i_{c}")
         ohe_out.append(f"_o_{c}")
     if ohe_in:
-        stages.append(OneHotEncoder(inputCols=ohe_in, outputCols=ohe_out, dropLast=True, handleInvalid="keep"))
+        stages.append(OneHotEncoder(inputCols=ohe_in, outputCols=ohe_out, dropLast=True))
     stages.append(VectorAssembler(inputCols=[f"_n_{c}" for c in fp.numeric] + ohe_out, outputCol=output))
     return stages
 

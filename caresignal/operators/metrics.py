@@ -42,13 +42,16 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
     """
     keys = list(keys)
     o = -F.col(order) if descending else F.col(order)
-    qs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(F.percentile_approx(o, qs, 10000).alias("_bounds"))
-    if keys:
-        x = df.join(bounds, keys)
+    if buckets > 1:
+        qs = [i / buckets for i in range(1, buckets)]
+        bounds = df.groupBy(*keys).agg(F.percentile_approx(o, qs, 10000).alias("_bounds"))
+        if keys:
+            x = df.join(bounds, keys)
+        else:
+            x = df.withColumn("_bounds", bounds.select("_bounds").scalar())
+        x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < o))).drop("_bounds")
     else:
-        x = df.withColumn("_bounds", bounds.select("_bounds").scalar())
-    x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < o))).drop("_bounds")
+        x = df.withColumn("_bk", F.lit(0))
     x = x.withColumn("_o", o)
     inner = Window.partitionBy(*keys, "_bk").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     x = x.select("*", *[F.sum(v).over(inner).alias(f"_in_{v}") for v in values])

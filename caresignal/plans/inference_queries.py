@@ -274,3 +274,19 @@ def q_clean_export_roundtrip(spark, sf_dir):
     sinks.write_clean_export(hospital_table(spark, sf_dir), path, fmt="parquet")
     back = spark.read.parquet(path).where(F.col("Condition") == "COPD")  # partition pruning
     return finish(back.select("Facility_ID", "Excess_Readmission_Ratio", "Condition"))
+
+
+# ---- I3 / I5: batch scoring of valid requests with the saved bundle -----------------------------
+@register("batch_score")
+def q_batch_score(spark, sf_dir):
+    from ..operators import models
+    from .model_queries import bundle_path
+    fm, manifest = models.load_bundle(spark, bundle_path(spark, sf_dir))
+    types = manifest["feature_types"]
+    expected = manifest["input_features"]
+    v = inference.validate_requests(request_table(spark, sf_dir), expected).where("status = 'valid'")
+    rows = inference.normalize_requests(v, {c: types[c] for c in expected})
+    scored = fm.score(rows)
+    out = inference.response_rows(scored, manifest["model_id"], manifest["clinical_status"])
+    return out.select("request_id", "model_id", "research_probability", "research_threshold", "threshold_signal",
+                      "clinical_status", "public_patient_probability_allowed")
