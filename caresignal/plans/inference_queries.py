@@ -290,3 +290,21 @@ def q_batch_score(spark, sf_dir):
     out = inference.response_rows(scored, manifest["model_id"], manifest["clinical_status"])
     return out.select("request_id", "model_id", "research_probability", "research_threshold", "threshold_signal",
                       "clinical_status", "public_patient_probability_allowed")
+
+
+# ---- streaming: the same responses produced by a Structured Streaming query -----------------------
+@register("stream_responses")
+def q_stream_responses(spark, sf_dir):
+    from ..operators import models
+    from ..streaming.requests import start_request_stream
+    from .model_queries import bundle_path
+    fm, manifest = models.load_bundle(spark, bundle_path(spark, sf_dir))
+    request_table(spark, sf_dir)                       # makes sure the request files exist
+    source = _WRITTEN[(id(spark.sparkContext), sf_dir)]
+    reg_path = scratch_dir(spark, "registry")
+    write_registry(spark, reg_path)
+    sink, ckpt = scratch_dir(spark, "responses"), scratch_dir(spark, "responses-ckpt")
+    q = start_request_stream(spark, source, sink, ckpt, fm, manifest, readers.registry_scan(spark, reg_path),
+                             available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
