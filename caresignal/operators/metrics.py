@@ -64,29 +64,55 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
                     *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{v}{suffix}") for v in values])
 
 
-def roc_auc(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = (),
-            buckets: int = 256) -> DataFrame:
-    """Exact ROC-AUC (ties count one half), per group. NULL if a class is absent."""
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the session's shared checkpoint folder: the score
+    table feeds several passes (quantiles, windows, totals) and must not send
+    each of them back to recompute the scored input."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def curve_metrics(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = (),
+                  buckets: int = 256, materialize: bool = True) -> DataFrame:
+    """Exact ROC-AUC (ties count one half) and average precision (step sum over
+    distinct thresholds, no interpolation) per group, from ONE running sum.
+
+    Ascending inclusive sums give the negatives below each score; the counts at
+    or above a score (for precision) are totals minus the ascending sums."""
+    keys = list(keys)
     sc = score_counts(df, label, score, keys)
-    c = running_totals(sc, "s", ["neg"], keys, buckets=buckets)
-    # positives x (negatives strictly below + half the tied negatives), in integers
-    term = (F.col("pos").cast("decimal(38,0)") *
-            (2 * (F.col("neg_cum") - F.col("neg")) + F.col("neg")).cast("decimal(38,0)"))
-    g = c.groupBy(*keys).agg(F.sum(term).alias("_num"), F.sum("pos").alias("n_pos"),
-                             F.sum("neg").alias("n_neg"))
+    if materialize:
+        sc = _materialize(sc)
+    c = running_totals(sc, "s", ["pos", "neg"], keys, buckets=buckets)
+    tot = sc.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    c = c.join(tot, keys) if keys else c.select(
+        "*", tot.select("n_pos").scalar().alias("n_pos"), tot.select("n_neg").scalar().alias("n_neg"))
+    # positives x (negatives strictly below + half the tied negatives), kept in integers
+    auc_term = (F.col("pos").cast("decimal(38,0)") *
+                (2 * (F.col("neg_cum") - F.col("neg")) + F.col("neg")).cast("decimal(38,0)"))
+    tp_at = F.col("n_pos") - F.col("pos_cum") + F.col("pos")     # scores >= s
+    fp_at = F.col("n_neg") - F.col("neg_cum") + F.col("neg")
+    g = c.groupBy(*keys).agg(F.sum(auc_term).alias("_auc"),
+                             F.sum(F.col("pos") * (tp_at / (tp_at + fp_at))).alias("_ap"),
+                             F.first("n_pos").alias("n_pos"), F.first("n_neg").alias("n_neg"))
     den = F.col("n_pos").cast("double") * F.col("n_neg").cast("double") * 2
-    return g.select(*keys, F.when(den > 0, F.col("_num").cast("double") / den).alias("roc_auc"),
-                    "n_pos", "n_neg")
+    return g.select(*keys,
+                    F.when(den > 0, F.col("_auc").cast("double") / den).alias("roc_auc"),
+                    F.when(F.col("n_pos") > 0, F.col("_ap") / F.col("n_pos")).alias("average_precision"),
+                    F.col("n_pos").cast("bigint").alias("n_pos"), F.col("n_neg").cast("bigint").alias("n_neg"))
+
+
+def roc_auc(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = (),
+            buckets: int = 256) -> DataFrame:
+    """Exact ROC-AUC per group (H4). NULL if a class is absent."""
+    return curve_metrics(df, label, score, keys, buckets).select(*keys, "roc_auc", "n_pos", "n_neg")
 
 
 def average_precision(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = (),
                       buckets: int = 256) -> DataFrame:
-    """Average precision as a step sum over distinct thresholds (no interpolation)."""
-    sc = score_counts(df, label, score, keys)
-    c = running_totals(sc, "s", ["pos", "neg"], keys, descending=True, buckets=buckets)
-    prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
-    g = c.groupBy(*keys).agg(F.sum(F.col("pos") * prec).alias("_num"), F.sum("pos").alias("_p"))
-    return g.select(*keys, F.when(F.col("_p") > 0, F.col("_num") / F.col("_p")).alias("average_precision"))
+    """Average precision per group (H5); not the trapezoid area."""
+    return curve_metrics(df, label, score, keys, buckets).select(*keys, "average_precision")
 
 
 def brier_prevalence(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = ()) -> DataFrame:
@@ -99,13 +125,12 @@ def brier_prevalence(df: DataFrame, label: str = "y", score: str = "p", keys: Se
 
 def discrimination(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """roc_auc, pr_auc, brier_score, prevalence per group."""
-    a = roc_auc(df, label, score, keys).select(*keys, "roc_auc")
-    b = average_precision(df, label, score, keys).withColumnRenamed("average_precision", "pr_auc")
+    keys = list(keys)
+    a = curve_metrics(df, label, score, keys).withColumnRenamed("average_precision", "pr_auc")
     c = brier_prevalence(df, label, score, keys).select(*keys, "brier_score", "prevalence")
     if keys:
-        return a.join(b, list(keys)).join(c, list(keys))
-    return a.select("roc_auc", b.select("pr_auc").scalar().alias("pr_auc"),
-                    c.select("brier_score").scalar().alias("brier_score"),
+        return a.join(c, keys).select(*keys, "roc_auc", "pr_auc", "brier_score", "prevalence")
+    return a.select("roc_auc", "pr_auc", c.select("brier_score").scalar().alias("brier_score"),
                     c.select("prevalence").scalar().alias("prevalence"))
 
 

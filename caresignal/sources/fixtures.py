@@ -31,7 +31,7 @@ def hospital_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     # Pre-aggregate lineitem to (supplier, part) before the join: a hot part or
     # supplier collapses to one row per pair ahead of the shuffle.
-    pre = (li.groupBy("l_suppkey", "l_partkey")
+    pre = (li.where(F.col("l_suppkey").isNotNull()).groupBy("l_suppkey", "l_partkey")
            .agg(F.count(F.lit(1)).alias("n"),
                 F.count_if(_returned(F.col("l_returnflag"), F.col("l_suppkey"), F.col("l_linenumber"))).alias("r")))
     m = F.col("p_size") % 6
