@@ -90,3 +90,19 @@ def safe_ratio(num: Column, den: Column) -> Column:
 def rnd(c: Column, digits: int) -> Column:
     """Round half-up on the decimal value; NULL stays NULL."""
     return F.round(c.cast("double"), digits)
+
+
+def count_sorted_below(sorted_arr: Column, value: Column, length: int, inclusive: bool = False) -> Column:
+    """Number of elements of an ascending array that are < value (<= if
+    `inclusive`), by binary search unrolled into log2(length) codegen-friendly
+    steps (no per-row lambda)."""
+    pos = F.lit(0)
+    step = 1
+    while step * 2 <= length:
+        step *= 2
+    while step >= 1:
+        probe = F.try_element_at(sorted_arr, pos + F.lit(step))
+        ok = (probe <= value) if inclusive else (probe < value)
+        pos = pos + F.when(F.coalesce(ok, F.lit(False)), F.lit(step)).otherwise(F.lit(0))
+        step //= 2
+    return pos

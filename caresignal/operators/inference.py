@@ -32,8 +32,8 @@ def _empty(v: Column) -> Column:
 
 def _py_list(arr: Column) -> Column:
     """['a', 'b'] text of a string array, as the service reports field lists."""
-    return F.concat(F.lit("["), F.array_join(F.transform(arr, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "),
-                    F.lit("]"))
+    inner = F.array_join(arr, "', '")
+    return F.when(F.size(arr) > 0, F.concat(F.lit("['"), inner, F.lit("']"))).otherwise(F.lit("[]"))
 
 
 def validate_requests(req: DataFrame, expected: Sequence[str], numeric: Sequence[str] = NUMERIC_FIELDS,
@@ -44,11 +44,11 @@ def validate_requests(req: DataFrame, expected: Sequence[str], numeric: Sequence
     pl = col_of(payload)
     exp_arr = F.array(*[F.lit(c) for c in expected])
     unknown = F.array_sort(F.array_except(F.map_keys(pl), exp_arr))
-    missing = F.filter(F.array(*[F.lit(c) for c in required]), lambda f: _empty(F.element_at(pl, f)))
+    # checks unrolled over the fixed field lists: plain expressions, no per-row lambda
+    missing = F.array_compact(F.array(*[F.when(_empty(pl[c]), F.lit(c)) for c in required]))
     num_in_order = [c for c in expected if c in set(numeric)]
-    bad_num = F.filter(F.array(*[F.lit(c) for c in num_in_order]),
-                       lambda f: ~_empty(F.element_at(pl, f)) &
-                       F.trim(F.element_at(pl, f)).try_cast("double").isNull())
+    bad_num = F.array_compact(F.array(*[
+        F.when(~_empty(pl[c]) & F.trim(pl[c]).try_cast("double").isNull(), F.lit(c)) for c in num_in_order]))
     err = (F.when(~F.coalesce(col_of(ack), F.lit(False)), F.lit("Research-only acknowledgement is required."))
            .when(F.size(unknown) > 0, F.concat(F.lit("Unknown fields: "), _py_list(unknown)))
            .when(F.size(missing) > 0, F.concat(F.lit("Missing required research fields: "), _py_list(missing)))
@@ -73,9 +73,9 @@ def entered_drivers(req: DataFrame, fields: Sequence[str] = GLOBAL_DRIVER_FIELDS
                     payload: str = "payload") -> DataFrame:
     """Adds `entered_global_driver_fields`: (feature, value) for present driver fields."""
     pl = col_of(payload)
-    arr = F.transform(F.array(*[F.lit(f) for f in fields]),
-                      lambda f: F.struct(f.alias("feature"), F.element_at(pl, f).alias("value")))
-    return req.withColumn("entered_global_driver_fields", F.filter(arr, lambda x: ~_empty(x["value"])))
+    arr = F.array_compact(F.array(*[
+        F.when(~_empty(pl[f]), F.struct(F.lit(f).alias("feature"), pl[f].alias("value"))) for f in fields]))
+    return req.withColumn("entered_global_driver_fields", arr)
 
 
 def response_rows(scored: DataFrame, model_id: str, clinical_status: str,

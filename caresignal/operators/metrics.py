@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import col_of, safe_ratio
+from ..functions.columns import col_of, count_sorted_below, safe_ratio
 from ..functions.constants import REPORT_GRID_PCT, SELECTION_GRID_PCT
 
 
@@ -49,7 +49,7 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
             x = df.join(bounds, keys)
         else:
             x = df.withColumn("_bounds", bounds.select("_bounds").scalar())
-        x = x.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b < o))).drop("_bounds")
+        x = x.withColumn("_bk", count_sorted_below(F.col("_bounds"), o, len(qs))).drop("_bounds")
     else:
         x = df.withColumn("_bk", F.lit(0))
     x = x.withColumn("_o", o)
@@ -185,7 +185,7 @@ def threshold_table(df: DataFrame, thresholds: Sequence[float] = tuple(grid(REPO
     ts = sorted(float(t) for t in thresholds)
     g = F.array(*[F.lit(t) for t in ts])
     sc = score_counts(df, label, score, keys)
-    cell = sc.withColumn("_cell", F.size(F.filter(g, lambda t: t <= F.col("s"))))
+    cell = sc.withColumn("_cell", count_sorted_below(g, F.col("s"), len(ts), inclusive=True))
     per = cell.groupBy(*keys, "_cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     lists = per.groupBy(*keys).agg(F.collect_list(F.struct("_cell", "pos", "neg")).alias("_cells"),
                                    F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
