@@ -342,3 +342,74 @@ SELECT "group", feature, CAST(rank AS INTEGER) AS rank, value, {R('n / tot', 4)}
 WHERE rank <= 10"""))
 def q_error_profile_categorical(spark, sf_dir):
     return finish(errors.error_profile_categorical(_profiled(spark, sf_dir)))
+
+
+# --- A7: metrics document (its scalar part, flat) ------------------------------------------------
+def _metrics_doc_sql() -> str:
+    disc = f"""
+SELECT a.split, a.roc_auc, p.average_precision AS pr_auc, b.brier_score, b.prevalence FROM
+ (SELECT split, sum(pos * (coalesce(neg_below, 0) + 0.5 * neg)) / (sum(pos) * sum(neg)) AS roc_auc
+  FROM (SELECT *, sum(neg) OVER (PARTITION BY split ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+               AS neg_below
+        FROM (SELECT split, p AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored GROUP BY split, p) sc) c
+  GROUP BY split) a
+ JOIN (SELECT split, sum(pos * tp / (tp + fp)) / sum(pos) AS average_precision
+  FROM (SELECT *, sum(pos) OVER (PARTITION BY split ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+               sum(neg) OVER (PARTITION BY split ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp
+        FROM (SELECT split, p AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored GROUP BY split, p) sc) c
+  GROUP BY split) p USING (split)
+ JOIN (SELECT split, avg((p - y) * (p - y)) AS brier_score, avg(y) AS prevalence FROM scored GROUP BY split) b
+ USING (split)"""
+    test_at = confusion_sql(_conf_at("(SELECT threshold FROM best)", "WHERE split = 'test'"))
+    cols = []
+    for sp in ("validation", "test"):
+        for m in ("roc_auc", "pr_auc", "brier_score", "prevalence"):
+            cols.append(f"{R(f'(SELECT {m} FROM disc WHERE split = {chr(39)}{sp}{chr(39)})', 4)} AS {sp}_{m}")
+    return f"""
+, disc AS ({disc})
+, best AS ({_BEST_SQL})
+, test_at AS ({test_at})
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM scored WHERE split = 'train') AS encounters_train,
+       (SELECT CAST(count(*) AS BIGINT) FROM scored WHERE split = 'validation') AS encounters_validation,
+       (SELECT CAST(count(*) AS BIGINT) FROM scored WHERE split = 'test') AS encounters_test,
+       {", ".join(cols)},
+       (SELECT threshold FROM best) AS selected_threshold, (SELECT f1 FROM best) AS selected_f1,
+       t.sensitivity_recall AS test_sensitivity_recall, t.specificity AS test_specificity,
+       t.precision AS test_precision, t.f1 AS test_f1, t.tp AS test_tp, t.fp AS test_fp, t.tn AS test_tn,
+       t.fn AS test_fn
+FROM test_at t"""
+
+
+def _metrics_doc_flat(doc):
+    cols = [F.col("encounters.train").alias("encounters_train"),
+            F.col("encounters.validation").alias("encounters_validation"),
+            F.col("encounters.test").alias("encounters_test")]
+    for sp in ("validation", "test"):
+        for m in ("roc_auc", "pr_auc", "brier_score", "prevalence"):
+            cols.append(F.col(f"{sp}.discrimination.{m}").alias(f"{sp}_{m}"))
+    cols += [F.col("validation.selected_threshold.threshold").alias("selected_threshold"),
+             F.col("validation.selected_threshold.f1").alias("selected_f1")]
+    for m in ("sensitivity_recall", "specificity", "precision", "f1", "tp", "fp", "tn", "fn"):
+        cols.append(F.col(f"test.threshold_metrics.{m}").alias(f"test_{m}"))
+    return doc.select(cols)
+
+
+@register("metrics_doc", with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)("SELECT 1")[:-len("SELECT 1")]
+          .rstrip() + _metrics_doc_sql())
+def q_metrics_doc(spark, sf_dir):
+    from ..sources.sinks import metrics_document
+    doc = metrics_document(scored_table(spark, sf_dir), ["weight"])
+    return finish(_metrics_doc_flat(doc))
+
+
+# --- B9: feature typing from the schema, with non-missing counts ------------------------------------
+@register("feature_types", E("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, '{'numeric' if c in NUMERIC else 'categorical'}' AS feature_type, "
+    f"CAST(count({c}) AS BIGINT) AS non_missing FROM encs WHERE split = 'train'" for c in ALL_FEATURES)))
+def q_feature_types(spark, sf_dir):
+    train = encounter_table(spark, sf_dir).where("split = 'train'")
+    types = prepare.feature_types(train, ALL_FEATURES)
+    counts = train.agg(*[F.count(c).alias(c) for c in ALL_FEATURES]).unpivot([], list(ALL_FEATURES),
+                                                                             "feature", "non_missing")
+    tmap = F.create_map(*[x for k, v in types.items() for x in (F.lit(k), F.lit(v))])
+    return counts.select("feature", tmap[F.col("feature")].alias("feature_type"), "non_missing")

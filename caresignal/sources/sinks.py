@@ -94,3 +94,42 @@ def hrrp_summary_document(h: DataFrame, source_file: str) -> DataFrame:
 def write_document(doc: DataFrame, path: str) -> None:
     """A document is one bounded row: write it as a single JSON file."""
     doc.coalesce(1).write.mode("overwrite").json(path)
+
+
+def metrics_document(scored: DataFrame, dropped_sparse: Sequence[str] = (), label: str = "y", score: str = "p",
+                     split: str = "split") -> DataFrame:
+    """Training-run metrics document (A7): split sizes, validation discrimination
+    and the threshold chosen there, test discrimination, test metrics at that
+    threshold and the test trade-off table. Every part is a bounded row set (one
+    row, or one row per grid point) attached as a scalar subquery."""
+    from ..operators import metrics
+    from ..operators.metrics import _materialize
+    # every part reads the same three columns: read the scored table once
+    scored = _materialize(scored.select(label, score, split))
+    s = F.col(split)
+    val, test = scored.where(s == "validation"), scored.where(s == "test")
+
+    def disc(df):
+        d = metrics.discrimination(df, label, score)
+        return d.select(F.struct(*[F.round(c, 4).alias(c) for c in ("roc_auc", "pr_auc", "brier_score",
+                                                                    "prevalence")]).alias("d")).scalar()
+
+    best = metrics.best_threshold(val, metrics.grid(range(10, 91)), label, score)
+    t = best.select("threshold").scalar()
+    tm = metrics.threshold_metrics(test, t, label, score)
+    table = metrics.threshold_table(test, metrics.grid(range(30, 81, 5)), label, score)
+    sizes = scored.groupBy(s.alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    n_of = lambda name: sizes.where(F.col("split") == name).select("n").scalar()
+    return scored.sparkSession.range(1).select(
+        F.lit("1.2.0").alias("schema_version"),
+        F.struct(n_of("train").alias("train"), n_of("validation").alias("validation"),
+                 n_of("test").alias("test")).alias("encounters"),
+        F.struct(disc(val).alias("discrimination"),
+                 F.lit("maximum F1 on validation set").alias("threshold_selected_by"),
+                 best.select(F.struct("*")).scalar().alias("selected_threshold")).alias("validation"),
+        F.struct(disc(test).alias("discrimination"),
+                 tm.select(F.struct("*")).scalar().alias("threshold_metrics"),
+                 table.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar().alias("threshold_tradeoff_table")
+                 ).alias("test"),
+        F.array(*[F.lit(c) for c in dropped_sparse]).cast("array<string>").alias(
+            "dropped_sparse_columns_gt_80pct_missing_train"))
