@@ -14,12 +14,23 @@ ERR = "Excess Readmission Ratio"
 def data_audit(df: DataFrame) -> DataFrame:
     """rows, columns, duplicate rows (rows minus distinct rows; NULL equals NULL).
 
-    The grouping on every column is partially aggregated before its shuffle, so
-    repeated rows collapse map-side."""
-    g = df.groupBy(*[col_of(c) for c in df.columns]).count()
-    return g.agg(F.sum("count").cast("bigint").alias("rows"),
-                 F.lit(len(df.columns)).cast("bigint").alias("columns"),
-                 F.sum(F.col("count") - 1).cast("bigint").alias("duplicate_rows"))
+    Exact, without shuffling whole rows: every row is reduced to a 64-bit hash and
+    only the hash is counted (partial aggregation first). Rows whose hash occurs
+    more than once -- true duplicates plus rare collisions -- are then compared on
+    all columns. The full-width shuffle is limited to those candidates."""
+    cols = [col_of(c) for c in df.columns]
+    # a marker per column keeps NULL apart from a value that hashes like a skipped NULL
+    marks = F.concat_ws("", *[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
+    hashed = df.select(F.xxhash64(*cols, marks).alias("_h"), *cols)
+    counts = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
+    repeated = counts.where(F.col("n") > 1).select("_h")
+    candidates = hashed.join(repeated, "_h", "left_semi").drop("_h")
+    dups = (candidates.groupBy(*[col_of(c) for c in df.columns]).count()
+            .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("d")))
+    return counts.agg(F.sum("n").cast("bigint").alias("rows")).select(
+        F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
+        F.lit(len(df.columns)).cast("bigint").alias("columns"),
+        dups.select("d").scalar().alias("duplicate_rows"))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
