@@ -56,7 +56,8 @@ def category_pooling(train: DataFrame, categorical: Sequence[str], min_frequency
     missing = train.select(*[F.count_if(col_of(c).isNull()).alias(c) for c in categorical]) \
         .unpivot([], list(categorical), "feature", "n_missing")
     modes = categorical_modes(counts).select("feature", "mode")
-    x = counts.join(modes, "feature").join(missing, "feature")
+    # modes and missing counts hold one row per feature (a caller's fixed list)
+    x = counts.join(F.broadcast(modes), "feature").join(F.broadcast(missing), "feature")
     n = F.col("n") + F.when(F.col("value") == F.col("mode"), F.col("n_missing")).otherwise(0)
     return x.select("feature", "value", n.alias("n"), (n >= min_frequency).alias("kept"))
 

@@ -31,8 +31,21 @@ def score_counts(df: DataFrame, label: str = "y", score: str = "p",
         F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg"))
 
 
+# group tables (one row per group, `buckets` values each) are broadcast up to this size
+MAX_BROADCAST_CELLS = 2_000_000
+
+
+def _small_groups(df: DataFrame, keys: Sequence[str], buckets: int) -> bool:
+    """Size check behind every broadcast of a per-group table: the number of
+    groups times the bucket count must stay under MAX_BROADCAST_CELLS."""
+    if not keys:
+        return True
+    return df.select(*keys).distinct().count() * max(buckets, 1) <= MAX_BROADCAST_CELLS
+
+
 def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[str] = (),
-                   descending: bool = False, buckets: int = 256, suffix: str = "_cum") -> DataFrame:
+                   descending: bool = False, buckets: int = 256, suffix: str = "_cum",
+                   broadcast_groups: bool | None = None) -> DataFrame:
     """Inclusive running sums of `values` ordered by `order` within `keys`.
 
     `order` must be unique within `keys` (true after `score_counts`). Exact:
@@ -41,12 +54,15 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
     3) bucket totals (at most `buckets` rows per group) give each bucket's offset.
     """
     keys = list(keys)
+    if broadcast_groups is None:
+        broadcast_groups = _small_groups(df, keys, buckets)
+    bc = F.broadcast if broadcast_groups else (lambda d: d)
     o = -F.col(order) if descending else F.col(order)
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
         bounds = df.groupBy(*keys).agg(F.percentile_approx(o, qs, 10000).alias("_bounds"))
         if keys:
-            x = df.join(bounds, keys)
+            x = df.join(bc(bounds), keys)
         else:
             x = df.withColumn("_bounds", bounds.select("_bounds").scalar())
         x = x.withColumn("_bk", count_sorted_below(F.col("_bounds"), o, len(qs))).drop("_bounds")
@@ -59,7 +75,7 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
                                      for v in values])
-    x = x.join(off, [*keys, "_bk"])
+    x = x.join(bc(off), [*keys, "_bk"])
     return x.select(*[c for c in df.columns],
                     *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{v}{suffix}") for v in values])
 
@@ -84,9 +100,10 @@ def curve_metrics(df: DataFrame, label: str = "y", score: str = "p", keys: Seque
     sc = score_counts(df, label, score, keys)
     if materialize:
         sc = _materialize(sc)
-    c = running_totals(sc, "s", ["pos", "neg"], keys, buckets=buckets)
+    small = _small_groups(sc, keys, buckets)
+    c = running_totals(sc, "s", ["pos", "neg"], keys, buckets=buckets, broadcast_groups=small)
     tot = sc.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    c = c.join(tot, keys) if keys else c.select(
+    c = c.join(F.broadcast(tot) if small else tot, keys) if keys else c.select(
         "*", tot.select("n_pos").scalar().alias("n_pos"), tot.select("n_neg").scalar().alias("n_neg"))
     # positives x (negatives strictly below + half the tied negatives), kept in integers
     auc_term = (F.col("pos").cast("decimal(38,0)") *
