@@ -42,19 +42,26 @@ def validate_requests(req: DataFrame, expected: Sequence[str], numeric: Sequence
     """Adds `status` (valid/invalid) and `error`, checked in the service's order:
     acknowledgement, unknown fields, missing required fields, non-numeric values."""
     pl = col_of(payload)
+    # every check is a plain (code-generated) expression over the fixed field lists
     exp_arr = F.array(*[F.lit(c) for c in expected])
-    unknown = F.array_sort(F.array_except(F.map_keys(pl), exp_arr))
-    # checks unrolled over the fixed field lists: plain expressions, no per-row lambda
-    missing = F.array_compact(F.array(*[F.when(_empty(pl[c]), F.lit(c)) for c in required]))
+    unknown = F.sort_array(F.array_except(F.map_keys(pl), exp_arr))
+    missing_txt = F.concat_ws(", ", *[F.when(_empty(pl[c]), F.lit(f"'{c}'")) for c in required])
     num_in_order = [c for c in expected if c in set(numeric)]
-    bad_num = F.array_compact(F.array(*[
-        F.when(~_empty(pl[c]) & F.trim(pl[c]).try_cast("double").isNull(), F.lit(c)) for c in num_in_order]))
+    first_bad = F.coalesce(*[F.when(~_empty(pl[c]) & F.trim(pl[c]).try_cast("double").isNull(), F.lit(c))
+                             for c in num_in_order], F.lit(None).cast("string"))
+    # the three checks are separate columns first: smaller generated methods stay
+    # JIT-compiled, and each check is evaluated once per row
+    x = req.withColumns({"_unknown": unknown, "_missing": missing_txt, "_bad": first_bad})
+    u, m, b = F.col("_unknown"), F.col("_missing"), F.col("_bad")
     err = (F.when(~F.coalesce(col_of(ack), F.lit(False)), F.lit("Research-only acknowledgement is required."))
-           .when(F.size(unknown) > 0, F.concat(F.lit("Unknown fields: "), _py_list(unknown)))
-           .when(F.size(missing) > 0, F.concat(F.lit("Missing required research fields: "), _py_list(missing)))
-           .when(F.size(bad_num) > 0, F.concat(F.lit("Field "), F.element_at(bad_num, 1), F.lit(" must be numeric."))))
-    return req.withColumn("error", err).withColumn(
-        "status", F.when(F.col("error").isNull(), F.lit("valid")).otherwise(F.lit("invalid")))
+           .when(F.size(u) > 0, F.concat(F.lit("Unknown fields: "), _py_list(u)))
+           .when(m != "", F.concat(F.lit("Missing required research fields: ["), m, F.lit("]")))
+           .when(b.isNotNull(), F.concat(F.lit("Field "), b, F.lit(" must be numeric."))))
+    # validity as a plain boolean, so a filter on `status` needs no error text
+    ok = F.coalesce(col_of(ack), F.lit(False)) & (F.size(u) == 0) & (m == "") & b.isNull()
+    return (x.withColumn("error", err)
+            .withColumn("status", F.when(ok, F.lit("valid")).otherwise(F.lit("invalid")))
+            .drop("_unknown", "_missing", "_bad"))
 
 
 def normalize_requests(req: DataFrame, feature_types: dict[str, str], payload: str = "payload",
@@ -73,8 +80,11 @@ def entered_drivers(req: DataFrame, fields: Sequence[str] = GLOBAL_DRIVER_FIELDS
                     payload: str = "payload") -> DataFrame:
     """Adds `entered_global_driver_fields`: (feature, value) for present driver fields."""
     pl = col_of(payload)
-    arr = F.array_compact(F.array(*[
-        F.when(~_empty(pl[f]), F.struct(F.lit(f).alias("feature"), pl[f].alias("value"))) for f in fields]))
+    item = lambda f: F.struct(F.lit(f).alias("feature"), pl[f].alias("value"))
+    present = F.array(*[F.when(~_empty(pl[f]), item(f)) for f in fields])
+    # drop the NULL slots without a per-row lambda (features are distinct, so no
+    # element is lost to the set semantics of array_except)
+    arr = F.array_except(present, F.array(F.lit(None).cast("struct<feature:string,value:string>")))
     return req.withColumn("entered_global_driver_fields", arr)
 
 

