@@ -293,7 +293,8 @@ def q_best_threshold(spark, sf_dir):
 
 # --- B12, D15-D17: error profiles on test at the validation-chosen threshold ------------------
 def _profiled(spark, sf_dir) -> DataFrame:
-    s = scored_table(spark, sf_dir)
+    # the scored rows feed two passes (threshold choice, profile): read them once
+    s = metrics._materialize(scored_table(spark, sf_dir).where("split IN ('validation', 'test')"))
     best = metrics.best_threshold(s.where("split = 'validation'"), metrics.grid(SELECTION_GRID_PCT))
     t = best.select("threshold").scalar()
     return errors.with_confusion_group(s.where("split = 'test'"), t)

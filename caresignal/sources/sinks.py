@@ -42,8 +42,15 @@ def write_clean_export(df: DataFrame, path: str, fmt: str = "csv",
         w.format(fmt).save(path)
 
 
-def hrrp_summary_document(h: DataFrame, source_file: str) -> DataFrame:
-    """Nested summary document (one row) from the typed hospital table."""
+def hrrp_summary_document(h: DataFrame, source_file: str, materialize: bool = True) -> DataFrame:
+    """Nested summary document (one row) from the typed hospital table.
+
+    The document reads its input in several passes (KPIs, duplicates, hospital
+    signals, condition rows); with `materialize` the input is checkpointed once to
+    the shared checkpoint folder so a derived input is not recomputed per pass."""
+    if materialize:
+        from ..operators.metrics import _materialize
+        h = _materialize(h)
     e = F.col("`Excess Readmission Ratio`")
     n = F.col("`Number of Readmissions Numeric`")
     hs = hospital.hospital_summary(h)
