@@ -54,7 +54,7 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as they arrive: a stored table. The derived request rows are
     written once per session to the shared scratch folder and scanned back, which
     also cuts their lineage from the encounter derivation."""
-    key = (id(spark.sparkContext), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = scratch_dir(spark, "requests")
         # requests arrive as many small files; spread them so scans are parallel
@@ -68,7 +68,7 @@ def validated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation results are recorded once (a table in the shared scratch
     folder, as a service log would be); scoring reads the valid rows back with
     the status predicate pushed into the scan."""
-    key = ("validated", id(spark.sparkContext), sf_dir)
+    key = ("validated", spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = scratch_dir(spark, "validated")
         inference.validate_requests(request_table(spark, sf_dir), PAYLOAD_FIELDS).write.parquet(path)
@@ -314,7 +314,7 @@ def q_stream_responses(spark, sf_dir):
     from .model_queries import bundle_path
     fm, manifest = models.load_bundle(spark, bundle_path(spark, sf_dir))
     request_table(spark, sf_dir)                       # makes sure the request files exist
-    source = _WRITTEN[(id(spark.sparkContext), sf_dir)]
+    source = _WRITTEN[(spark.sparkContext.applicationId, sf_dir)]
     reg_path = scratch_dir(spark, "registry")
     write_registry(spark, reg_path)
     sink, ckpt = scratch_dir(spark, "responses"), scratch_dir(spark, "responses-ckpt")

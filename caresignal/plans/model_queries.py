@@ -32,7 +32,7 @@ def driver_specs() -> list[models.ModelSpec]:
 def encounter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared encounters, persisted once per session: every fit, score and
     evaluation of the model queries reads the same frame (as ML training does)."""
-    key = ("encounters", id(spark.sparkContext), sf_dir)
+    key = ("encounters", spark.sparkContext.applicationId, sf_dir)
     if key not in _FIT_CACHE:
         _FIT_CACHE[key] = _encounter_table(spark, sf_dir).persist()
     return _FIT_CACHE[key]
@@ -53,7 +53,7 @@ def _frames(spark, sf_dir):
 
 
 def _fit_cached(spark, sf_dir, spec: models.ModelSpec, drop=(), on=("train",)) -> models.FittedModel:
-    key = (id(spark.sparkContext), sf_dir, repr(spec), tuple(drop), tuple(on))
+    key = (spark.sparkContext.applicationId, sf_dir, repr(spec), tuple(drop), tuple(on))
     if key not in _FIT_CACHE:
         e = encounter_table(spark, sf_dir)
         train = e.where(F.col("split").isin(list(on)))
@@ -146,7 +146,7 @@ def q_select_winner(spark, sf_dir):
 
 # --- G6 / A9: final fit on train + validation, saved and reloaded ---------------------------------
 def bundle_path(spark: SparkSession, sf_dir: str) -> str:
-    key = ("bundle", id(spark.sparkContext), sf_dir)
+    key = ("bundle", spark.sparkContext.applicationId, sf_dir)
     if key not in _FIT_CACHE:
         spec = driver_specs()[1]
         fm = _fit_cached(spark, sf_dir, spec, on=("train", "validation"))
