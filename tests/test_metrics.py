@@ -104,3 +104,17 @@ def test_brier_and_prevalence(data):
     r = metrics.brier_prevalence(df).first()
     assert r["brier_score"] == pytest.approx(float(np.mean((p - y) ** 2)))
     assert r["prevalence"] == pytest.approx(float(y.mean()))
+
+
+def test_many_groups_shuffle_path_matches_broadcast_path(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 4000
+    g, y, p = rng.integers(0, 50, n), rng.integers(0, 2, n), np.round(rng.random(n), 3)
+    df = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(g, y, p)], "g int, y int, p double")
+    a = {r["g"]: r["roc_auc"] for r in metrics.roc_auc(df, keys=["g"], buckets=8).collect()}
+    monkeypatch.setattr(metrics, "MAX_BROADCAST_CELLS", 10)     # force the shuffle-join path
+    b = {r["g"]: (r["roc_auc"], r["n_pos"]) for r in metrics.roc_auc(df, keys=["g"], buckets=8).collect()}
+    for k in range(50):
+        m = g == k
+        assert b[k][0] == pytest.approx(brute_auc(y[m], p[m]), abs=1e-12)
+        assert a[k] == pytest.approx(b[k][0], abs=1e-12)
