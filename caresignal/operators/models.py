@@ -10,12 +10,11 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import features as feats
 from . import metrics
@@ -89,7 +88,7 @@ def _weights(train: DataFrame, label: str) -> DataFrame:
 
 
 def fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], spec: ModelSpec,
-        label: str = "y", validation: DataFrame | None = None) -> FittedModel:
+        label: str = "y") -> FittedModel:
     """Fit prep statistics on `train`, then the estimator on the encoded rows."""
     train = train.persist()
     try:
@@ -126,7 +125,6 @@ def _fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], s
                                      weightCol="_w" if spec.balanced else None, **p)
     else:
         raise ValueError(spec.kind)
-    from pyspark.ml import Pipeline
     x = x.persist()
     try:
         model = Pipeline(stages=stages + [est]).fit(x)
@@ -215,5 +213,3 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[FittedModel, dict]:
     model = PipelineModel.load(f"{path}/pipeline")
     return FittedModel(spec, prep, model, doc["features"]), doc["manifest"]
 
-
-MANIFEST_SCHEMA = T.StructType([T.StructField("model_id", T.StringType())])

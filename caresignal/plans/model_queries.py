@@ -47,11 +47,6 @@ def model_features(train: DataFrame) -> tuple[list[str], list[str], list[str]]:
     return num, cat, dropped
 
 
-def _frames(spark, sf_dir):
-    e = encounter_table(spark, sf_dir)
-    return e.where("split = 'train'"), e.where("split = 'validation'"), e.where("split = 'test'")
-
-
 def _fit_cached(spark, sf_dir, spec: models.ModelSpec, drop=(), on=("train",)) -> models.FittedModel:
     key = (spark.sparkContext.applicationId, sf_dir, repr(spec), tuple(drop), tuple(on))
     if key not in _FIT_CACHE:

@@ -395,8 +395,7 @@ def _metrics_doc_flat(doc):
     return doc.select(cols)
 
 
-@register("metrics_doc", with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)("SELECT 1")[:-len("SELECT 1")]
-          .rstrip() + _metrics_doc_sql())
+@register("metrics_doc", with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)("").rstrip() + _metrics_doc_sql())
 def q_metrics_doc(spark, sf_dir):
     from ..sources.sinks import metrics_document
     doc = metrics_document(scored_table(spark, sf_dir), ["weight"])

@@ -1,5 +1,4 @@
 """Request validation, normalisation, drivers and routing."""
-from pyspark.sql import functions as F
 
 from caresignal.functions.constants import REGISTRY_MODELS
 from caresignal.operators import inference

@@ -1,6 +1,5 @@
 """Patient split, preparation statistics."""
 import pytest
-from pyspark.sql import functions as F
 
 from caresignal.operators import features, prepare, split
 from caresignal.plans.patient_queries import encounter_table

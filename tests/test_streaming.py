@@ -1,9 +1,8 @@
 """The streaming scorer gives the same responses as the batch jobs."""
-from pyspark.sql import functions as F
 
-from caresignal.operators import models
+
 from caresignal.plans.inference_queries import q_batch_score, q_validate_requests
-from caresignal.plans.model_queries import bundle_path
+
 from caresignal.plans.patient_queries import encounter_table
 
 from conftest import SF001
