@@ -42,11 +42,21 @@ def categorical_modes(counts: DataFrame) -> DataFrame:
             .select("feature", F.col("value").alias("mode"), "n"))
 
 
-def standardize_stats(train: DataFrame, numeric: Sequence[str], medians: Mapping[str, float]) -> DataFrame:
-    """(feature, mean, std) after median imputation; population std."""
-    long = train.select(*[F.coalesce(col_of(c).cast("double"), F.lit(medians.get(c))).alias(c) for c in numeric]) \
+def standardize_stats(train: DataFrame, numeric: Sequence[str],
+                      medians: Mapping[str, float] | DataFrame) -> DataFrame:
+    """(feature, mean, std) after median imputation; population std.
+    `medians` may be the fitted dict or the (feature, median) DataFrame; the
+    latter keeps the whole computation in one lazy plan (one row per feature is
+    broadcast)."""
+    long = train.select(*[col_of(c).cast("double").alias(c) for c in numeric]) \
         .unpivot([], list(numeric), "feature", "value")
-    return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    if isinstance(medians, DataFrame):
+        long = long.join(F.broadcast(medians.select("feature", "median")), "feature")
+    else:
+        m = F.create_map(*[x for k, v in medians.items() for x in (F.lit(k), F.lit(v))])
+        long = long.withColumn("median", m[F.col("feature")])
+    v = F.coalesce(F.col("value"), F.col("median"))
+    return long.groupBy("feature").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
 
 
 def category_pooling(train: DataFrame, categorical: Sequence[str], min_frequency: int = 10) -> DataFrame:

@@ -162,8 +162,7 @@ def q_impute_categorical(spark, sf_dir):
     for c in NUMERIC)))
 def q_standardize(spark, sf_dir):
     train = encounter_table(spark, sf_dir).where("split = 'train'")
-    med = {r["feature"]: r["median"] for r in features.numeric_medians(train, NUMERIC).collect()}
-    return finish(features.standardize_stats(train, NUMERIC, med))
+    return finish(features.standardize_stats(train, NUMERIC, features.numeric_medians(train, NUMERIC)))
 
 
 def _pool_sql(min_freq: int) -> str:
