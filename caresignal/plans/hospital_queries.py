@@ -347,6 +347,7 @@ CROSS JOIN (SELECT CAST(count(*) FILTER (WHERE {_HIGH_WHERE}) AS BIGINT) AS pers
 CROSS JOIN (SELECT min(start_date) AS period_start, max(end_date) AS period_end FROM hrrp) p"""))
 def q_hrrp_summary_doc(spark, sf_dir):
     from ..sources.sinks import hrrp_summary_document
-    doc = hrrp_summary_document(hospital_table(spark, sf_dir), source_file="driver-tables")
+    # the input is derived from lineitem/part/supplier/nation: checkpoint it once
+    doc = hrrp_summary_document(hospital_table(spark, sf_dir), source_file="driver-tables", materialize=True)
     return doc.select("kpis.*", F.col("source.reporting_period.start").alias("reporting_period_start"),
                       F.col("source.reporting_period.end").alias("reporting_period_end"))

@@ -42,12 +42,13 @@ def write_clean_export(df: DataFrame, path: str, fmt: str = "csv",
         w.format(fmt).save(path)
 
 
-def hrrp_summary_document(h: DataFrame, source_file: str, materialize: bool = True) -> DataFrame:
+def hrrp_summary_document(h: DataFrame, source_file: str, materialize: bool = False) -> DataFrame:
     """Nested summary document (one row) from the typed hospital table.
 
     The document reads its input in several passes (KPIs, duplicates, hospital
-    signals, condition rows); with `materialize` the input is checkpointed once to
-    the shared checkpoint folder so a derived input is not recomputed per pass."""
+    signals, condition rows). A stored table is simply scanned again; for an
+    expensive derived input pass `materialize=True` to checkpoint it once to the
+    shared checkpoint folder instead of recomputing it per pass."""
     if materialize:
         from ..operators.metrics import _materialize
         h = _materialize(h)
