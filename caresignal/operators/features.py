@@ -59,10 +59,12 @@ def standardize_stats(train: DataFrame, numeric: Sequence[str],
     return long.groupBy("feature").agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
 
 
-def category_pooling(train: DataFrame, categorical: Sequence[str], min_frequency: int = 10) -> DataFrame:
+def category_pooling(train: DataFrame, categorical: Sequence[str], min_frequency: int = 10,
+                     counts: DataFrame | None = None) -> DataFrame:
     """(feature, value, n, kept): counts after mode imputation; levels seen fewer
-    than `min_frequency` times are pooled into one infrequent level (F6)."""
-    counts = category_counts(train, categorical)
+    than `min_frequency` times are pooled into one infrequent level (F6).
+    `counts` may pass an already computed `category_counts` table."""
+    counts = counts if counts is not None else category_counts(train, categorical)
     missing = train.select(*[F.count_if(col_of(c).isNull()).alias(c) for c in categorical]) \
         .unpivot([], list(categorical), "feature", "n_missing")
     modes = categorical_modes(counts).select("feature", "mode")
@@ -107,14 +109,15 @@ def fit_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str
                 fp.means[r["feature"]] = r["mean"]
                 fp.stds[r["feature"]] = r["std"]
     if categorical:
-        pooled = category_pooling(train, categorical, min_frequency)
-        modes = categorical_modes(category_counts(train, categorical))
-        fp.modes = {r["feature"]: r["mode"] for r in modes.collect()}
+        counts = category_counts(train, categorical).persist()
+        fp.modes = {r["feature"]: r["mode"] for r in categorical_modes(counts).collect()}
+        pooled = category_pooling(train, categorical, min_frequency, counts=counts)
         kept: dict[str, list[str]] = {c: [] for c in categorical}
         rare: dict[str, list[str]] = {c: [] for c in categorical}
         # one entry per distinct training level: bounded by the features' cardinality
         for r in pooled.select("feature", "value", "kept").collect():
             (kept if r["kept"] else rare)[r["feature"]].append(r["value"])
+        counts.unpersist()
         fp.kept = {k: sorted(v) for k, v in kept.items()}
         fp.pooled = {k: sorted(v) for k, v in rare.items()}
     return fp
