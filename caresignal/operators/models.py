@@ -139,6 +139,13 @@ def evaluate(scored: DataFrame, label: str = "y", keys: Sequence[str] = ()) -> D
     return d.select(*keys, *[F.round(c, 4).alias(c) for c in ("roc_auc", "pr_auc", "brier_score", "prevalence")])
 
 
+def pick_winner(grid: DataFrame) -> DataFrame:
+    """Candidate with the best validation ROC-AUC, then PR-AUC, then lowest Brier
+    (all already rounded to 4); earlier candidate wins a full tie (G5)."""
+    return grid.orderBy(F.col("roc_auc").desc(), F.col("pr_auc").desc(), F.col("brier_score").asc(),
+                        F.col("candidate_order").asc()).limit(1)
+
+
 def coefficients(fm: FittedModel, spark: SparkSession, k: int = 40) -> DataFrame:
     """Encoded term, coefficient, odds ratio; largest |coefficient| first."""
     lr = fm.model.stages[-1]

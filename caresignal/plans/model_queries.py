@@ -125,8 +125,7 @@ def q_model_grid(spark, sf_dir):
 @register("select_winner")
 def q_select_winner(spark, sf_dir):
     grid = model_grid(spark, sf_dir).cache()
-    w = grid.orderBy(F.col("roc_auc").desc(), F.col("pr_auc").desc(), F.col("brier_score").asc(),
-                     F.col("candidate_order").asc()).first()
+    w = models.pick_winner(grid).first()
     grid.unpersist()
     spec = {s.name: s for s in driver_specs()}[w["model"]]
     drop = dict(VARIANTS)[w["feature_variant"]]

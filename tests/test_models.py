@@ -74,3 +74,11 @@ def test_tree_models_fit(planted):
     for spec in models.benchmark_specs(gbt_iter=5, forest_trees=5)[1:]:
         fm = models.fit(train, NUMERIC, CATEGORICAL, spec)
         assert metrics.roc_auc(fm.score(test)).first()["roc_auc"] > 0.8
+
+
+def test_winner_order_roc_then_pr_then_brier_then_position(spark):
+    rows = [("a", 0, 0.70, 0.20, 0.10), ("b", 1, 0.71, 0.10, 0.30), ("c", 2, 0.71, 0.15, 0.30),
+            ("d", 3, 0.71, 0.15, 0.20), ("e", 4, 0.71, 0.15, 0.20)]
+    g = spark.createDataFrame(rows, "model string, candidate_order int, roc_auc double, pr_auc double, "
+                                    "brier_score double")
+    assert models.pick_winner(g).first()["model"] == "d"
