@@ -61,7 +61,10 @@ def kpi_slice(df: DataFrame, states: Sequence[str] | None = None,
               conditions: Sequence[str] | None = None,
               facilities: Sequence[str] | None = None) -> DataFrame:
     """Dashboard slicers. Conditions are translated back to measure codes so the
-    predicate is on a stored column and reaches the Parquet scan."""
+    predicate is on a stored column. Apply it to the scanned table before
+    `prepare_hospital` (as `hrrp_scan(..., conditions=...)` does): the typing
+    projection rewrites every text column, after which no predicate can reach
+    the Parquet scan."""
     out = df
     if states:
         out = out.where(F.col("State").isin(list(states)))

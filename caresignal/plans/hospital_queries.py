@@ -81,7 +81,8 @@ SELECT state, CAST(count(*) AS BIGINT) AS records, CAST(count(err) AS BIGINT) AS
        {R('avg(err)')} AS mean_err
 FROM hrrp WHERE condition IN ('Heart Failure (HF)', 'COPD', 'Pneumonia') GROUP BY state"""))
 def q_kpi_slice(spark, sf_dir):
-    h = prepare.kpi_slice(hospital_table(spark, sf_dir), conditions=SLICE_CONDITIONS)
+    # slice the stored text columns, then type (see kpi_slice)
+    h = prepare.prepare_hospital(prepare.kpi_slice(fixtures.hospital_raw(spark, sf_dir), conditions=SLICE_CONDITIONS))
     e = F.col("`Excess Readmission Ratio`")
     return finish(h.groupBy(F.col("State").alias("state")).agg(
         F.count(F.lit(1)).alias("records"), F.count(e).alias("valid_err"), F.avg(e).alias("mean_err")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import HRRP_COLUMNS, ID_COLUMNS, NUMERIC_FIELDS, TARGET_COLUMN
-from ..operators.prepare import prepare_encounters, prepare_hospital
+from ..operators.prepare import kpi_slice, prepare_encounters, prepare_hospital
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -44,13 +44,22 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], columns: Seque
             .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
 
 
-def hrrp_scan(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Hospital-condition CSV -> typed table (see `prepare_hospital`)."""
-    cols = _header(spark, path)
+def hrrp_scan(spark: SparkSession, path: str | Sequence[str], states: Sequence[str] | None = None,
+              conditions: Sequence[str] | None = None, facilities: Sequence[str] | None = None,
+              fmt: str = "csv") -> DataFrame:
+    """Hospital-condition file -> typed table (see `prepare_hospital`). Slicers
+    are applied on the stored text columns before typing, so with Parquet they
+    are pushed into the scan."""
+    if fmt == "csv":
+        cols = _header(spark, path)
+        raw = read_text_csv(spark, path, cols)
+    else:
+        raw = spark.read.format(fmt).load(path)
+        cols = raw.columns
     missing = [c for c in HRRP_COLUMNS if c not in cols]
     if missing:
         raise ValueError(f"hospital file lacks columns: {missing}")
-    return prepare_hospital(read_text_csv(spark, path, cols))
+    return prepare_hospital(kpi_slice(raw, states, conditions, facilities))
 
 
 def encounter_scan(spark: SparkSession, path: str | Sequence[str],

@@ -130,3 +130,14 @@ def test_summary_document_shape(spark):
     assert doc["source"]["reporting_period"]["start"] == "2021-07-01"
     conds = [c["condition"] for c in doc["conditions"]]
     assert len(conds) == 5 and len(doc["guardrails"]) == 3
+
+
+def test_condition_slicer_reaches_the_parquet_scan(spark, tmp_path):
+    rows = [row("1", HF, "1.1"), row("2", COPD, "0.9"), row("3", AMI, "1.0")]
+    path = str(tmp_path / "hrrp")
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    from caresignal.sources.readers import hrrp_scan
+    sliced = hrrp_scan(spark, path, conditions=["COPD"], states=["AL"], fmt="parquet")
+    plan = sliced._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "Measure Name" in plan.split("PushedFilters")[1].split("]")[0]
+    assert [r["Condition"] for r in sliced.collect()] == ["COPD"]
