@@ -5,17 +5,19 @@ estimates, verification on full shingle sets.
    picks one of `BUCKETS` buckets; the smallest remaining value of a bucket is kept as a
    16-bit register: leading-zero count and the MANTISSA bits after the first one.
 2. Documents with the same shingle set (128-bit fingerprint and size) are one class.
-3. `ROWS` neighbouring registers form a band; classes that share a band with any register
-   filled are candidates. Two sets of similarity s share a given band with probability
-   s**ROWS; for s = 0.8 all 24 bands of 4 miss with probability 3e-6, and small sets are
-   safer still (one differing shingle touches one band).
-4. Candidate pairs pass an estimate of the Jaccard similarity from equal registers, less
-   the expected chance collisions of equal compressed registers, with a margin of
-   MARGIN below the threshold; then full sets decide.
-5. Pairs are tried star-wise: every member of a shared band against one head per band,
-   with a new head each round and only while the band spans several components.
-   After STAR_ROUNDS, what is left across components is compared block by block, so no
-   link between components is lost while a group of copies costs few pairs a member.
+3. Neighbouring registers form bands; classes that share a band are candidates. Large
+   sets have 32 bands of 5: two sets of similarity 0.8 share a given band with
+   probability 0.8**5, and all bands miss with 3e-6. Small sets have fewer, longer bands
+   (`LEVELS`): m shingles at similarity 0.8 differ in at most m / 4, so with more bands
+   than that one band has no difference, while every band still holds about four
+   shingles and a shared passage alone seldom fills one.
+4. Candidates are grouped by the estimated Jaccard similarity of their registers (equal
+   registers less the expected chance collisions of compressed ones, MARGIN below the
+   threshold): first every member of a band against one head, then, in bands that still
+   span several groups, block against block. Only spanning edges leave a task, never all
+   pairs, and every plausible pair ends up in one group.
+5. Within each group full sets are compared, block against block; again only spanning
+   links come out. Connected components of the links give the answer.
 
 Defined cases: null and wordless texts have size 0 and link with nothing; fewer words
 than a shingle form one shingle; a null id links with nothing and is kept; of rows with one
@@ -33,16 +35,18 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, map_batches, maybe_broadcast
 
-BUCKETS, ROWS = 96, 4
-BANDS = BUCKETS // ROWS
+BUCKETS = 160
+#: Numbers of bands, by the size of the larger set of a pair: the least that exceeds size / 4; the last also beyond.
+LEVELS = (1, 2, 4, 5, 8, 10, 16, 20, 32)
 MANTISSA = 10
 EMPTY = 0xFFFF
-#: Pairs estimated below threshold - MARGIN are not verified (6 standard deviations at 96 registers).
+#: Pairs estimated below threshold - MARGIN are not verified (8 standard deviations at 160 registers).
 MARGIN = 0.25
-STAR_ROUNDS = 2
-#: Rows of one side of a block in the exhaustive step.
+#: Rows of one side of a block.
 BLOCK = 512
-#: Candidate ids are broadcast up to this many rows (8 MB), joined by a shuffle beyond.
+#: Columns of the shingle matrix at a time.
+COLUMNS = 4096
+#: Candidate ids are broadcast up to this many rows (12 MB), joined by a shuffle beyond.
 BROADCAST_IDS = 500_000
 _WORD_CACHE = 200_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -101,7 +105,7 @@ def registers(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Collision-corrected Jaccard estimate of register rows x and y (broadcast together).
 
     Equal filled registers over registers filled on either side, less the expected number
@@ -135,35 +139,130 @@ def signatures(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
                        f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, regs binary")
 
 
+def levels(n: int) -> list[int]:
+    """Numbers of bands under which a set of n shingles meets its partners: those of its own size and of every
+    larger size up to n / 0.8."""
+    at = lambda m: next((k for k in LEVELS if k > m // 4), LEVELS[-1])
+    low, high = at(n), at(int(n / 0.8) + 1)
+    return [k for k in LEVELS if low <= k <= high]
+
+
+def band_keys(regs: bytes, n: int) -> list[int]:
+    """64-bit keys of the filled bands of a set under each of its levels."""
+    out = []
+    for k in levels(n):
+        width = 2 * BUCKETS // k
+        blank = b"\xff" * width
+        for i in range(k):
+            part = regs[i * width:(i + 1) * width]
+            if part != blank:
+                out.append(xxhash.xxh3_64_intdigest(part, seed=k * 64 + i) - 2**63)
+    return out
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose register estimate does not rule the threshold out."""
+    """Pairs (a, b) whose sizes and register estimate do not rule the threshold out."""
     regs = classes.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     j = pairs.join(regs, "a").join(regs.select(F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb")), "b")
-    # set sizes alone bound the similarity
     j = j.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BUCKETS)
         y = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u2").reshape(-1, BUCKETS)
-        est = estimate(x, y, b.column(4).to_numpy(), b.column(5).to_numpy())
-        return b.select([0, 1]).filter(pa.array(est >= threshold - MARGIN))
-    return map_batches(j.select("a", "b", "ra", "rb", "na", "nb"), run, "a bigint, b bigint")
+        return b.select([0, 1]).filter(pa.array(estimate(x, y) >= threshold - MARGIN))
+    return map_batches(j.select("a", "b", "ra", "rb"), run, "a bigint, b bigint")
+
+
+def spanning(adj: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id reachable) that join what a boolean matrix of left x right rows connects."""
+    big = np.iinfo(np.int64).max
+    a, b = left.copy(), right.copy()
+    while True:
+        b2 = np.minimum(b, np.where(adj, a[:, None], big).min(axis=0, initial=big))
+        a2 = np.minimum(a, np.where(adj, b2[None, :], big).min(axis=1, initial=big))
+        if (a2 == a).all() and (b2 == b).all():
+            break
+        a, b = a2, b2
+    ids, root = np.concatenate([left, right]), np.concatenate([a, b])
+    return ids[ids != root], root[ids != root]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
+def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """`rows` with blk, i, j: a key of m rows is cut into ceil(m / BLOCK) blocks by hash, and each row goes to every
+    pair of blocks that its own block is in, so a task holds two blocks at most."""
+    m = rows.withColumn("nb", F.ceil(F.col(size) / BLOCK).cast("int"))
+    m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return m.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("nb", "other", size)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ok = np.zeros(b.num_rows, bool)
-        ca, cb = b.column(2), b.column(3)
-        for i in range(b.num_rows):
-            x, y = np.frombuffer(ca[i].as_py(), np.uint64), np.frombuffer(cb[i].as_py(), np.uint64)
-            common = len(x) + len(y) - len(np.union1d(x, y))
-            ok[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        return b.select([0, 1]).filter(pa.array(ok))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
+
+def _edges(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+
+
+def _plausible_blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Spanning edges (a, b) of the plausible pairs across groups within each band. members: key, rep, comp, size."""
+    m = _blocks(members.join(classes.select("rep", "regs", "n"), "rep"), "key", "size").select("key", "i", "j", "blk", "rep", "comp", "regs", "n")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["blk"] == pdf["i"].iloc[0]], pdf[pdf["blk"] == pdf["j"].iloc[0]]
+        if left.empty or right.empty or pdf["comp"].nunique() < 2:
+            return _edges([], [])
+        x = np.frombuffer(b"".join(left["regs"]), "<u2").reshape(-1, BUCKETS)
+        y = np.frombuffer(b"".join(right["regs"]), "<u2").reshape(-1, BUCKETS)
+        nx, ny = left["n"].to_numpy(), right["n"].to_numpy()
+        adj = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+        adj &= np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny)
+        for k in range(len(x)):
+            hit = np.flatnonzero(adj[k])
+            adj[k, hit] = estimate(x[k], y[hit]) >= threshold - MARGIN
+        return _edges(*spanning(adj, left["rep"].to_numpy(), right["rep"].to_numpy()))
+    return m.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Exact intersection sizes of every set of x with every set of y, a stretch of shared shingles at a time."""
+    cx, cy = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(cx, cy)
+    rx, ry = np.repeat(np.arange(len(x)), [len(s) for s in x]), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    out = np.zeros((len(x), len(y)), np.float64)
+    if not len(shared):
+        return out
+
+    def at(c: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        col = np.minimum(np.searchsorted(shared, c), len(shared) - 1)
+        hit = shared[col] == c
+        col, r = col[hit], r[hit]
+        order = np.argsort(col, kind="stable")
+        return col[order], r[order]
+    (colx, rowx), (coly, rowy) = at(cx, rx), at(cy, ry)
+    for lo in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - lo)
+        m = []
+        for col, row, k in ((colx, rowx, len(x)), (coly, rowy, len(y))):
+            a, b = np.searchsorted(col, [lo, lo + width])
+            d = np.zeros((k, width), np.float32)
+            d[row[a:b], col[a:b] - lo] = 1
+            m.append(d)
+        out += m[0] @ m[1].T
+    return out
+
+
+def _linked_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Spanning links (a, b) within each group, on full sets. groups: comp, rep, size."""
+    m = _blocks(groups.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep"), "comp", "size").select("comp", "i", "j", "blk", "rep", "s")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
+        if left.empty or right.empty:
+            return _edges([], [])
+        x = [np.frombuffer(v, np.uint64) for v in left["s"]]
+        y = x if i == j else [np.frombuffer(v, np.uint64) for v in right["s"]]
+        both = common_counts(x, y)
+        union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
+        return _edges(*spanning(100 * both >= percent * union, left["rep"].to_numpy(), right["rep"].to_numpy()))
+    return m.groupBy("comp", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -183,39 +282,6 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return map_batches(wanted.select("doc_id", "text", "f1", "f2"), run, "doc_id bigint, s binary").dropDuplicates(["doc_id"])
 
 
-def _cross_blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Plausible pairs across components within each band, block against block.
-
-    members: key, rep, comp, size (rows of the key). A key of m rows is cut into
-    ceil(m / BLOCK) blocks by hash; a task sees two blocks at most."""
-    nb = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = members.join(classes.select("rep", "regs", "n"), "rep").withColumn("nb", nb)
-    m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "rep", "comp", "regs", "n")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
-        if left.empty or right.empty:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        x = np.frombuffer(b"".join(left["regs"]), "<u2").reshape(-1, BUCKETS)
-        y = np.frombuffer(b"".join(right["regs"]), "<u2").reshape(-1, BUCKETS)
-        rx, ry, cx, cy = left["rep"].to_numpy(), right["rep"].to_numpy(), left["comp"].to_numpy(), right["comp"].to_numpy()
-        nx, ny = left["n"].to_numpy(), right["n"].to_numpy()
-        out = []
-        for k in range(len(x)):
-            ok = (cx[k] != cy) & (np.minimum(nx[k], ny) >= threshold * np.maximum(nx[k], ny))
-            if i == j:
-                ok &= rx[k] < ry
-            hit = np.flatnonzero(ok)
-            hit = hit[estimate(x[k], y[hit], nx[k], ny[hit]) >= threshold - MARGIN]
-            out.append(np.stack([np.minimum(rx[k], ry[hit]), np.maximum(rx[k], ry[hit])]))
-        got = np.concatenate(out, axis=1)
-        return pd.DataFrame({"a": got[0], "b": got[1]})
-    return m.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by
     links of at least `percent` per cent similarity), kept (doc_id = component_id)."""
@@ -226,37 +292,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
            .agg(F.min(F.struct("f1", "f2", F.col("n_shingles").alias("n"), "regs")).alias("m")).select("doc_id", "m.*"))
     classes = checkpointed(ids.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "regs")).alias("m"))
                            .select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), F.col("m.regs").alias("regs")))
-    width = 2 * ROWS
-    keys = F.array(*[F.when(F.substring("regs", k * width + 1, width) != F.lit(b"\xff" * width),
-                            F.xxhash64(F.lit(k), F.substring("regs", k * width + 1, width))) for k in range(BANDS)])
-    bands = classes.select("rep", F.explode(F.filter(keys, lambda x: x.isNotNull())).alias("key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+
+    def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
+        keys = [band_keys(r, n) for r, n in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rep = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64()))
+        return pa.RecordBatch.from_arrays([rep, pa.array([x for k in keys for x in k], pa.int64())], names=["rep", "key"])
+    bands = map_batches(classes.select("rep", "n", "regs"), keyed, "rep bigint, key bigint")
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head")).filter("size > 1")
     members = checkpointed(bands.join(shared, "key"))  # small: keys that only one class has are gone
-    sharing = members.select("rep").distinct()
-    some = checkpointed(classes.join(sharing, "rep"))
-    sets = checkpointed(_full_sets(docs, some.select(F.col("rep").alias("doc_id"), "f1", "f2"), shingle))
-    links = comp = None
-    for k in range(STAR_ROUNDS + 1):
-        m = members.withColumn("comp", F.col("rep")) if comp is None else members.join(
-            comp, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        order = F.col("rep") if k == 0 else F.xxhash64("rep", F.lit(k))
-        heads = checkpointed(m.groupBy("key").agg(
-            F.min(F.struct(order.alias("o"), "rep", "comp")).alias("h"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            .filter("lo <> hi").select("key", "h"))
-        if heads.isEmpty():
-            break
-        if k < STAR_ROUNDS:
-            pairs = _plausible(m.join(heads, "key").filter("comp <> h.comp")
-                               .select(F.least("rep", "h.rep").alias("a"), F.greatest("rep", "h.rep").alias("b")).distinct(),
-                               some, threshold)
-        else:
-            pairs = _cross_blocks(m.join(heads.select("key"), "key"), some, threshold)
-        found = _verified(pairs, sets, percent)
-        links = checkpointed(found if links is None else links.union(found))
-        comp = connected_components(links).select(F.col("node").alias("rep"), "component")
+    some = checkpointed(classes.join(members.select("rep").distinct(), "rep"))
+    # groups of plausible pairs
+    near = checkpointed(_plausible(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), some, threshold))
+    group = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    m = members.select("key", "rep", "size").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    rest = checkpointed(_plausible_blocks(m.join(mixed, "key"), some, threshold))
+    if not rest.isEmpty():
+        near = near.union(rest)
+        group = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    # links on full sets
+    group = checkpointed(group)
+    wanted = some.join(group.select("rep"), "rep").select(F.col("rep").alias("doc_id"), "f1", "f2")
+    sizes = group.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    sets = checkpointed(_full_sets(docs, checkpointed(wanted), shingle))
+    links = checkpointed(_linked_blocks(group.join(sizes, "comp"), sets, percent))
+    comp = connected_components(links).select(F.col("node").alias("rep"), "component")
     by_id = ids.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("doc_id", "rep")
-    by_id = by_id.select("doc_id", F.col("rep").alias("component")) if comp is None else by_id.join(
-        comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    by_id = by_id.join(comp, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     cid = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return (sig.select("doc_id", "n_shingles").join(by_id, "doc_id", "left")
             .select("doc_id", "n_shingles", cid.alias("component_id"))
