@@ -43,7 +43,7 @@ EMPTY = 0xFFFF
 #: Pairs estimated below threshold - MARGIN are not verified (8 standard deviations at 160 registers).
 MARGIN = 0.25
 #: Rows of one side of a block.
-BLOCK = 512
+BLOCK = 256
 #: Columns of the shingle matrix at a time.
 COLUMNS = 4096
 #: Candidate ids are broadcast up to this many rows (12 MB), joined by a shuffle beyond.
@@ -120,6 +120,19 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip((same - chance * (1 - same / union)) / union, 0.0, 1.0)
 
 
+def estimate_matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`estimate` of every row of x with every row of y."""
+    fx, fy = (x != EMPTY).astype(np.float32), (y != EMPTY).astype(np.float32)
+    both = fx @ fy.T
+    union = np.maximum(fx.sum(1)[:, None] + fy.sum(1)[None, :] - both, 1)
+    same = np.empty(both.shape, np.float32)
+    for k in range(len(x)):
+        same[k] = np.count_nonzero(x[k] == y, axis=1)
+    same -= BUCKETS - (fx.sum(1)[:, None] + fy.sum(1)[None, :] - both)  # registers empty on both sides
+    chance = both / 3.0 / (1 << MANTISSA)
+    return np.clip((same - chance * (1 - same / union)) / union, 0.0, 1.0)
+
+
 def signatures(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), regs (binary)."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -193,7 +206,9 @@ def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
     m = rows.withColumn("nb", F.ceil(F.col(size) / BLOCK).cast("int"))
     m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return m.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("nb", "other", size)
+    m = m.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("nb", "other", size)
+    # few bytes, much work: a number of partitions of its own, which is not coalesced by size
+    return m.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "i", "j")
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
@@ -202,7 +217,7 @@ def _edges(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
 
 def _plausible_blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Spanning edges (a, b) of the plausible pairs across groups within each band. members: key, rep, comp, size."""
-    m = _blocks(members.join(classes.select("rep", "regs", "n"), "rep"), "key", "size").select("key", "i", "j", "blk", "rep", "comp", "regs", "n")
+    m = _blocks(members.join(classes.select("rep", "regs", "n"), "rep").select("key", "size", "rep", "comp", "regs", "n"), "key", "size")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["blk"] == pdf["i"].iloc[0]], pdf[pdf["blk"] == pdf["j"].iloc[0]]
@@ -213,9 +228,8 @@ def _plausible_blocks(members: DataFrame, classes: DataFrame, threshold: float)
         nx, ny = left["n"].to_numpy(), right["n"].to_numpy()
         adj = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
         adj &= np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny)
-        for k in range(len(x)):
-            hit = np.flatnonzero(adj[k])
-            adj[k, hit] = estimate(x[k], y[hit]) >= threshold - MARGIN
+        some = np.flatnonzero(adj.any(axis=1))  # rows without a partner to try are left out
+        adj[some] &= estimate_matrix(x[some], y) >= threshold - MARGIN
         return _edges(*spanning(adj, left["rep"].to_numpy(), right["rep"].to_numpy()))
     return m.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
 
@@ -250,7 +264,7 @@ def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 def _linked_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Spanning links (a, b) within each group, on full sets. groups: comp, rep, size."""
-    m = _blocks(groups.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep"), "comp", "size").select("comp", "i", "j", "blk", "rep", "s")
+    m = _blocks(groups.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("comp", "size", "rep", "s"), "comp", "size")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
