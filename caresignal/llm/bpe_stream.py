@@ -116,6 +116,8 @@ class Bpe:
         back = {c: b for b, c in enumerate(byte_symbols())}
         #: the bytes that each token adds to the decoded text
         self._raw = {i: bytes(back[c] for c in t) if self.byte_decoder and t not in self.special else t.encode() for i, t in self.tokens.items()}
+        #: what stands between tokens: without a byte decoder in the file, they are joined by a space
+        self.gap = b"" if self.byte_decoder else b" "
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.merges = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         symbols = list(back)
@@ -306,21 +308,24 @@ class Bpe:
                     yield from self._chunk(c)
 
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes complete. Without a byte decoder in the file, tokens are joined by a space."""
+        """Text as it becomes complete: an incremental state machine from bytes to characters."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        gap, lead = b"" if self.byte_decoder else b" ", b""
-        known = (raw for i in ids if (raw := self._raw.get(i)) is not None)
-        while some := list(islice(known, 4096)):
-            if out := machine.decode(lead + gap.join(some)):
-                yield out
-            lead = gap
+        ids, lead = iter(ids), b""
+        while some := list(islice(ids, 4096)):
+            if raw := self._bytes(some):
+                if out := machine.decode(lead + raw):
+                    yield out
+                lead = self.gap
         if out := machine.decode(b"", True):
             yield out
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        """What tokens add to the decoded text; unknown ids add nothing."""
+        return self.gap.join([raw for i in ids if (raw := self._raw.get(i)) is not None])
+
     def parts(self, text: str | None) -> Iterator[tuple[int, bytes, bytes]]:
-        """(number of tokens, decimal ids, decoded text) of consecutive stretches of the text, both joined
-        by one space within. The machine is in its start state between chunks: a chunk's tokens spell
-        whole characters."""
+        """(number of tokens, decimal ids joined by a space, bytes that the tokens add to the decoded text) of
+        consecutive stretches of the text."""
         for b in blocks(text or ""):
             cs = chunks(b)
             got = list(map(self._cache.get, cs))
@@ -335,12 +340,11 @@ class Bpe:
                             got[k] = self._cached(cs[k])
             yield from self._joined(got)
 
-    @staticmethod
-    def _joined(got: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
+    def _joined(self, got: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
         some = [x for x in got if x[0]]
         if some:
             n, ids, out = zip(*some, strict=True)
-            yield sum(n), b" ".join(ids), b" ".join(out)
+            yield sum(n), b" ".join(ids), self.gap.join(out)
 
     def _cached(self, c: str) -> tuple[int, bytes, bytes]:
         got = self._cache.get(c)
@@ -353,7 +357,7 @@ class Bpe:
         return got
 
     def _spelled(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), "".join(self.decode(ids)).encode()
+        return len(ids), " ".join(map(str, ids)).encode(), self._bytes(ids)
 
     def _stretches(self, c: str) -> Iterator[tuple[int, bytes, bytes]]:
         tokens = self._chunk(c)
@@ -368,12 +372,14 @@ def load(path: str) -> Bpe:
 
 def digest(bpe: Bpe, text: str | None) -> tuple[int, str, str]:
     """(tokens, sha256 of the ids, sha256 of the decoded text), stretch by stretch."""
-    n, ids, out, lead = 0, hashlib.sha256(), hashlib.sha256(), b""
+    n, ids, out, lead, gap = 0, hashlib.sha256(), hashlib.sha256(), b"", b""
+    machine = codecs.getincrementaldecoder("utf-8")("replace")
     for k, x, y in bpe.parts(text):
         n += k
         ids.update(lead + x)
-        out.update(lead + y)
-        lead = b" "
+        out.update(machine.decode(gap + y).encode())
+        lead, gap = b" ", bpe.gap
+    out.update(machine.decode(b"", True).encode())
     return n, ids.hexdigest(), out.hexdigest()
 
 
@@ -383,8 +389,6 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        if bpe.byte_decoder:
-            raise ValueError("digests join decoded stretches by a space: the file must have no byte decoder")
         got = [digest(bpe, t.as_py()) for t in b.column(1)]
         n, i, d = zip(*got, strict=True)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(i), pa.array(d)],
