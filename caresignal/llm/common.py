@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,66 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.Reco
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[dict], dict], schema: str, partitions: int) -> DataFrame:
+    """`fn` on each group of equal `keys`: rows are dealt to `partitions` tasks by the keys, sorted, and read as a
+    stream; a task holds one batch and one group. For many small groups this costs far less than a call each.
+
+    fn gets {column: numpy array, or list for binary columns} and returns {column: array} (equal lengths)."""
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def columns(b: pa.RecordBatch) -> dict:
+        return {n: c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False)
+                for n, c in zip(b.schema.names, b.columns, strict=True)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []  # parts of the group that the last batch ended in
+        last, out, size = None, [], 0
+
+        def done(parts: list[dict]) -> None:
+            nonlocal size
+            whole = parts[0] if len(parts) == 1 else {
+                n: sum((p[n] for p in parts), []) if isinstance(parts[0][n], list) else np.concatenate([p[n] for p in parts]) for n in parts[0]}
+            got = fn(whole)
+            if len(got[names[0]]):
+                out.append(got)
+                size += len(got[names[0]])
+
+        def emit() -> pa.RecordBatch:
+            nonlocal size
+            b = pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in names], names=names)
+            out.clear()
+            size = 0
+            return b
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = columns(b)
+            change = np.zeros(b.num_rows, bool)
+            for k in keys:
+                change[1:] |= c[k][1:] != c[k][:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part = {n: v[lo:hi] for n, v in c.items()}
+                own = tuple(v[lo] for v in (c[k] for k in keys))
+                if held and own != last:
+                    done(held)
+                    held = []
+                held.append(part)
+                last = own
+            if size >= 20_000:
+                yield emit()
+        if held:
+            done(held)
+        if out:
+            yield emit()
+    dealt = df.repartition(partitions, *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, schema)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def small_enough(df: DataFrame, limit: int) -> bool:
     """Size check behind every explicit broadcast: does `df` have at most `limit` rows?"""
     return df.limit(limit + 1).count() <= limit

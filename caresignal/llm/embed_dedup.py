@@ -21,13 +21,12 @@ vectors of their own that link with each other; a null id takes no part and is k
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, map_batches
+from .common import checkpointed, connected_components, map_batches, map_groups, shuffle_partitions
 
 #: Vectors the k-means is fitted on, at most; every vector is assigned.
 SAMPLE = 10_000
@@ -151,20 +150,20 @@ def link_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     m = m.withColumn("other", F.explode(partner))
     m = m.select(*cell_key, F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "cls", "rep", "raw", "mult")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        if i != j and pdf["blk"].nunique() < 2:
-            return pd.DataFrame({"cls": [], "links": [], "up": []}).astype("int64")
-        x, ids, mult, blk = _unit(list(pdf["raw"]), kind), pdf["cls"].to_numpy(), pdf["mult"].to_numpy(), pdf["blk"].to_numpy()
+    def compare(g: dict) -> dict:
+        i, j, blk = g["i"][0], g["j"][0], g["blk"]
+        ids, none = g["cls"], np.empty(0, np.int64)
+        if len(ids) < 2 or (i != j and (blk == blk[0]).all()):
+            return {"cls": none, "links": none, "up": none}
+        x = _unit(g["raw"], kind)
         adj = x @ x.T >= threshold
         np.fill_diagonal(adj, False)
         if i != j:
             adj &= blk[:, None] != blk[None, :]
-        links = adj @ mult
-        root = _roots(adj, ids)
+        links = adj @ g["mult"]
         hit = links > 0
-        return pd.DataFrame({"cls": ids[hit], "links": links[hit], "up": root[hit]})
-    found = checkpointed(m.groupBy(*cell_key, "i", "j").applyInPandas(compare, "cls bigint, links bigint, up bigint"))
+        return {"cls": ids[hit], "links": links[hit], "up": _roots(adj, ids)[hit]}
+    found = checkpointed(map_groups(m, [*cell_key, "i", "j"], compare, "cls bigint, links bigint, up bigint", shuffle_partitions(df.sparkSession)))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("cls").alias("a"), F.col("up").alias("b")))
     named = (classes.select("f1", "f2", "cls", "rep", "mult").join(links, "cls", "left")

@@ -27,13 +27,12 @@ get its component.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, map_batches, maybe_broadcast
+from .common import checkpointed, connected_components, map_batches, map_groups, maybe_broadcast, shuffle_partitions
 
 BUCKETS = 160
 #: Numbers of bands, by the size of the larger set of a pair: the least that exceeds size / 4; the last also beyond.
@@ -206,32 +205,36 @@ def _blocks(rows: DataFrame, key: str, size: str) -> DataFrame:
     m = rows.withColumn("nb", F.ceil(F.col(size) / BLOCK).cast("int"))
     m = m.withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    m = m.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("nb", "other", size)
-    # few bytes, much work: a number of partitions of its own, which is not coalesced by size
-    return m.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "i", "j")
+    return m.withColumn("i", F.least("blk", "other")).withColumn("j", F.greatest("blk", "other")).drop("nb", "other", size)
 
 
-def _edges(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
+def _edges(a: np.ndarray, b: np.ndarray) -> dict:
+    return {"a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64)}
+
+
+def _sides(g: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of both blocks of a group."""
+    return np.flatnonzero(g["blk"] == g["i"][0]), np.flatnonzero(g["blk"] == g["j"][0])
 
 
 def _plausible_blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Spanning edges (a, b) of the plausible pairs across groups within each band. members: key, rep, comp, size."""
     m = _blocks(members.join(classes.select("rep", "regs", "n"), "rep").select("key", "size", "rep", "comp", "regs", "n"), "key", "size")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["blk"] == pdf["i"].iloc[0]], pdf[pdf["blk"] == pdf["j"].iloc[0]]
-        if left.empty or right.empty or pdf["comp"].nunique() < 2:
+    def run(g: dict) -> dict:
+        left, right = _sides(g)
+        if not len(left) or not len(right) or (g["comp"] == g["comp"][0]).all():
             return _edges([], [])
-        x = np.frombuffer(b"".join(left["regs"]), "<u2").reshape(-1, BUCKETS)
-        y = np.frombuffer(b"".join(right["regs"]), "<u2").reshape(-1, BUCKETS)
-        nx, ny = left["n"].to_numpy(), right["n"].to_numpy()
-        adj = left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
+        regs = np.frombuffer(b"".join(g["regs"]), "<u2").reshape(-1, BUCKETS)
+        x, y, nx, ny = regs[left], regs[right], g["n"][left], g["n"][right]
+        adj = g["comp"][left][:, None] != g["comp"][right][None, :]
         adj &= np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny)
         some = np.flatnonzero(adj.any(axis=1))  # rows without a partner to try are left out
+        if not len(some):
+            return _edges([], [])
         adj[some] &= estimate_matrix(x[some], y) >= threshold - MARGIN
-        return _edges(*spanning(adj, left["rep"].to_numpy(), right["rep"].to_numpy()))
-    return m.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+        return _edges(*spanning(adj, g["rep"][left], g["rep"][right]))
+    return map_groups(m, ["key", "i", "j"], run, "a bigint, b bigint", shuffle_partitions(m.sparkSession)).distinct()
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -266,17 +269,22 @@ def _linked_blocks(groups: DataFrame, sets: DataFrame, percent: int) -> DataFram
     """Spanning links (a, b) within each group, on full sets. groups: comp, rep, size."""
     m = _blocks(groups.join(sets.select(F.col("doc_id").alias("rep"), "s"), "rep").select("comp", "size", "rep", "s"), "comp", "size")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = pdf[pdf["blk"] == i], pdf[pdf["blk"] == j]
-        if left.empty or right.empty:
+    def run(g: dict) -> dict:
+        left, right = _sides(g)
+        if not len(left) or not len(right):
+            return _edges([], [])
+        sets = [np.frombuffer(v, np.uint64) for v in g["s"]]
+        if len(sets) == 2 and len(left) == len(right) == 2:  # most groups are a pair
+            both = len(sets[0]) + len(sets[1]) - len(np.union1d(*sets))
+            if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
+                return _edges([g["rep"].max()], [g["rep"].min()])
             return _edges([], [])
-        x = [np.frombuffer(v, np.uint64) for v in left["s"]]
-        y = x if i == j else [np.frombuffer(v, np.uint64) for v in right["s"]]
+        x = [sets[k] for k in left]
+        y = x if g["i"][0] == g["j"][0] else [sets[k] for k in right]
         both = common_counts(x, y)
         union = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :] - both
-        return _edges(*spanning(100 * both >= percent * union, left["rep"].to_numpy(), right["rep"].to_numpy()))
-    return m.groupBy("comp", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+        return _edges(*spanning(100 * both >= percent * union, g["rep"][left], g["rep"][right]))
+    return map_groups(m, ["comp", "i", "j"], run, "a bigint, b bigint", shuffle_partitions(m.sparkSession)).distinct()
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -318,7 +326,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # groups of plausible pairs
     near = checkpointed(_plausible(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), some, threshold))
     group = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    m = members.select("key", "rep", "size").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    # in a band of two the head has met the other already
+    m = members.select("key", "rep", "size").filter("size > 2").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     rest = checkpointed(_plausible_blocks(m.join(mixed, "key"), some, threshold))
     if not rest.isEmpty():
