@@ -123,6 +123,11 @@ def keep_documents(docs: DataFrame, reject_rate: float = HOST_REJECT_RATE) -> Da
 
     Two passes over the texts (rates, then the filter) instead of shuffling them."""
     rates = host_rates(base_counts(docs.select("source", "text")).select("source", "base_failed"))
-    rejected = checkpointed(rates.filter(F.col("shrunk_rate") >= reject_rate).select("host"))
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return with_verdict(base_counts(docs), rejected).filter("kept").select(*cols)
+    rejected = maybe_broadcast(checkpointed(rates.filter(F.col("shrunk_rate") >= reject_rate).select("host")), BROADCAST_HOSTS)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    good = docs.join(rejected.select(F.col("host").alias("__host")), F.col("source") == F.col("__host"), "left_anti")
+    scored = base_counts(good.select(row, "source", "text"))
+    # a filter would be pushed down through the staged projections, which writes every stage's expression out
+    # again wherever it is read; exploding one element or none drops the same rows where they are
+    one = F.when(F.col("base_failed"), F.array().cast("array<boolean>")).otherwise(F.array(F.lit(True)))
+    return scored.select("__row", F.explode(one)).select("__row.*")

@@ -52,9 +52,11 @@ def covered_lines(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", "th").agg(F.collect_set("p").alias("gone")))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of `docs` with the text cleaned, plus n_lines and n_removed (long)."""
-    cols = docs.columns
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """All rows and columns of `docs` with the text cleaned, plus the numbers of lines and of removed lines (long)
+    under the names in `counts`, which replace columns of that name."""
+    cols = [c for c in docs.columns if c not in counts]
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     g = covered_lines(narrow).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     d = docs.select(*[F.col(f"`{c}`") for c in cols], F.xxhash64(f"`{text}`").alias("__h"))
@@ -64,5 +66,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     left = F.transform(stay, lambda i: F.get(F.col("__l"), i))
     cleaned = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
     return j.select(*[(cleaned.alias(text) if c == text else F.col(f"`{c}`")) for c in cols],
-                    F.coalesce(F.size("__l"), F.lit(0)).cast("long").alias("n_lines"),
-                    F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+                    F.coalesce(F.size("__l"), F.lit(0)).cast("long").alias(counts[0]),
+                    F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias(counts[1]))
