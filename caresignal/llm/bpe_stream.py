@@ -98,7 +98,8 @@ class Bpe:
     """A tokenizer file of the byte-level BPE family: optional NFC and lower-casing, one splitting
     pattern without lookaround, optional end-of-word suffix, special tokens matched in raw text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merging: bool = True):
+        """merging=False: normalising and splitting only, without the merge table."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -109,8 +110,11 @@ class Bpe:
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+        self._special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
+        if not merging:
+            return
+        self.vocab: dict[str, int] = model["vocab"]
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         back = {c: b for b, c in enumerate(byte_symbols())}
@@ -126,7 +130,6 @@ class Bpe:
         width = {i: max(1, len(t[:-len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t)) for t, i in self.vocab.items()}
         self.lookahead = sufficient_lookahead([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], width)
         self.width = width
-        self._special = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._cache: dict[str, tuple[int, bytes, bytes]] = {}
         self._pretokens: dict[str, list[int]] = {}
 

@@ -113,36 +113,30 @@ def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 
-    Contraction on the edge table: every root takes its smallest neighbouring root as
-    parent, parent chains are shortened by pointer jumping, edges are rewritten to the
-    new roots and made distinct, until no edge is left. All steps are joins and
-    partially aggregated groupings; each round is checkpointed to the shared folder;
-    only row counts reach the driver.
+    Contraction on the edge table. In a round every node takes its smallest neighbour as
+    parent, parent chains are shortened by two pointer jumps, and edges are rewritten to
+    the nodes' ancestors; where a chain is not yet at its end, the edge to the rest of it
+    stays. Rounds end when no edge is left; the nodes then follow the rounds' parents.
+    All steps are joins and partially aggregated groupings, two checkpoints a round in the
+    shared folder; the driver only asks whether an edge is left. Star-shaped edges, as
+    spanning edges mostly are, take one or two rounds.
     """
-    e = (edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-         .select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    ordered = lambda x, y: [F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")]
+    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x <> y").select(*ordered("x", "y")).distinct()
     e = checkpointed(e)
     member = e.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().select("node", F.col("node").alias("root"))
-    if e.isEmpty():
-        return member.select("node", F.col("root").alias("component"))
     for _ in range(max_rounds):
-        parent = checkpointed(e.groupBy(F.col("hi").alias("child")).agg(F.min("lo").alias("up")))
-        while True:  # pointer jumping: a chain of length n takes log2(n) steps
-            over = parent.select(F.col("child").alias("up"), F.col("up").alias("up2"))
-            step = checkpointed(parent.join(over, "up", "left")
-                                .select("child", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")))
-            moved = not step.filter("moved").isEmpty()
-            parent = step.select("child", "up")
-            if not moved:
-                break
-        up = parent.select(F.col("child").alias("root"), F.col("up").alias("new_root"))
-        member = checkpointed(member.join(up, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")))
-        hi = parent.select(F.col("child").alias("hi"), F.col("up").alias("hi2"))
-        lo = parent.select(F.col("child").alias("lo"), F.col("up").alias("lo2"))
-        e = (e.join(hi, "hi", "left").join(lo, "lo", "left")
-             .select(F.coalesce("hi2", "hi").alias("x"), F.coalesce("lo2", "lo").alias("y")).filter("x <> y")
-             .select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")).distinct())
-        e = checkpointed(e)
         if e.isEmpty():
             return member.select("node", F.col("root").alias("component"))
+        up = e.groupBy(F.col("hi").alias("child")).agg(F.min("lo").alias("up"))
+        for _ in range(2):
+            over = up.select(F.col("child").alias("up"), F.col("up").alias("up2"))
+            up = up.join(over, "up", "left").select("child", F.coalesce("up2", "up").alias("up"))
+        up = checkpointed(up)
+        member = member.join(up.select(F.col("child").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        hi, lo = (up.select(F.col("child").alias(c), F.col("up").alias(c + "2")) for c in ("hi", "lo"))
+        moved = (e.join(hi, "hi", "left").join(lo, "lo", "left")
+                 .select(F.coalesce("hi2", "hi").alias("x"), F.coalesce("lo2", "lo").alias("y")))
+        on = up.select(F.col("up").alias("x")).distinct().join(up.select(F.col("child").alias("x"), F.col("up").alias("y")), "x")
+        e = checkpointed(moved.union(on).filter("x <> y").select(*ordered("x", "y")).distinct())
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

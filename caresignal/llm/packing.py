@@ -40,7 +40,7 @@ WINDOW = 512
 OUT_ROWS = 8192
 #: Characters encoded at a time.
 GROUP_CHARS = 1 << 20
-_CACHE = 300_000
+_CACHE = 200_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -189,7 +189,7 @@ class ChunkEncoder:
         self.t.no_truncation()
         self.t.no_padding()
         self.merge = self.t.model.tokenize
-        self.rules = Bpe(path)
+        self.rules = Bpe(path, merging=False)
         symbols = byte_symbols()
         self.symbols = {b: symbols[b] for b in range(256)}
         self.cache: dict[str, bytes] = {}
