@@ -24,12 +24,21 @@ def null_tokens(c: str | Column, tokens: Iterable[str] = DEFAULT_NULL_TOKENS) ->
     return F.when(x.isin(list(tokens)), F.lit(None).cast("string")).otherwise(x)
 
 
+#: What counts as a number: decimal text, infinities and nan; none of the JVM's type suffixes.
+NUMBER_TEXT = r"(?i)^[+-]?(([0-9]+(\.[0-9]*)?|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)$"
+
+
+def is_number(c: str | Column) -> Column:
+    return F.trim(col_of(c).cast("string")).rlike(NUMBER_TEXT)
+
+
 def numeric_coerce(c: str | Column) -> Column:
     """Text -> double; anything that does not parse becomes NULL, never an error.
 
     NaN is mapped to NULL so that averages skip it like a missing value.
     """
-    parsed = F.trim(col_of(c).cast("string")).try_cast("double")
+    text = F.trim(col_of(c).cast("string"))
+    parsed = F.when(is_number(c), text.try_cast("double"))
     return F.when(F.isnan(parsed), F.lit(None).cast("double")).otherwise(parsed)
 
 
@@ -75,7 +84,7 @@ def confusion_label(y: str | Column, pred: str | Column) -> Column:
     return (F.when((y == 1) & (p == 1), F.lit("TP"))
             .when((y == 0) & (p == 1), F.lit("FP"))
             .when((y == 0) & (p == 0), F.lit("TN"))
-            .otherwise(F.lit("FN")))
+            .when((y == 1) & (p == 0), F.lit("FN")))
 
 
 def threshold_flag(p: str | Column, threshold: float) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col_of, threshold_flag
+from ..functions.columns import col_of, is_number, numeric_coerce, threshold_flag
 from ..functions.constants import (
     ACK_FIELD,
     DIMENSIONS,
@@ -40,25 +40,26 @@ def validate_requests(req: DataFrame, expected: Sequence[str], numeric: Sequence
                       required: Sequence[str] = REQUIRED_RESEARCH_FIELDS, payload: str = "payload",
                       ack: str = ACK_FIELD) -> DataFrame:
     """Adds `status` (valid/invalid) and `error`, checked in the service's order:
-    acknowledgement, unknown fields, missing required fields, non-numeric values."""
+    acknowledgement (column or payload field), unknown fields, missing required fields, non-numeric values."""
     pl = col_of(payload)
+    acked = F.coalesce(col_of(ack), F.lit(False)) | F.coalesce(F.lower(pl[ACK_FIELD]) == "true", F.lit(False))
     # every check is a plain (code-generated) expression over the fixed field lists
-    exp_arr = F.array(*[F.lit(c) for c in expected])
+    exp_arr = F.array(*[F.lit(c) for c in (*expected, ACK_FIELD)])
     unknown = F.sort_array(F.array_except(F.map_keys(pl), exp_arr))
     missing_txt = F.concat_ws(", ", *[F.when(_empty(pl[c]), F.lit(f"'{c}'")) for c in required])
     num_in_order = [c for c in expected if c in set(numeric)]
-    first_bad = F.coalesce(*[F.when(~_empty(pl[c]) & F.trim(pl[c]).try_cast("double").isNull(), F.lit(c))
+    first_bad = F.coalesce(*[F.when(~_empty(pl[c]) & ~is_number(pl[c]), F.lit(c))
                              for c in num_in_order], F.lit(None).cast("string"))
     # the three checks are separate columns first: smaller generated methods stay
     # JIT-compiled, and each check is evaluated once per row
     x = req.withColumns({"_unknown": unknown, "_missing": missing_txt, "_bad": first_bad})
     u, m, b = F.col("_unknown"), F.col("_missing"), F.col("_bad")
-    err = (F.when(~F.coalesce(col_of(ack), F.lit(False)), F.lit("Research-only acknowledgement is required."))
+    err = (F.when(~acked, F.lit("Research-only acknowledgement is required."))
            .when(F.size(u) > 0, F.concat(F.lit("Unknown fields: "), _py_list(u)))
            .when(m != "", F.concat(F.lit("Missing required research fields: ["), m, F.lit("]")))
            .when(b.isNotNull(), F.concat(F.lit("Field "), b, F.lit(" must be numeric."))))
     # validity as a plain boolean, so a filter on `status` needs no error text
-    ok = F.coalesce(col_of(ack), F.lit(False)) & (F.size(u) == 0) & (m == "") & b.isNull()
+    ok = acked & (F.size(u) == 0) & (m == "") & b.isNull()
     return (x.withColumn("error", err)
             .withColumn("status", F.when(ok, F.lit("valid")).otherwise(F.lit("invalid")))
             .drop("_unknown", "_missing", "_bad"))
@@ -72,7 +73,7 @@ def normalize_requests(req: DataFrame, feature_types: dict[str, str], payload: s
     for f, t in feature_types.items():
         raw = F.element_at(pl, f)
         v = F.when(_empty(raw), F.lit(None).cast("string")).otherwise(raw)
-        cols.append((F.trim(v).try_cast("double") if t == "numeric" else v).alias(f))
+        cols.append((numeric_coerce(v) if t == "numeric" else v).alias(f))
     return req.select(*[col_of(k) for k in keep], *cols)
 
 

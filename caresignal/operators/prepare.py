@@ -66,12 +66,12 @@ def kpi_slice(df: DataFrame, states: Sequence[str] | None = None,
     projection rewrites every text column, after which no predicate can reach
     the Parquet scan."""
     out = df
-    if states:
+    if states is not None:
         out = out.where(F.col("State").isin(list(states)))
-    if conditions:
+    if conditions is not None:
         codes = [c for c, name in MEASURE_CONDITIONS if name in set(conditions)]
         out = out.where(F.col("`Measure Name`").isin(codes))
-    if facilities:
+    if facilities is not None:
         out = out.where(F.col("`Facility Name`").isin(list(facilities)))
     return out
 

@@ -285,7 +285,7 @@ SELECT facility_id AS Facility_ID, {R('err')} AS Excess_Readmission_Ratio, condi
 FROM hrrp WHERE condition = 'COPD'"""))
 def q_clean_export_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "export")
-    sinks.write_clean_export(hospital_table(spark, sf_dir), path, fmt="parquet")
+    sinks.write_clean_export(hospital_table(spark, sf_dir), path, fmt="parquet", partition_by=("Condition",))
     back = spark.read.parquet(path).where(F.col("Condition") == "COPD")  # partition pruning
     return finish(back.select("Facility_ID", "Excess_Readmission_Ratio", "Condition"))
 

@@ -397,7 +397,9 @@ def _metrics_doc_flat(doc):
 @register("metrics_doc", with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)("").rstrip() + _metrics_doc_sql())
 def q_metrics_doc(spark, sf_dir):
     from ..sources.sinks import metrics_document
-    doc = metrics_document(scored_table(spark, sf_dir), ["weight"])
+    train = encounter_table(spark, sf_dir).where("split = 'train'")
+    dropped = [r["column"] for r in prepare.sparse_columns(train, ALL_FEATURES).where("dropped").orderBy("column").collect()]
+    doc = metrics_document(scored_table(spark, sf_dir), dropped)
     return finish(_metrics_doc_flat(doc))
 
 

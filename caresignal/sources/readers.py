@@ -33,14 +33,20 @@ def resolve_input(spark: SparkSession, candidates: Sequence[str]) -> str:
 
 def _header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     # reading the header only: the schema of a one-line sample, no data pass
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path).columns
 
 
-def read_text_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+def read_text_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
+                  multi_line: bool = True) -> DataFrame:
+    """CSV as text columns. Quotes are doubled inside quoted cells; with `multi_line` cells may hold line
+    feeds, at the price of one task per file (set it to False for files without them, which are then split).
+    Every file's header must name the columns in order, and a row with another number of cells stops the
+    job (`columnPruning` off: the check needs whole rows)."""
     cols = list(columns) if columns else _header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
     # nullValue is a token nobody writes: the missing-value tokens are applied later
-    return (spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE")
+    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+            .option("escape", '"').option("multiLine", multi_line).option("columnPruning", False)
             .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
 
 
@@ -68,7 +74,7 @@ def encounter_scan(spark: SparkSession, path: str | Sequence[str],
     double, ids as bigint. The target and patient columns must exist (A4)."""
     cols = _header(spark, path)
     if TARGET_COLUMN not in cols or "patient_nbr" not in cols:
-        raise ValueError("Expected readmitted and patient_nbr columns were not found.")
+        raise ValueError(f"encounter file lacks {TARGET_COLUMN} or patient_nbr")
     df = prepare_encounters(read_text_csv(spark, path, cols), numeric=numeric)
     return df.select([F.trim(F.col(c)).try_cast("bigint").alias(c) if c in ID_COLUMNS else F.col(f"`{c}`")
                       for c in df.columns])

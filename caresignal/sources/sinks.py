@@ -30,8 +30,9 @@ GUARDRAILS = (
 
 
 def write_clean_export(df: DataFrame, path: str, fmt: str = "csv",
-                       partition_by: Sequence[str] | None = ("Condition",)) -> None:
-    """Write the 11-column export; partitioning by condition lets readers prune."""
+                       partition_by: Sequence[str] | None = None) -> None:
+    """Write the 11-column export. `partition_by` lets readers prune but moves those columns from the files
+    to the folder names, so CSV files hold all columns only without it."""
     out = clean_export(df)
     w = out.write.mode("overwrite")
     if partition_by:

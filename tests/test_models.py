@@ -37,7 +37,7 @@ def test_permutation_importance_ranks_the_driver_first(lr, planted):
 
 def test_permutation_is_a_permutation(spark, planted):
     test = planted.where("split = 'test'").select("encounter_id", "number_inpatient", "age")
-    long = models.permuted_long(test, ["number_inpatient"], repeats=2, block_rows=500)
+    long = models.permuted_long(test, ["number_inpatient"], repeats=2, blocks=8)
     for rep in (0, 1):
         part = long.where(F.col("repeat") == rep)
         assert part.count() == test.count()
