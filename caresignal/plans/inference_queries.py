@@ -299,11 +299,12 @@ def q_batch_score(spark, sf_dir):
     types = manifest["feature_types"]
     expected = manifest["input_features"]
     v = inference.validate_requests(request_table(spark, sf_dir), expected).where("status = 'valid'")
-    rows = inference.normalize_requests(v, {c: types[c] for c in expected})
+    v = inference.entered_drivers(v)
+    rows = inference.normalize_requests(v, {c: types[c] for c in expected}, keep=("request_id", "entered_global_driver_fields"))
     scored = fm.score(rows)
     out = inference.response_rows(scored, manifest["model_id"], manifest["clinical_status"])
     return out.select("request_id", "model_id", "research_probability", "research_threshold", "threshold_signal",
-                      "clinical_status", "public_patient_probability_allowed")
+                      "clinical_status", "public_patient_probability_allowed", "entered_global_driver_fields", "interpretation")
 
 
 # ---- streaming: the same responses produced by a Structured Streaming query -----------------------

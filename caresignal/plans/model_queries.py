@@ -10,25 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.constants import DIAGNOSIS_REDUCED_DROP, FEATURE_GROUPS, SELECTION_GRID_PCT
 from ..operators import metrics, models, prepare
 from ..session import ensure_checkpoint_dir
-from .patient_queries import ALL_FEATURES, CATEGORICAL, NUMERIC
+from .patient_queries import ALL_FEATURES, CATEGORICAL, NUMERIC, E
 from .patient_queries import encounter_table as _encounter_table
 from .registry import register
 
 MODEL_ID = "caresignal-gbt-research-v1"
 CLINICAL_STATUS = "research MVP only; not clinically validated or deployment-ready"
 
-# Driver keys fit the same estimators with fewer boosting rounds and trees than the
-# library defaults (250 rounds, 350 trees) so the whole key set runs in minutes.
-DRIVER_GBT_ITER = 30
-DRIVER_FOREST_TREES = 40
-
 _FIT_CACHE: dict = {}
 
 
-def driver_specs() -> list[models.ModelSpec]:
-    return models.benchmark_specs(gbt_iter=DRIVER_GBT_ITER, forest_trees=DRIVER_FOREST_TREES)
-
-
 def encounter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared encounters, persisted once per session: every fit, score and
     evaluation of the model queries reads the same frame (as ML training does)."""
@@ -80,7 +71,7 @@ def q_coefficients(spark, sf_dir):
 # --- G2 / G3 ------------------------------------------------------------------------------
 @register("gbt_model")
 def q_gbt_model(spark, sf_dir):
-    spec = driver_specs()[1]
+    spec = models.benchmark_specs()[1]
     fm = _fit_cached(spark, sf_dir, spec)
     e = encounter_table(spark, sf_dir).where("split IN ('validation', 'test')")
     return _eval_splits(fm, e)
@@ -88,7 +79,7 @@ def q_gbt_model(spark, sf_dir):
 
 @register("rf_model")
 def q_rf_model(spark, sf_dir):
-    spec = driver_specs()[2]
+    spec = models.benchmark_specs()[2]
     fm = _fit_cached(spark, sf_dir, spec)
     e = encounter_table(spark, sf_dir).where("split IN ('validation', 'test')")
     return _eval_splits(fm, e)
@@ -102,7 +93,7 @@ def model_grid(spark, sf_dir) -> DataFrame:
     rows = None
     order = 0
     for variant, drop in VARIANTS:
-        for spec in driver_specs():
+        for spec in models.benchmark_specs():
             fm = _fit_cached(spark, sf_dir, spec, drop)
             val = fm.score(encounter_table(spark, sf_dir).where("split = 'validation'"))
             ev = models.evaluate(val).select("roc_auc", "pr_auc", "brier_score")
@@ -127,7 +118,7 @@ def q_select_winner(spark, sf_dir):
     grid = model_grid(spark, sf_dir).cache()
     w = models.pick_winner(grid).first()
     grid.unpersist()
-    spec = {s.name: s for s in driver_specs()}[w["model"]]
+    spec = {s.name: s for s in models.benchmark_specs()}[w["model"]]
     drop = dict(VARIANTS)[w["feature_variant"]]
     fm = _fit_cached(spark, sf_dir, spec, drop)
     test = fm.score(encounter_table(spark, sf_dir).where("split = 'test'"))
@@ -142,7 +133,7 @@ def q_select_winner(spark, sf_dir):
 def bundle_path(spark: SparkSession, sf_dir: str) -> str:
     key = ("bundle", spark.sparkContext.applicationId, sf_dir)
     if key not in _FIT_CACHE:
-        spec = driver_specs()[1]
+        spec = models.benchmark_specs()[1]
         fm = _fit_cached(spark, sf_dir, spec, on=("train", "validation"))
         path = f"{ensure_checkpoint_dir(spark)}/caresignal-bundle-{uuid.uuid4().hex}"
         types = {c: "numeric" for c in fm.prep.numeric} | {c: "categorical" for c in fm.prep.categorical}
@@ -180,7 +171,36 @@ def q_ablation(spark, sf_dir):
                       F.round(F.col("pr_auc") - base["pr_auc"], 4).alias("delta_pr_auc_vs_baseline"),
                       F.round(F.col("brier_score") - base["brier_score"], 4).alias("delta_brier_vs_baseline"))
         out = r if out is None else out.unionByName(r)
-    return out
+    return out.orderBy("delta_roc_auc_vs_baseline", "removed_group")
+
+
+# --- B11: features left by each group drop, with their non-missing training values -----------------
+DROPS = (*FEATURE_GROUPS, ("diagnosis_reduced", DIAGNOSIS_REDUCED_DROP))
+
+
+@register("feature_variants", E("\nUNION ALL\n".join(
+    f"SELECT '{name}' AS removed_group, '{c}' AS feature, CAST(count({c}) AS BIGINT) AS non_missing FROM encs WHERE split = 'train'"
+    for name, drop in DROPS for c in ALL_FEATURES if c not in drop)))
+def q_feature_variants(spark, sf_dir):
+    train = _encounter_table(spark, sf_dir).where("split = 'train'").select(*ALL_FEATURES)
+    counts = train.agg(*[F.count(c).alias(c) for c in ALL_FEATURES]).unpivot([], list(ALL_FEATURES), "feature", "non_missing")
+    kept = F.create_map(*[x for name, drop in DROPS for x in (
+        F.lit(name), F.array(*[F.lit(c) for c in prepare.drop_features(train, drop)[0].columns]))])
+    groups = F.explode(kept).alias("removed_group", "features")
+    return counts.select("feature", "non_missing", groups).where(F.array_contains("features", F.col("feature"))) \
+        .select("removed_group", "feature", "non_missing")
+
+
+# --- A9: scores of the reloaded bundle against the fitted model --------------------------------------
+@register("bundle_roundtrip", E("SELECT split, CAST(count(*) AS BIGINT) AS encounters, CAST(0 AS BIGINT) AS different, "
+                                "CAST(0 AS BIGINT) AS outside_0_1 FROM encs WHERE split <> 'train' GROUP BY split"))
+def q_bundle_roundtrip(spark, sf_dir):
+    fm = _fit_cached(spark, sf_dir, models.benchmark_specs()[1], on=("train", "validation"))
+    back, _ = models.load_bundle(spark, bundle_path(spark, sf_dir))
+    rows = encounter_table(spark, sf_dir).where("split <> 'train'")
+    both = back.score(fm.score(rows, "p_fit").select(*rows.columns, "p_fit"), "p_back")
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("encounters"), F.count_if(~F.col("p_fit").eqNullSafe(F.col("p_back"))).alias("different"),
+                                     F.count_if(~F.col("p_back").between(0, 1)).alias("outside_0_1"))
 
 
 # --- G8: permutation importance --------------------------------------------------------------------

@@ -24,7 +24,7 @@ REQUEST_SCHEMA = T.StructType([
 ])
 
 RESPONSE_COLUMNS = ("request_id", "route_status", "status", "error", "model_id", "research_probability",
-                    "research_threshold", "threshold_signal", "clinical_status")
+                    "research_threshold", "threshold_signal", "clinical_status", "entered_global_driver_fields", "interpretation")
 
 
 def respond(requests: DataFrame, fm: FittedModel, manifest: Mapping, registry: DataFrame | None) -> DataFrame:
@@ -35,16 +35,18 @@ def respond(requests: DataFrame, fm: FittedModel, manifest: Mapping, registry: D
     routed = inference.route_requests(requests, registry).withColumnRenamed("model_id", "route_model_id")
     expected = list(manifest["input_features"])
     v = inference.validate_requests(routed, expected)
-    valid = v.where(F.col("status") == "valid")
+    valid = inference.entered_drivers(v.where(F.col("status") == "valid"))
     rows = inference.normalize_requests(valid, {c: manifest["feature_types"][c] for c in expected},
-                                        keep=("request_id", "route_status", "status", "error"))
+                                        keep=("request_id", "route_status", "status", "error", "entered_global_driver_fields"))
     scored = inference.response_rows(fm.score(rows), manifest["model_id"], manifest["clinical_status"])
     ok = scored.select(*RESPONSE_COLUMNS)
     bad = v.where(F.col("status") != "valid").select(
         "request_id", "route_status", "status", "error",
         F.lit(None).cast("string").alias("model_id"), F.lit(None).cast("double").alias("research_probability"),
         F.lit(None).cast("double").alias("research_threshold"), F.lit(None).cast("string").alias("threshold_signal"),
-        F.lit(None).cast("string").alias("clinical_status"))
+        F.lit(None).cast("string").alias("clinical_status"),
+        F.lit(None).cast("array<struct<feature:string,value:string>>").alias("entered_global_driver_fields"),
+        F.lit(None).cast("string").alias("interpretation"))
     return ok.unionByName(bad)
 
 
