@@ -14,23 +14,14 @@ ERR = "Excess Readmission Ratio"
 def data_audit(df: DataFrame) -> DataFrame:
     """rows, columns, duplicate rows (rows minus distinct rows; NULL equals NULL).
 
-    Exact, without shuffling whole rows: every row is reduced to a 64-bit hash and
-    only the hash is counted (partial aggregation first). Rows whose hash occurs
-    more than once -- true duplicates plus rare collisions -- are then compared on
-    all columns. The full-width shuffle is limited to those candidates."""
-    cols = [col_of(c) for c in df.columns]
-    # a marker per column keeps NULL apart from a value that hashes like a skipped NULL
-    marks = F.concat_ws("", *[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols])
-    hashed = df.select(F.xxhash64(*cols, marks).alias("_h"), *cols)
-    counts = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counts.where(F.col("n") > 1).select("_h")
-    candidates = hashed.join(repeated, "_h", "left_semi").drop("_h")
-    dups = (candidates.groupBy(*[col_of(c) for c in df.columns]).count()
-            .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("d")))
-    return counts.agg(F.sum("n").cast("bigint").alias("rows")).select(
-        F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
-        F.lit(len(df.columns)).cast("bigint").alias("columns"),
-        dups.select("d").scalar().alias("duplicate_rows"))
+    One grouping on all columns, so the input is derived and read once: copies of a row
+    collapse in the map tasks before the shuffle, and a row that a third of the table
+    repeats costs one row per map task."""
+    copies = df.groupBy(*[col_of(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    n = F.col("_copies")
+    return copies.agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("rows"),
+                      F.lit(len(df.columns)).cast("bigint").alias("columns"),
+                      F.coalesce(F.sum(n - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -51,6 +42,13 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(col_of(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(field, value, count) of several text columns in one pass, NULL kept as its own group."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), col_of(c).cast("string").alias("value")) for c in columns]))
+    return (df.select(cells.alias("_c")).groupBy(F.col("_c.field").alias("field"), F.col("_c.value").alias("value"))
+            .agg(F.count(F.lit(1)).alias("count")))
+
+
 def footnote_missing(df: DataFrame, footnote: str = "Footnote") -> DataFrame:
     """Per footnote (NULL kept): rows and missing discharges / readmissions / ERR."""
     return df.groupBy(col_of(footnote).alias("footnote")).agg(

@@ -146,6 +146,13 @@ def route_requests(req: DataFrame, registry: DataFrame | None, task: str = "task
 # Code tables
 # ---------------------------------------------------------------------------
 
+def dimension_counts(df: DataFrame, columns: Sequence[str], suffix: str = "_label") -> DataFrame:
+    """(dimension, code, label, encounters) of decoded columns, one pass for all of them."""
+    cells = F.explode(F.array(*[F.struct(
+        F.lit(c).alias("dimension"), col_of(c).cast("string").alias("code"), col_of(f"{c}{suffix}").alias("label")) for c in columns]))
+    return df.select(cells.alias("_c")).select("_c.*").groupBy("dimension", "code", "label").agg(F.count(F.lit(1)).alias("encounters"))
+
+
 def decode_dims(df: DataFrame, dims=DIMENSIONS, suffix: str = "_label") -> DataFrame:
     """Adds a clinical label column for every coded column present (literal map
     lookup: the code tables are fixed and tiny)."""

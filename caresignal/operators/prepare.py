@@ -57,6 +57,12 @@ def valid_subset(df: DataFrame, column: str = ERR) -> DataFrame:
     return df.where(col_of(column).isNotNull())
 
 
+def valid_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """(subset, rows): size of the valid subset of each column {subset name: column}, one pass."""
+    return (df.agg(*[F.count(col_of(c)).alias(name) for name, c in columns.items()])
+            .unpivot([], list(columns), "subset", "rows"))
+
+
 def kpi_slice(df: DataFrame, states: Sequence[str] | None = None,
               conditions: Sequence[str] | None = None,
               facilities: Sequence[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import HRRP_COLUMNS
+from ..functions.constants import HRRP_COLUMNS, STATE_MIN_RECORDS
 from ..operators import audit, hospital, prepare
 from ..sources import fixtures
 from ..sources.fixtures import HOSPITAL_FIXTURE_SQL
@@ -12,9 +12,6 @@ from .registry import R, finish, register, with_ctes
 
 H = with_ctes(HOSPITAL_FIXTURE_SQL)
 
-# the state volume rule is 100 in the library; the driver tables are small (FIXTURES.md)
-DRIVER_STATE_MIN_RECORDS = 10
-
 
 def hospital_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.prepare_hospital(fixtures.hospital_raw(spark, sf_dir))
@@ -62,14 +59,8 @@ UNION ALL SELECT 'discharges', CAST(count(*) FILTER (WHERE discharges IS NOT NUL
 UNION ALL SELECT 'readmissions', CAST(count(*) FILTER (WHERE readmissions IS NOT NULL) AS BIGINT) FROM hrrp"""))
 def q_valid_subset(spark, sf_dir):
     h = hospital_table(spark, sf_dir)
-    parts = [("err", "Excess Readmission Ratio"), ("discharges", "Number of Discharges"),
-             ("readmissions", "Number of Readmissions Numeric")]
-    out = None
-    for name, col in parts:
-        d = prepare.valid_subset(h, col).agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("subset"), "rows")
-        out = d if out is None else out.unionByName(d)
-    return out
+    return prepare.valid_counts(h, {"err": "Excess Readmission Ratio", "discharges": "Number of Discharges",
+                                    "readmissions": "Number of Readmissions Numeric"})
 
 
 # --- C6: slicers ----------------------------------------------------------------------
@@ -133,9 +124,7 @@ UNION ALL
 SELECT 'Footnote', footnote, CAST(count(*) AS BIGINT) FROM hrrp GROUP BY footnote"""))
 def q_value_counts(spark, sf_dir):
     h = hospital_table(spark, sf_dir)
-    a = audit.value_counts(h, "Measure Name").select(F.lit("Measure Name").alias("field"), "value", "count")
-    b = audit.value_counts(h, "Footnote").select(F.lit("Footnote").alias("field"), "value", "count")
-    return a.unionByName(b)
+    return audit.value_counts_long(h, ["Measure Name", "Footnote"])
 
 
 @register("footnote_missing", H("""
@@ -229,20 +218,20 @@ def q_state_summary(spark, sf_dir):
 
 
 @register("state_top", H(f"""
-SELECT {_STATE_COLS} FROM ({_STATE_SQL}) s WHERE valid_err >= {DRIVER_STATE_MIN_RECORDS}
+SELECT {_STATE_COLS} FROM ({_STATE_SQL}) s WHERE valid_err >= {STATE_MIN_RECORDS}
 ORDER BY mean_err DESC, state LIMIT 10"""))
 def q_state_top(spark, sf_dir):
-    return finish(hospital.state_top(hospital_table(spark, sf_dir), min_records=DRIVER_STATE_MIN_RECORDS))
+    return finish(hospital.state_top(hospital_table(spark, sf_dir)))
 
 
 @register("state_extremes", H(f"""
-(SELECT {_STATE_COLS}, 'highest' AS "end" FROM ({_STATE_SQL}) s WHERE valid_err >= {DRIVER_STATE_MIN_RECORDS}
+(SELECT {_STATE_COLS}, 'highest' AS "end" FROM ({_STATE_SQL}) s WHERE valid_err >= {STATE_MIN_RECORDS}
  ORDER BY mean_err DESC, state LIMIT 3)
 UNION ALL
-(SELECT {_STATE_COLS}, 'lowest' AS "end" FROM ({_STATE_SQL}) s WHERE valid_err >= {DRIVER_STATE_MIN_RECORDS}
+(SELECT {_STATE_COLS}, 'lowest' AS "end" FROM ({_STATE_SQL}) s WHERE valid_err >= {STATE_MIN_RECORDS}
  ORDER BY mean_err ASC, state LIMIT 3)"""))
 def q_state_extremes(spark, sf_dir):
-    return finish(hospital.state_extremes(hospital_table(spark, sf_dir), min_records=DRIVER_STATE_MIN_RECORDS))
+    return finish(hospital.state_extremes(hospital_table(spark, sf_dir)))
 
 
 # --- D11-D14, E3, E4, B13 -----------------------------------------------------------------

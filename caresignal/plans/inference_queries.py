@@ -28,14 +28,18 @@ PAYLOAD_FIELDS = ("age", "gender", "admission_type_id", "discharge_disposition_i
                   "num_medications", "number_outpatient", "number_emergency", "number_inpatient",
                   "diag_1", "diag_2", "diag_3", "number_diagnoses")
 FEATURE_TYPES = {c: ("numeric" if c in NUMERIC_FIELDS else "categorical") for c in PAYLOAD_FIELDS}
-# (task, unit) requested, by encounter_id % 5
+# (task, unit) requested, by encounter_id % 6
 ROUTE_CASES = (
     ("hospital_level_readmission_intelligence", "hospital-condition record"),
     ("patient_30_day_readmission_probability", "patient encounter"),
     ("patient_30_day_readmission_probability", "hospital-condition record"),
     ("external_validation_and_local_calibration", "authorized Dubai sandbox data"),
     ("patient_risk_score", "patient encounter"),
+    ("patient_30_day_readmission_probability", "local calibrated encounter"),
 )
+# a registry row whose probabilities are released, beside the published ones
+RELEASED_MODEL = ("local-calibrated-v1", "released", "patient_30_day_readmission_probability", "local encounters",
+                  "local calibrated encounter", True, None)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -91,7 +95,7 @@ def derive_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     # absent keys are the NULL entries
     payload = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*vals)),
                            lambda k, v: v.isNotNull())
-    route = F.col("encounter_id") % 5
+    route = F.col("encounter_id") % len(ROUTE_CASES)
     task = F.element_at(F.array(*[F.lit(t) for t, _ in ROUTE_CASES]), (route + 1).cast("int"))
     unit = F.element_at(F.array(*[F.lit(u) for _, u in ROUTE_CASES]), (route + 1).cast("int"))
     return e.select(F.col("encounter_id").alias("request_id"), (case != 0).alias("research_acknowledged"),
@@ -110,7 +114,7 @@ def _missing_list_sql() -> str:
 
 _REQ_SQL = f"""
 req AS (
-  SELECT *, encounter_id AS request_id, encounter_id % 7 AS k7, encounter_id % 5 AS k5,
+  SELECT *, encounter_id AS request_id, encounter_id % 7 AS k7, encounter_id % 6 AS route_case,
          {_missing_list_sql()} AS missing_required
   FROM encs),
 validated AS (
@@ -173,32 +177,35 @@ def q_entered_drivers(spark, sf_dir):
 
 def _registry_values_sql() -> str:
     rows = []
-    for pos, (mid, status, task, src, unit, allowed, _rule) in enumerate(REGISTRY_MODELS):
+    for pos, (mid, status, task, src, unit, allowed, _rule) in enumerate((*REGISTRY_MODELS, RELEASED_MODEL)):
         rows.append(f"({pos}, '{mid}', '{task}', '{unit}', {str(allowed).upper()})")
     return "(VALUES " + ", ".join(rows) + ") r(position, id, task, unit_of_analysis, allowed)"
 
 
 _ROUTE_CASES_SQL = "(VALUES " + ", ".join(f"({i}, '{t}', '{u}')" for i, (t, u) in enumerate(ROUTE_CASES)) + \
-    ") c(k5, task, unit)"
+    ") c(route_case, task, unit)"
 
 
-@register("route_requests", V(f"""
-SELECT request_id, task, unit, model_id,
+_ROUTED_SQL = f"""
+SELECT x.*,
   CASE WHEN model_id IS NULL THEN 'NO VALID ROUTE'
        WHEN task = 'hospital_level_readmission_intelligence' THEN 'ANALYTICS READY'
        WHEN allowed THEN 'PROBABILITY ENABLED' ELSE 'OUTPUT LOCKED' END AS route_status
 FROM (
-  SELECT q.request_id, c.task, c.unit,
+  SELECT q.*, c.task, c.unit,
          (SELECT r.id FROM {_registry_values_sql()} WHERE r.task = c.task AND (r.unit_of_analysis = c.unit OR
              (r.id = 'dubai-nabidh-external-validation' AND c.unit = 'authorized Dubai sandbox data'))
           ORDER BY r.position LIMIT 1) AS model_id,
          (SELECT r.allowed FROM {_registry_values_sql()} WHERE r.task = c.task AND (r.unit_of_analysis = c.unit OR
              (r.id = 'dubai-nabidh-external-validation' AND c.unit = 'authorized Dubai sandbox data'))
           ORDER BY r.position LIMIT 1) AS allowed
-  FROM req q JOIN {_ROUTE_CASES_SQL} ON q.k5 = c.k5) x"""))
+  FROM validated q JOIN {_ROUTE_CASES_SQL} ON q.route_case = c.route_case) x"""
+
+
+@register("route_requests", V(f"SELECT request_id, task, unit, model_id, route_status FROM ({_ROUTED_SQL}) routed"))
 def q_route_requests(spark, sf_dir):
     path = scratch_dir(spark, "registry")
-    write_registry(spark, path)
+    write_registry(spark, path, extra=(RELEASED_MODEL,))
     reg = readers.registry_scan(spark, path)
     r = inference.route_requests(request_table(spark, sf_dir), reg)
     return r.select("request_id", "task", "unit", "model_id", "route_status")
@@ -242,14 +249,7 @@ def _decode_sql() -> str:
 def q_decode_dims(spark, sf_dir):
     from ..functions.constants import DIMENSIONS
     e = inference.decode_dims(encounter_table(spark, sf_dir))
-    out = None
-    for c, _ in DIMENSIONS:
-        if c not in PAYLOAD_FIELDS:
-            continue
-        d = e.groupBy(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("code"),
-                      F.col(f"{c}_label").alias("label")).agg(F.count(F.lit(1)).alias("encounters"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return inference.dimension_counts(e, [c for c, _ in DIMENSIONS if c in PAYLOAD_FIELDS])
 
 
 # ---- A1 / A3: CSV sources (fixture written to a scratch folder and read back) ---------------------
@@ -317,7 +317,7 @@ def q_stream_responses(spark, sf_dir):
     request_table(spark, sf_dir)                       # makes sure the request files exist
     source = _WRITTEN[(spark.sparkContext.applicationId, sf_dir)]
     reg_path = scratch_dir(spark, "registry")
-    write_registry(spark, reg_path)
+    write_registry(spark, reg_path, extra=(RELEASED_MODEL,))
     sink, ckpt = scratch_dir(spark, "responses"), scratch_dir(spark, "responses-ckpt")
     q = start_request_stream(spark, source, sink, ckpt, fm, manifest, readers.registry_scan(spark, reg_path),
                              available_now=True)

@@ -25,7 +25,8 @@ encs AS (
         FROM enc) e
   WHERE patient_nbr IS NOT NULL),
 scored AS (
-  SELECT *, least((encounter_id * 7919) % 850 + 150 * y, 999) / 1000.0::DOUBLE AS p FROM encs)
+  SELECT *, ((encounter_id * 7919) % 650 + CASE WHEN (y = 1 AND encounter_id % 3 <> 0) OR (y = 0 AND encounter_id % 10 = 0)
+         THEN 350 ELSE 0 END) / 1000.0::DOUBLE AS p FROM encs)
 """
 E = with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)
 
@@ -49,8 +50,10 @@ def encounter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic score that needs no model (FIXTURES.md section 3)."""
     e = encounter_table(spark, sf_dir)
-    raw = F.least((F.col("encounter_id") * 7919) % 850 + F.col("y") * 150, F.lit(999))
-    return e.withColumn("p", raw / F.lit(1000.0))
+    k, y = F.col("encounter_id"), F.col("y")
+    # two thirds of the positives and a tenth of the negatives score high: all four error groups occur
+    high = ((y == 1) & (k % 3 != 0)) | ((y == 0) & (k % 10 == 0))
+    return e.withColumn("p", ((k * 7919) % 650 + F.when(high, F.lit(350)).otherwise(F.lit(0))) / F.lit(1000.0))
 
 
 # --- B6, F1, F2, D18, J5 --------------------------------------------------------------

@@ -36,7 +36,6 @@ def hospital_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.count_if(_returned(F.col("l_returnflag"), F.col("l_suppkey"), F.col("l_linenumber"))).alias("r")))
     m = F.col("p_size") % 6
     grp = (pre.join(part, pre.l_partkey == part.p_partkey)
-           .where((F.col("l_suppkey") % 10 < 9) | (m < 4))
            .groupBy(F.col("l_suppkey"), m.alias("m"))
            .agg(F.sum("n").alias("n"), F.sum("r").alias("r")))
     # six measure indexes at most: the totals table is bounded by construction
@@ -51,16 +50,22 @@ def hospital_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (g.join(sup, g.l_suppkey == sup.s_suppkey)
          .join(nat, F.col("s_nationkey") == F.col("n_nationkey")))
     sk, m, n, r, mn, mr = (F.col(c) for c in ("l_suppkey", "m", "n", "r", "mn", "mr"))
-    supp = (sk * 7 + m * 11) % 23 < 6
+    # every tenth hospital reports four conditions only
+    supp = ((sk * 7 + m * 11) % 23 < 6) | ((sk % 10 == 9) & (m >= 4))
     too_few = (sk * 13 + m * 5) % 17 < 4
     null_s = F.lit(None).cast("string")
     err = F.expr("(r * mn * 10000) div (n * mr)") / F.lit(10000.0)
     start = F.date_add(F.lit("2021-07-01").cast("date"), m.cast("int"))
     end = F.date_sub(F.lit("2024-06-30").cast("date"), m.cast("int"))
-    return j.select(
+    # a few records are delivered twice
+    copies = F.when((sk % 25 == 3) & (m == 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    # three states hold nine tenths of the hospitals, so that the volume rule for states is met
+    state = (F.when(sk % 10 < 3, F.lit("CA")).when(sk % 10 < 6, F.lit("TX")).when(sk % 10 < 9, F.lit("NY"))
+             .otherwise(F.col("n_name")))
+    return j.withColumn("copy", F.explode(copies)).select(
         F.col("s_name").alias("Facility Name"),
         F.col("s_suppkey").cast("string").alias("Facility ID"),
-        F.col("n_name").alias("State"),
+        state.alias("State"),
         measure_code(m).alias("Measure Name"),
         F.when(supp, null_s).otherwise(n.cast("string")).alias("Number of Discharges"),
         F.when(supp, F.lit("5")).when(too_few, F.lit("1")).otherwise(null_s).alias("Footnote"),
@@ -80,12 +85,11 @@ hrrp_li AS (
          count(*) FILTER (WHERE l.l_returnflag = 'R'
              OR (l.l_returnflag = 'A' AND l.l_suppkey % 4 = 0 AND l.l_linenumber <= 4)) AS r
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_suppkey % 10 < 9 OR p.p_size % 6 < 4
   GROUP BY 1, 2),
 hrrp_mt AS (SELECT m, sum(n) AS mn, sum(r) AS mr FROM hrrp_li GROUP BY m),
 hrrp_base AS (
   SELECT g.*, t.mn, t.mr, s.s_name, n.n_name,
-         (g.sk * 7 + g.m * 11) % 23 < 6 AS supp,
+         (g.sk * 7 + g.m * 11) % 23 < 6 OR (g.sk % 10 = 9 AND g.m >= 4) AS supp,
          (g.sk * 13 + g.m * 5) % 17 < 4 AS too_few
   FROM hrrp_li g JOIN hrrp_mt t USING (m)
   JOIN supplier s ON s.s_suppkey = g.sk
@@ -94,7 +98,7 @@ hrrp AS (
   SELECT
     CAST(sk AS VARCHAR) AS facility_id,
     s_name AS facility_name,
-    n_name AS state,
+    CASE WHEN sk % 10 < 3 THEN 'CA' WHEN sk % 10 < 6 THEN 'TX' WHEN sk % 10 < 9 THEN 'NY' ELSE n_name END AS state,
     CASE m WHEN 0 THEN 'READM-30-AMI-HRRP' WHEN 1 THEN 'READM-30-HF-HRRP'
            WHEN 2 THEN 'READM-30-COPD-HRRP' WHEN 3 THEN 'READM-30-PN-HRRP'
            WHEN 4 THEN 'READM-30-CABG-HRRP' WHEN 5 THEN 'READM-30-HIP-KNEE-HRRP' END AS measure_name,
@@ -110,7 +114,7 @@ hrrp AS (
     CASE WHEN supp THEN '5' WHEN too_few THEN '1' ELSE NULL END AS footnote,
     CAST(DATE '2021-07-01' + CAST(m AS INTEGER) AS DATE) AS start_date,
     CAST(DATE '2024-06-30' - CAST(m AS INTEGER) AS DATE) AS end_date
-  FROM hrrp_base)
+  FROM hrrp_base, (VALUES (0), (1)) copies(copy) WHERE copy = 0 OR (sk % 25 = 3 AND m = 2))
 """
 
 
@@ -158,6 +162,7 @@ def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.lit(">30")))
     no_lines = F.col("n_lines").isNull()
     a = (ck % 10) * 10
+    part_1, part_2 = F.col("min_part") % 20, F.col("max_part") % 12
     return e.select(
         k.alias("encounter_id"),
         F.col("o_custkey").alias("patient_nbr"),
@@ -169,16 +174,19 @@ def encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1) + k % 7).cast("bigint").alias("discharge_disposition_id"),
         F.col("c_nationkey").cast("bigint").alias("admission_source_id"),
         (F.lit(1) + k % 14).cast("bigint").alias("time_in_hospital"),
-        F.when(k % 5 == 0, F.lit("?")).otherwise(F.col("c_mktsegment")).alias("medical_specialty"),
-        F.coalesce(F.col("qty"), F.lit(0.0)).cast("bigint").alias("num_lab_procedures"),
+        F.when(k % 5 == 0, F.lit("?")).when(k % 97 == 1, F.concat(F.lit("RARE-"), (k % 37).cast("string")))
+         .otherwise(F.col("c_mktsegment")).alias("medical_specialty"),
+        F.when(k % 11 != 0, F.coalesce(F.col("qty"), F.lit(0.0)).cast("bigint")).alias("num_lab_procedures"),
         F.coalesce(F.col("n_lines"), F.lit(0)).cast("bigint").alias("num_procedures"),
         (F.coalesce(F.col("n_lines"), F.lit(0)) * 3).cast("bigint").alias("num_medications"),
         F.col("number_outpatient").cast("bigint").alias("number_outpatient"),
         F.col("number_emergency").cast("bigint").alias("number_emergency"),
         F.col("number_inpatient").cast("bigint").alias("number_inpatient"),
-        (F.col("min_part") % 20).cast("string").alias("diag_1"),
+        F.when(part_1 == 0, F.lit("428")).when(part_1 == 1, F.lit("250.4")).when(part_1 == 2, F.lit("401"))
+         .otherwise(part_1.cast("string")).alias("diag_1"),
         F.when(no_lines | (F.col("max_part") % 9 == 0), F.lit("?"))
-         .otherwise((F.col("max_part") % 12).cast("string")).alias("diag_2"),
+         .when(part_2 == 1, F.lit("414")).when(part_2 == 2, F.lit("486"))
+         .otherwise(part_2.cast("string")).alias("diag_2"),
         F.when(no_lines | (F.col("min_part") % 6 == 0), F.lit("?"))
          .otherwise((F.col("min_part") % 15).cast("string")).alias("diag_3"),
         (F.lit(1) + k % 9).cast("bigint").alias("number_diagnoses"),
@@ -213,15 +221,17 @@ enc AS (
     CAST(1 + w.o_orderkey % 7 AS BIGINT) AS discharge_disposition_id,
     CAST(c.c_nationkey AS BIGINT) AS admission_source_id,
     CAST(1 + w.o_orderkey % 14 AS BIGINT) AS time_in_hospital,
-    CASE WHEN w.o_orderkey % 5 = 0 THEN NULL ELSE c.c_mktsegment END AS medical_specialty,
-    CAST(coalesce(l.qty, 0) AS BIGINT) AS num_lab_procedures,
+    CASE WHEN w.o_orderkey % 5 = 0 THEN NULL WHEN w.o_orderkey % 97 = 1 THEN 'RARE-' || CAST(w.o_orderkey % 37 AS VARCHAR)
+         ELSE c.c_mktsegment END AS medical_specialty,
+    CASE WHEN w.o_orderkey % 11 <> 0 THEN CAST(coalesce(l.qty, 0) AS BIGINT) END AS num_lab_procedures,
     CAST(coalesce(l.n_lines, 0) AS BIGINT) AS num_procedures,
     CAST(coalesce(l.n_lines, 0) * 3 AS BIGINT) AS num_medications,
     CAST(coalesce(w.n_out, 0) AS BIGINT) AS number_outpatient,
     CAST(coalesce(w.n_em, 0) AS BIGINT) AS number_emergency,
     CAST(coalesce(w.n_in, 0) AS BIGINT) AS number_inpatient,
-    CAST(l.min_part % 20 AS VARCHAR) AS diag_1,
-    CASE WHEN l.n_lines IS NULL OR l.max_part % 9 = 0 THEN NULL ELSE CAST(l.max_part % 12 AS VARCHAR) END AS diag_2,
+    CASE l.min_part % 20 WHEN 0 THEN '428' WHEN 1 THEN '250.4' WHEN 2 THEN '401' ELSE CAST(l.min_part % 20 AS VARCHAR) END AS diag_1,
+    CASE WHEN l.n_lines IS NULL OR l.max_part % 9 = 0 THEN NULL WHEN l.max_part % 12 = 1 THEN '414' WHEN l.max_part % 12 = 2 THEN '486'
+         ELSE CAST(l.max_part % 12 AS VARCHAR) END AS diag_2,
     CASE WHEN l.n_lines IS NULL OR l.min_part % 6 = 0 THEN NULL ELSE CAST(l.min_part % 15 AS VARCHAR) END AS diag_3,
     CAST(1 + w.o_orderkey % 9 AS BIGINT) AS number_diagnoses,
     CASE WHEN w.o_orderkey % 40 = 0 THEN '[50-75)' ELSE NULL END AS weight
