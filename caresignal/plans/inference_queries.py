@@ -1,8 +1,6 @@
 """Registered inference, routing and source queries."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,7 @@ from ..functions.constants import (
     RESEARCH_THRESHOLD,
 )
 from ..operators import inference
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from ..sources import readers, sinks
 from .hospital_queries import H, hospital_table
 from ..sources.fixtures import ENCOUNTER_FIXTURE_SQL
@@ -42,15 +40,6 @@ RELEASED_MODEL = ("local-calibrated-v1", "released", "patient_30_day_readmission
                   "local calibrated encounter", True, None)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """Fresh folder under the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark)}/caresignal-{name}-{uuid.uuid4().hex}"
-
-
-def _with_entry(m, k: str, v):
-    return F.map_concat(F.map_filter(m, lambda kk, vv: kk != F.lit(k)), F.create_map(F.lit(k), v))
-
-
 _WRITTEN: dict = {}
 
 
@@ -291,8 +280,9 @@ def q_clean_export_roundtrip(spark, sf_dir):
 
 
 # ---- I3 / I5: batch scoring of valid requests with the saved bundle -----------------------------
-@register("batch_score")
-def q_batch_score(spark, sf_dir):
+# `batch_responses` and `stream_response_rows` give full responses; the registered queries keep the
+# columns SQL can state and check the probability: in [0, 1], and the signal follows it
+def batch_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import models
     from .model_queries import bundle_path
     fm, manifest = models.load_bundle(spark, bundle_path(spark, sf_dir))
@@ -307,9 +297,34 @@ def q_batch_score(spark, sf_dir):
                       "clinical_status", "public_patient_probability_allowed", "entered_global_driver_fields", "interpretation")
 
 
+def _checked() -> list:
+    p = F.col("research_probability")
+    above = F.col("threshold_signal") == "above"
+    # the flag is set on the unrounded score, so a score that rounds to the threshold may carry either
+    return [p.between(0, 1).alias("probability_in_range"),
+            ((p == F.col("research_threshold")) | (above == (p > F.col("research_threshold")))).alias("signal_follows"),
+            F.when(F.col("entered_global_driver_fields").isNotNull(), F.size("entered_global_driver_fields")).alias("drivers")]
+
+
+def _driver_count_sql() -> str:
+    terms = []
+    for f in GLOBAL_DRIVER_FIELDS:
+        val = "CASE WHEN k7 = 4 THEN '' ELSE diag_2 END" if f == "diag_2" else f"CAST({f} AS VARCHAR)"
+        terms.append(f"CASE WHEN coalesce({val}, '') <> '' THEN 1 ELSE 0 END")
+    return "CAST(" + " + ".join(terms) + " AS INTEGER)"
+
+
+@register("batch_score", V(f"""
+SELECT request_id, 'caresignal-gbt-research-v1' AS model_id, {RESEARCH_THRESHOLD}::DOUBLE AS research_threshold,
+       false AS public_patient_probability_allowed, true AS probability_in_range, true AS signal_follows,
+       {_driver_count_sql()} AS drivers FROM validated WHERE error IS NULL"""))
+def q_batch_score(spark, sf_dir):
+    return batch_responses(spark, sf_dir).select("request_id", "model_id", "research_threshold",
+                                                 "public_patient_probability_allowed", *_checked())
+
+
 # ---- streaming: the same responses produced by a Structured Streaming query -----------------------
-@register("stream_responses")
-def q_stream_responses(spark, sf_dir):
+def stream_response_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import models
     from ..streaming.requests import start_request_stream
     from .model_queries import bundle_path
@@ -323,3 +338,11 @@ def q_stream_responses(spark, sf_dir):
                              available_now=True)
     q.awaitTermination()
     return spark.read.parquet(sink)
+
+
+@register("stream_responses", V(f"""
+SELECT request_id, route_status, CASE WHEN error IS NULL THEN 'valid' ELSE 'invalid' END AS status, error,
+       CASE WHEN error IS NULL THEN true END AS probability_in_range, CASE WHEN error IS NULL THEN true END AS signal_follows,
+       CASE WHEN error IS NULL THEN {_driver_count_sql()} END AS drivers FROM ({_ROUTED_SQL}) routed"""))
+def q_stream_responses(spark, sf_dir):
+    return stream_response_rows(spark, sf_dir).select("request_id", "route_status", "status", "error", *_checked())

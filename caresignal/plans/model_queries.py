@@ -2,24 +2,39 @@
 the driver checks their rows, and the tests check planted-signal behaviour."""
 from __future__ import annotations
 
-import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import DIAGNOSIS_REDUCED_DROP, FEATURE_GROUPS, SELECTION_GRID_PCT
 from ..operators import metrics, models, prepare
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_dir
 from .patient_queries import ALL_FEATURES, CATEGORICAL, NUMERIC, E
 from .patient_queries import encounter_table as _encounter_table
-from .registry import register
+from .registry import R, register
 
 MODEL_ID = "caresignal-gbt-research-v1"
 CLINICAL_STATUS = "research MVP only; not clinically validated or deployment-ready"
+OUTCOME = "readmitted within 30 days against all other outcomes"
+FIT_DATA = "patients of the training and validation splits; the test split is held out"
+INTENDED_USE = "demonstration, reproducible inference tests and preparation of an external validation"
 
+#: Fitted models and bundles of this session, by folder of the tables; `forget_session` empties it.
 _FIT_CACHE: dict = {}
 
 
+def forget_session() -> None:
+    """Forget fitted models, bundles and written request tables: the next query derives and fits anew.
+    Call it when the tables of a folder have changed (and before timing a cold run)."""
+    from .inference_queries import _WRITTEN
+    for v in _FIT_CACHE.values():
+        if isinstance(v, DataFrame):
+            v.unpersist()
+    _FIT_CACHE.clear()
+    _WRITTEN.clear()
+
+
 def encounter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prepared encounters, persisted once per session: every fit, score and
     evaluation of the model queries reads the same frame (as ML training does)."""
@@ -135,21 +150,38 @@ def bundle_path(spark: SparkSession, sf_dir: str) -> str:
     if key not in _FIT_CACHE:
         spec = models.benchmark_specs()[1]
         fm = _fit_cached(spark, sf_dir, spec, on=("train", "validation"))
-        path = f"{ensure_checkpoint_dir(spark)}/caresignal-bundle-{uuid.uuid4().hex}"
+        path = scratch_dir(spark, "bundle")
         types = {c: "numeric" for c in fm.prep.numeric} | {c: "categorical" for c in fm.prep.categorical}
-        manifest = {"model_id": MODEL_ID, "architecture": "GBTClassifier", "feature_variant": "full",
+        sparse = prepare.sparse_columns(encounter_table(spark, sf_dir).where("split = 'train'"), ALL_FEATURES)
+        dropped = sorted(r["column"] for r in sparse.where("dropped").select("column").collect())
+        manifest = {"schema_version": "1.1.0", "generated_at_utc": datetime.now(timezone.utc).isoformat(),
+                    "model_id": MODEL_ID, "architecture": "GBTClassifier", "feature_variant": "full",
                     "input_features": [c for c in ALL_FEATURES if c in types], "feature_types": types,
-                    "clinical_status": CLINICAL_STATUS, "public_patient_probability_allowed": False}
+                    "dropped_sparse_columns": dropped, "outcome": OUTCOME, "fit_data": FIT_DATA,
+                    "clinical_status": CLINICAL_STATUS, "public_patient_probability_allowed": False,
+                    "intended_use": INTENDED_USE}
         models.save_bundle(spark, fm, path, manifest)
         _FIT_CACHE[key] = path
     return _FIT_CACHE[key]
 
 
-@register("model_bundle")
+def _bundle_sql() -> str:
+    return "\nUNION ALL\n".join(
+        f"SELECT '{MODEL_ID}' AS model_id, '{c}' AS feature, '{'numeric' if c in NUMERIC else 'categorical'}' AS feature_type, "
+        f"CAST(count({c}) AS BIGINT) AS fit_values FROM encs WHERE split <> 'test' "
+        f"HAVING avg(CASE WHEN split = 'train' THEN CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END END) <= 0.8" for c in ALL_FEATURES)
+
+
+@register("model_bundle", E(_bundle_sql()))
 def q_model_bundle(spark, sf_dir):
+    """Input features of the reloaded manifest with their types and the values they were fitted on
+    (`bundle_roundtrip` compares the reloaded scores)."""
     fm, manifest = models.load_bundle(spark, bundle_path(spark, sf_dir))
-    test = encounter_table(spark, sf_dir).where("split = 'test'")
-    return models.evaluate(fm.score(test)).select(F.lit(manifest["model_id"]).alias("model_id"), "*")
+    feats = manifest["input_features"]
+    rows = encounter_table(spark, sf_dir).where("split <> 'test'")
+    counts = rows.agg(*[F.count(c).alias(c) for c in feats]).unpivot([], feats, "feature", "fit_values")
+    kind = F.create_map(*[F.lit(x) for c in feats for x in (c, manifest["feature_types"][c])])
+    return counts.select(F.lit(manifest["model_id"]).alias("model_id"), "feature", kind[F.col("feature")].alias("feature_type"), "fit_values")
 
 
 # --- G7: feature-group ablation -------------------------------------------------------------------
@@ -209,3 +241,49 @@ def q_permutation_importance(spark, sf_dir):
     fm = _fit_cached(spark, sf_dir, models.baseline_spec())
     test = encounter_table(spark, sf_dir).where("split = 'test'")
     return models.permutation_importance(fm, test, fm.features)
+
+
+# --- G8: what a permutation keeps, and G5: the winner's order, on rows that need no model -------------
+PERMUTED = ("number_inpatient", "num_medications")
+
+
+@register("permutation_values", E("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, CAST(r AS INTEGER) AS repeat, CAST({c} AS BIGINT) AS value, CAST(count(*) AS BIGINT) AS n "
+    f"FROM encs, range(3) t(r) WHERE split = 'test' GROUP BY r, {c}" for c in PERMUTED)))
+def q_permutation_values(spark, sf_dir):
+    """Values of each permuted column with their counts: the same as before the permutation."""
+    test = _encounter_table(spark, sf_dir).where("split = 'test'").select("encounter_id", *PERMUTED)
+    long = models.permuted_long(test, PERMUTED, repeats=3)
+    value = F.when(F.col("feature") == PERMUTED[0], F.col(PERMUTED[0])).otherwise(F.col(PERMUTED[1]))
+    return long.groupBy("feature", "repeat", value.cast("bigint").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_CANDIDATES_SQL = """
+, cands AS (
+  SELECT 'as_is' AS model, 0 AS candidate_order, y, p FROM scored WHERE split = 'validation' UNION ALL
+  SELECT 'reversed', 1, y, 1 - p FROM scored WHERE split = 'validation' UNION ALL
+  SELECT 'coarse', 2, y, floor(p * 10) / 10 FROM scored WHERE split = 'validation')
+, counts AS (SELECT model, candidate_order, p AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM cands GROUP BY ALL)
+, sums AS (
+  SELECT *, sum(neg) OVER (PARTITION BY model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_below,
+         sum(pos) OVER (PARTITION BY model ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+         sum(neg) OVER (PARTITION BY model ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp FROM counts)
+, curves AS (
+  SELECT model, candidate_order, sum(pos * (coalesce(neg_below, 0) + 0.5 * neg)) / (sum(pos) * sum(neg)) AS roc_auc,
+         sum(pos * tp / (tp + fp)) / sum(pos) AS pr_auc FROM sums GROUP BY ALL)
+, brier AS (SELECT model, avg((p - y) * (p - y)) AS brier_score FROM cands GROUP BY model)
+"""
+
+
+@register("winner_on_scores", E("").rstrip() + _CANDIDATES_SQL + f"""
+SELECT model, CAST(candidate_order AS INTEGER) AS candidate_order, {R('roc_auc', 4)} AS roc_auc, {R('pr_auc', 4)} AS pr_auc,
+       {R('brier_score', 4)} AS brier_score FROM curves JOIN brier USING (model)
+ORDER BY roc_auc DESC, pr_auc DESC, brier_score ASC, candidate_order LIMIT 1""")
+def q_winner_on_scores(spark, sf_dir):
+    """The winner among three deterministic scores of the validation rows, all evaluated in one pass."""
+    from .patient_queries import scored_table
+    p = F.col("p")
+    cands = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("candidate_order"), s.cast("double").alias("p"))
+                                for i, (n, s) in enumerate((("as_is", p), ("reversed", 1 - p), ("coarse", F.floor(p * 10) / 10)))]))
+    long = scored_table(spark, sf_dir).where("split = 'validation'").select("y", cands.alias("c")).select("y", "c.*")
+    return models.pick_winner(models.evaluate(long, keys=["model", "candidate_order"])).drop("prevalence")

@@ -5,9 +5,11 @@ caller's session settings win: we only fill settings that are unset.
 """
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -47,3 +49,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name under the session's shared checkpoint folder; what was written
+    there is deleted when the process ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/caresignal-{name}-{uuid.uuid4().hex}"
+    if not _SCRATCH:
+        atexit.register(_delete_scratch)
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def _delete_scratch() -> None:
+    for spark, path in _SCRATCH:
+        sc = spark.sparkContext
+        if sc._jsc is None:  # stopped already: the folders stay
+            continue
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

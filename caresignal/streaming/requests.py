@@ -30,24 +30,17 @@ RESPONSE_COLUMNS = ("request_id", "route_status", "status", "error", "model_id",
 def respond(requests: DataFrame, fm: FittedModel, manifest: Mapping, registry: DataFrame | None) -> DataFrame:
     """Batch or streaming requests -> one response row each (valid and invalid).
 
-    Valid and invalid rows are two projections of the same micro-batch; the
-    routing table is static and broadcast, so no stateful operator is needed."""
+    One pass: the payload of an invalid request is blanked before it is typed, so the
+    model never sees it, and its response columns are NULL. The routing table is static
+    and broadcast, so no stateful operator is needed."""
     routed = inference.route_requests(requests, registry).withColumnRenamed("model_id", "route_model_id")
     expected = list(manifest["input_features"])
-    v = inference.validate_requests(routed, expected)
-    valid = inference.entered_drivers(v.where(F.col("status") == "valid"))
-    rows = inference.normalize_requests(valid, {c: manifest["feature_types"][c] for c in expected},
+    ok = F.col("status") == "valid"
+    v = inference.validate_requests(routed, expected).withColumn("payload", F.when(ok, F.col("payload")))
+    rows = inference.normalize_requests(inference.entered_drivers(v), {c: manifest["feature_types"][c] for c in expected},
                                         keep=("request_id", "route_status", "status", "error", "entered_global_driver_fields"))
     scored = inference.response_rows(fm.score(rows), manifest["model_id"], manifest["clinical_status"])
-    ok = scored.select(*RESPONSE_COLUMNS)
-    bad = v.where(F.col("status") != "valid").select(
-        "request_id", "route_status", "status", "error",
-        F.lit(None).cast("string").alias("model_id"), F.lit(None).cast("double").alias("research_probability"),
-        F.lit(None).cast("double").alias("research_threshold"), F.lit(None).cast("string").alias("threshold_signal"),
-        F.lit(None).cast("string").alias("clinical_status"),
-        F.lit(None).cast("array<struct<feature:string,value:string>>").alias("entered_global_driver_fields"),
-        F.lit(None).cast("string").alias("interpretation"))
-    return ok.unionByName(bad)
+    return scored.select(*RESPONSE_COLUMNS[:4], *[F.when(ok, F.col(c)).alias(c) for c in RESPONSE_COLUMNS[4:]])
 
 
 def start_request_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
