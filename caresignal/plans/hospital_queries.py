@@ -341,3 +341,16 @@ def q_hrrp_summary_doc(spark, sf_dir):
     doc = hrrp_summary_document(hospital_table(spark, sf_dir), source_file="driver-tables", materialize=True)
     return doc.select("kpis.*", F.col("source.reporting_period.start").alias("reporting_period_start"),
                       F.col("source.reporting_period.end").alias("reporting_period_end"))
+
+
+@register("hrrp_summary_conditions", H(f"""
+SELECT condition, records, valid_err, {R('mean_err', 4)} AS mean_err, {R('median_err', 4)} AS median_err,
+       {R('mean_predicted_rate', 4)} AS mean_predicted_rate, {R('mean_expected_rate', 4)} AS mean_expected_rate,
+       {R('err_above_1_pct', 1)} AS err_above_1_pct,
+       CAST(row_number() OVER (ORDER BY {R('mean_predicted_rate', 4)} DESC NULLS LAST, condition) - 1 AS INTEGER) AS position
+FROM ({_COND_RAW}) c"""))
+def q_hrrp_summary_conditions(spark, sf_dir):
+    """The condition rows nested in the summary document, in the document's order."""
+    from ..sources.sinks import hrrp_summary_document
+    doc = hrrp_summary_document(hospital_table(spark, sf_dir), source_file="driver-tables", materialize=True)
+    return finish(doc.select(F.posexplode("conditions").alias("position", "c")).select("position", "c.*"))

@@ -389,7 +389,7 @@ def _metrics_doc_flat(doc):
             F.col("encounters.test").alias("encounters_test")]
     for sp in ("validation", "test"):
         for m in ("roc_auc", "pr_auc", "brier_score", "prevalence"):
-            cols.append(F.col(f"{sp}.discrimination.{m}").alias(f"{sp}_{m}"))
+            cols.append(F.col(f"{sp}.{m}").alias(f"{sp}_{m}"))
     cols += [F.col("validation.selected_threshold.threshold").alias("selected_threshold"),
              F.col("validation.selected_threshold.f1").alias("selected_f1")]
     for m in ("sensitivity_recall", "specificity", "precision", "f1", "tp", "fp", "tn", "fn"):
@@ -397,13 +397,55 @@ def _metrics_doc_flat(doc):
     return doc.select(cols)
 
 
-@register("metrics_doc", with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)("").rstrip() + _metrics_doc_sql())
-def q_metrics_doc(spark, sf_dir):
+DOCUMENT_TEXTS = {"outcome": "readmitted within 30 days against all other outcomes", "model": "deterministic score",
+                  "split": "patients are split; no patient is in two splits"}
+
+
+def _metrics_document(spark, sf_dir) -> DataFrame:
     from ..sources.sinks import metrics_document
     train = encounter_table(spark, sf_dir).where("split = 'train'")
     dropped = [r["column"] for r in prepare.sparse_columns(train, ALL_FEATURES).where("dropped").orderBy("column").collect()]
-    doc = metrics_document(scored_table(spark, sf_dir), dropped)
-    return finish(_metrics_doc_flat(doc))
+    return metrics_document(scored_table(spark, sf_dir), dropped, texts=DOCUMENT_TEXTS)
+
+
+@register("metrics_doc", with_ctes(ENCOUNTER_FIXTURE_SQL, ENCOUNTER_SPLIT_SQL)("").rstrip() + _metrics_doc_sql())
+def q_metrics_doc(spark, sf_dir):
+    return finish(_metrics_doc_flat(_metrics_document(spark, sf_dir)))
+
+
+@register("metrics_doc_tradeoff", E(confusion_sql(_grid_conf(REPORT_GRID_PCT, "test"))))
+def q_metrics_doc_tradeoff(spark, sf_dir):
+    """The trade-off table nested in the metrics document, as rows."""
+    return finish(_metrics_document(spark, sf_dir).select(F.inline("test.threshold_tradeoff_table")))
+
+
+# --- A7: error-profile document, its nested parts as rows --------------------------------------------
+def _error_document(spark, sf_dir) -> DataFrame:
+    from ..sources.documents import error_profiles_document
+    # one pass over the derived input: threshold choice and all parts read the stored rows
+    s = metrics._materialize(scored_table(spark, sf_dir).where("split IN ('validation', 'test')"))
+    t = metrics.best_threshold(s.where("split = 'validation'"), metrics.grid(SELECTION_GRID_PCT)).select("threshold").scalar()
+    grouped = metrics._materialize(errors.with_confusion_group(s.where("split = 'test'"), t))
+    return error_profiles_document(grouped, t)
+
+
+@register("error_profiles_doc", G("\nUNION ALL\n".join([
+    f"""SELECT (SELECT threshold FROM ({_BEST_SQL}) b) AS threshold, "group", '{c}' AS feature, CAST(NULL AS VARCHAR) AS value,
+       {R(f'median({c})', 4)} AS number FROM grouped GROUP BY "group" """ for c in FOCUS_NUMERIC] + [
+    f"""SELECT (SELECT threshold FROM ({_BEST_SQL}) b), "group", feature, value, {R('n / tot', 4)} FROM (
+  SELECT *, sum(n) OVER (PARTITION BY "group", feature) AS tot,
+         row_number() OVER (PARTITION BY "group", feature ORDER BY n DESC, value) AS rank
+  FROM (SELECT "group", feature, value, count(*) AS n FROM ({_CAT_LONG}) l GROUP BY ALL) c) r
+WHERE rank <= 10"""])))
+def q_error_profiles_doc(spark, sf_dir):
+    from ..sources.documents import GROUPS
+    doc = _error_document(spark, sf_dir)
+    g = doc.select("threshold", F.explode(F.create_map(*[x for n in GROUPS for x in (F.lit(n), F.col(f"groups.{n}"))])).alias("group", "g"))
+    num = F.transform(F.map_entries("g.numeric"), lambda e: F.struct(
+        e["key"].alias("feature"), F.lit(None).cast("string").alias("value"), e["value"]["median"].alias("number")))
+    cat = F.flatten(F.transform(F.map_entries("g.categorical"), lambda e: F.transform(e["value"], lambda v: F.struct(
+        e["key"].alias("feature"), v["value"].alias("value"), v["share"].alias("number")))))
+    return finish(g.select("threshold", "group", F.inline(F.concat(num, cat))))
 
 
 # --- B9: feature typing from the schema, with non-missing counts ------------------------------------

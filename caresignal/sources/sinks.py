@@ -6,7 +6,7 @@ assembled with scalar subqueries and written as a single JSON file.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import PERSISTENT_MIN_CONDITIONS
 from ..operators import audit, hospital
 from ..operators.prepare import clean_export
+from .documents import header, text_fields
 
 # FIXED VALUES: document texts
 DEFINITIONS = (
@@ -43,7 +44,8 @@ def write_clean_export(df: DataFrame, path: str, fmt: str = "csv",
         w.format(fmt).save(path)
 
 
-def hrrp_summary_document(h: DataFrame, source_file: str, materialize: bool = False) -> DataFrame:
+def hrrp_summary_document(h: DataFrame, source_file: str, materialize: bool = False,
+                          publisher: str | None = None, dataset: str | None = None) -> DataFrame:
     """Nested summary document (one row) from the typed hospital table.
 
     The document reads its input in several passes (KPIs, duplicates, hospital
@@ -85,11 +87,10 @@ def hrrp_summary_document(h: DataFrame, source_file: str, materialize: bool = Fa
         sig.select("persistent_low").scalar().alias("persistent_low_err_hospitals"),
         F.lit(PERSISTENT_MIN_CONDITIONS).cast("bigint").alias("persistent_signal_min_conditions"))
     return base.select(
-        F.lit("1.0.0").alias("schema_version"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("generated_at_utc"),
+        *header("1.0.0"),
         F.struct(
-            F.lit("Centers for Medicare & Medicaid Services (CMS)").alias("publisher"),
-            F.lit("Hospital Readmissions Reduction Program (HRRP), FY 2026").alias("dataset"),
+            F.lit(publisher).cast("string").alias("publisher"),
+            F.lit(dataset).cast("string").alias("dataset"),
             F.lit(source_file).alias("local_source_file"),
             F.struct(F.col("start").cast("string").alias("start"),
                      F.col("end").cast("string").alias("end")).alias("reporting_period"),
@@ -106,8 +107,9 @@ def write_document(doc: DataFrame, path: str) -> None:
 
 
 def metrics_document(scored: DataFrame, dropped_sparse: Sequence[str] = (), label: str = "y", score: str = "p",
-                     split: str = "split") -> DataFrame:
-    """Training-run metrics document (A7): split sizes, validation discrimination
+                     split: str = "split", texts: Mapping[str, str] | None = None) -> DataFrame:
+    """Training-run metrics document (A7): the caller's `texts` {field: text} (dataset, outcome, model,
+    split, policies), split sizes, validation discrimination
     and the threshold chosen there, test discrimination, test metrics at that
     threshold and the test trade-off table. Every part is a bounded row set (one
     row, or one row per grid point) attached as a scalar subquery."""
@@ -118,10 +120,11 @@ def metrics_document(scored: DataFrame, dropped_sparse: Sequence[str] = (), labe
     s = F.col(split)
     val, test = scored.where(s == "validation"), scored.where(s == "test")
 
+    disc_fields = ("roc_auc", "pr_auc", "brier_score", "prevalence")
+
     def disc(df):
         d = metrics.discrimination(df, label, score)
-        return d.select(F.struct(*[F.round(c, 4).alias(c) for c in ("roc_auc", "pr_auc", "brier_score",
-                                                                    "prevalence")]).alias("d")).scalar()
+        return d.select(F.struct(*[F.round(c, 4).alias(c) for c in disc_fields]).alias("d")).scalar()
 
     best = metrics.best_threshold(val, metrics.grid(range(10, 91)), label, score)
     t = best.select("threshold").scalar()
@@ -129,14 +132,17 @@ def metrics_document(scored: DataFrame, dropped_sparse: Sequence[str] = (), labe
     table = metrics.threshold_table(test, metrics.grid(range(30, 81, 5)), label, score)
     sizes = scored.groupBy(s.alias("split")).agg(F.count(F.lit(1)).alias("n"))
     n_of = lambda name: sizes.where(F.col("split") == name).select("n").scalar()
-    return scored.sparkSession.range(1).select(
-        F.lit("1.2.0").alias("schema_version"),
+    one = scored.sparkSession.range(1).select(disc(val).alias("v"), disc(test).alias("t"))
+    flat = lambda d: [F.col(d)[c].alias(c) for c in disc_fields]
+    return one.select(
+        *header("1.2.0"),
+        *text_fields(texts),
         F.struct(n_of("train").alias("train"), n_of("validation").alias("validation"),
                  n_of("test").alias("test")).alias("encounters"),
-        F.struct(disc(val).alias("discrimination"),
+        F.struct(*flat("v"),
                  F.lit("maximum F1 on validation set").alias("threshold_selected_by"),
                  best.select(F.struct("*")).scalar().alias("selected_threshold")).alias("validation"),
-        F.struct(disc(test).alias("discrimination"),
+        F.struct(*flat("t"),
                  tm.select(F.struct("*")).scalar().alias("threshold_metrics"),
                  table.agg(F.sort_array(F.collect_list(F.struct("*")))).scalar().alias("threshold_tradeoff_table")
                  ).alias("test"),
