@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col_of, confusion_label
 from ..functions.constants import CATEGORICAL_TOP_K, FOCUS_CATEGORICAL, FOCUS_NUMERIC
+from .quantiles import exact_quantiles
 
 
 def with_confusion_group(df: DataFrame, threshold: float | Column, label: str = "y",
@@ -34,11 +35,9 @@ def error_profile_numeric(df: DataFrame, features: Sequence[str] = FOCUS_NUMERIC
                      *[col_of(c).cast("double").alias(c) for c in feats]) \
         .unpivot(["group"], feats, "feature", "value")
     v = F.col("value")
-    q = F.percentile(v, [0.5, 0.25, 0.75])
-    return long.groupBy("group", "feature").agg(
-        F.count(v).alias("n_non_null"),
-        F.round(F.avg(v), 4).alias("mean"),
-        q.alias("_q")).select(
+    means = long.groupBy("group", "feature").agg(F.count(v).alias("n_non_null"), F.round(F.avg(v), 4).alias("mean"))
+    q = exact_quantiles(long, ["group", "feature"], [0.5, 0.25, 0.75]).withColumnRenamed("quantiles", "_q")
+    return means.join(q, ["group", "feature"], "left").select(
         "group", "feature", "n_non_null", "mean",
         F.round(F.col("_q")[0], 4).alias("median"),
         F.round(F.col("_q")[1], 4).alias("p25"),

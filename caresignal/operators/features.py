@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_of
+from .quantiles import exact_quantiles
 
 INFREQUENT = "__infrequent__"
 
@@ -25,7 +26,10 @@ def numeric_medians(train: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """(feature, median) -- exact median, NULLs skipped."""
     long = train.select(*[col_of(c).cast("double").alias(c) for c in numeric]) \
         .unpivot([], list(numeric), "feature", "value")
-    return long.groupBy("feature").agg(F.median("value").alias("median"))
+    q = exact_quantiles(long, ["feature"], [0.5]).select("feature", F.col("quantiles")[0].alias("median"))
+    # a feature without a value has no median
+    names = F.explode(F.array(*[F.lit(c) for c in numeric]))
+    return train.sparkSession.range(1).select(names.alias("feature")).join(q, "feature", "left")
 
 
 def category_counts(train: DataFrame, categorical: Sequence[str]) -> DataFrame:

@@ -61,10 +61,9 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
         bounds = df.groupBy(*keys).agg(F.percentile_approx(o, qs, 10000).alias("_bounds"))
-        if keys and not broadcast_groups:
-            # a sketch merged in another order could move a boundary if a lost
-            # shuffle block were recomputed; fix the boundaries once
-            bounds = _materialize(bounds)
+        # a sketch merged in another order could move a boundary if it were computed twice
+        # (two branches read it) or a lost shuffle block were recomputed; fix the boundaries once
+        bounds = _materialize(bounds)
         if keys:
             x = df.join(bc(bounds), keys)
         else:
