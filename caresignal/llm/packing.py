@@ -5,8 +5,8 @@ and loss-bearing tokens. Among the pending pieces that fit an open sequence, the
 whose demand vector has the largest dot product with the sequence's remaining capacity is
 placed, every dimension in units of its limit. Pieces may be cut: an example longer than a
 sequence fills whole sequences first, and when no pending piece fits, one is cut to fill
-the gap. What is left at a partition's end is laid out in sequences whose lengths are
-powers of two, which need no padding.
+the gap. What is left at a partition's end, and a window full of pieces too small to fill
+a sequence, is laid out in sequences whose lengths are powers of two, which need no padding.
 
 Each task packs its own partition in a window of bounded size: no shuffle, nothing on the
 driver, and a lost task repeats the same result. A partition's rows only share sequences
@@ -91,7 +91,10 @@ class Packer:
         if len(p.ids):
             self.pending.append(p)
         while len(self.pending) > self.window:
+            waiting = len(self.pending)
             yield from self._drain(self.window // 2)
+            if len(self.pending) == waiting:  # a window of tiny pieces holds less than a sequence
+                yield from self._lay_out(self.window // 2)
 
     def _drain(self, down_to: int, rest: bool = False) -> Iterator[list[Piece]]:
         """Fill sequences until at most `down_to` pieces wait (and only while they fill a sequence, unless `rest`)."""
@@ -127,7 +130,11 @@ class Packer:
 
     def finish(self) -> Iterator[list[Piece]]:
         """The waiting pieces: full sequences while they last, then lengths that are powers of two."""
-        for seq in self._drain(0, rest=True):
+        yield from self._lay_out(0)
+
+    def _lay_out(self, down_to: int) -> Iterator[list[Piece]]:
+        """Sequences, full or not, until at most `down_to` pieces wait; what is not full is cut into powers of two."""
+        for seq in self._drain(down_to, rest=True):
             n = sum(len(p.ids) for p in seq)
             seq = list(seq)
             size = 1 << (n.bit_length() - 1)

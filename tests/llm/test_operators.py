@@ -3,6 +3,7 @@ import hashlib
 import itertools
 import math
 import random
+import signal
 import zlib
 from collections import defaultdict
 
@@ -199,6 +200,27 @@ def test_packing_instruction_limits(spark):
     assert sum(r["n_loss"] for r in out) == sum(sum(m or []) for _, _, m in rows)
 
 
+def test_packing_tiny_texts(spark):
+    rows = [(i, (None, "", "one", " \n")[i % 4]) for i in range(2000)]
+
+    def late(*_):
+        raise TimeoutError("the packer does not end")
+    before = signal.signal(signal.SIGALRM, late)
+    signal.alarm(60)
+    try:
+        packer = packing.Packer(2048, 256, 2048)
+        seqs = [s for i in range(2000) for s in packer.add(packing.Piece(i, 0, np.array([1], "<u4"), 1))] + list(packer.finish())
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+    assert sorted(p.key for s in seqs for p in s) == list(range(2000)) and max(map(len, seqs)) == 256
+    t = Tokenizer.from_file(WORD)
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1), WORD).collect()
+    seqs = check_packed(out, {i: [t.encode(x or "", add_special_tokens=False).ids + [1]] for i, x in rows}, (2048, 256, 2048))
+    sizes = [sum(r["length"] for r in s) for s in seqs.values()]
+    assert all(n & (n - 1) == 0 for n in sizes)
+
+
 # -- 4
 
 def library(t, text):
