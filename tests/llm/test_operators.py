@@ -440,6 +440,31 @@ def test_perspectives(spark, monkeypatch):
     assert perspective.rotate(many.limit(0)).collect() == []
 
 
+def test_big_parts_stay_in_order(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(c, rng.choice([0, 1, 5, 31, 32]) if c != 2 else None, rng.choice(["ann", "bob", "system"]), f"t{rng.randrange(10**6)}" * rng.randrange(1, 3))
+            for c in (1, 2, None) for _ in range(150)] + [(3, 0, "ann", "few"), (3, 1, "bob", "turns")]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+
+    def joined():
+        out = defaultdict(lambda: ["", [], 0])
+        got = sorted(perspective.rotate(df).collect(), key=lambda r: (r["part"], r["sub"]))
+        for r in got:
+            x = out[r["conv_id"], r["assistant"], r["part"]]
+            x[1] += [(m["start"] + len(x[0]), m["end"] + len(x[0])) for m in r["mask"]]
+            x[0] += r["text"]
+            x[2] += r["n_turns"]
+        return dict(out), got
+    for limit in (10, 64):
+        monkeypatch.setattr(perspective, "PART_LIMIT", 10**6)
+        whole, one = joined()
+        monkeypatch.setattr(perspective, "PART_LIMIT", limit)
+        cut, many = joined()
+        assert {r["sub"] for r in one} == {0} and len(many) > len(one) and max(r["n_turns"] for r in many) == limit
+        assert cut == whole
+
+
 # -- 9
 
 def test_licenses(spark, odd_docs, no_docs):
