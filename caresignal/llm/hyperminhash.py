@@ -5,17 +5,18 @@ estimates, verification on full shingle sets.
    picks one of `BUCKETS` buckets; the smallest remaining value of a bucket is kept as a
    16-bit register: leading-zero count and the MANTISSA bits after the first one.
 2. Documents with the same shingle set (128-bit fingerprint and size) are one class.
-3. Neighbouring registers form bands; classes that share a band are candidates. Large
-   sets have 32 bands of 5: two sets of similarity 0.8 share a given band with
-   probability 0.8**5, and all bands miss with 3e-6. Small sets have fewer, longer bands
-   (`LEVELS`): m shingles at similarity 0.8 differ in at most m / 4, so with more bands
-   than that one band has no difference, while every band still holds about four
-   shingles and a shared passage alone seldom fills one.
-4. Candidates are grouped by the estimated Jaccard similarity of their registers (equal
-   registers less the expected chance collisions of compressed ones, MARGIN below the
-   threshold): first every member of a band against one head, then, in bands that still
-   span several groups, block against block. Only spanning edges leave a task, never all
-   pairs, and every plausible pair ends up in one group.
+3. Candidates share a key. Sets of at most SMALL shingles, and the sizes that can be their
+   partners, have the first n - ceil(0.8 n) + 1 of their shingles as keys, common shingles
+   last and else by hash: in one order for all sets, two sets of similarity 0.8 always
+   share one of those. Larger sets have bands of neighbouring registers (`LEVELS`): from
+   80 shingles on 32 bands of 5, which two sets of similarity 0.8 miss all with 3e-6;
+   below, 20 bands of 8, more than the differences of two such sets.
+4. Candidates are grouped by their registers: pairs with a set of at most SMALL by the
+   number of unequal registers, which is never above the number of differing shingles;
+   others by the estimated Jaccard similarity (equal registers less the expected chance
+   collisions of compressed ones, MARGIN below the threshold). First every member of a key
+   meets one head, then, in keys that still span several groups, block meets block. Only
+   spanning edges leave a task, never all pairs, and every plausible pair ends up in one group.
 5. Within each group full sets are compared, block against block; again only spanning
    links come out. Connected components of the links give the answer.
 
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, connected_components, map_batches, map_groups, maybe_broadcast, shuffle_partitions
 
 BUCKETS = 160
+#: Sets of up to so many shingles are found by their shingles, not by bands.
+SMALL = 63
 #: Numbers of bands, by the size of the larger set of a pair: the least that exceeds size / 4; the last also beyond.
-LEVELS = (1, 2, 4, 5, 8, 10, 16, 20, 32)
+LEVELS = (20, 32)
 MANTISSA = 10
 EMPTY = 0xFFFF
 #: Pairs estimated below threshold - MARGIN are not verified (8 standard deviations at 160 registers).
@@ -119,8 +122,8 @@ def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.clip((same - chance * (1 - same / union)) / union, 0.0, 1.0)
 
 
-def estimate_matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """`estimate` of every row of x with every row of y."""
+def _agreement(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every row of x with every row of y: equal filled registers, registers filled on either side, on both sides."""
     fx, fy = (x != EMPTY).astype(np.float32), (y != EMPTY).astype(np.float32)
     both = fx @ fy.T
     union = np.maximum(fx.sum(1)[:, None] + fy.sum(1)[None, :] - both, 1)
@@ -128,16 +131,31 @@ def estimate_matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for k in range(len(x)):
         same[k] = np.count_nonzero(x[k] == y, axis=1)
     same -= BUCKETS - (fx.sum(1)[:, None] + fy.sum(1)[None, :] - both)  # registers empty on both sides
+    return same, union, both
+
+
+def _corrected(same: np.ndarray, union: np.ndarray, both: np.ndarray) -> np.ndarray:
     chance = both / 3.0 / (1 << MANTISSA)
     return np.clip((same - chance * (1 - same / union)) / union, 0.0, 1.0)
 
 
-def signatures(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (fingerprint of the set), regs (binary)."""
+def estimate_matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """`estimate` of every row of x with every row of y."""
+    return _corrected(*_agreement(x, y))
+
+
+def few_unequal(unequal: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of `sizes` shingles together can reach `percent` with so many unequal registers: a differing
+    shingle makes at most one register unequal, and (100 - percent) / (100 + percent) of the sizes may differ."""
+    return unequal * (100 + percent) <= sizes * (100 - percent)
+
+
+def signatures(docs: DataFrame, size: int, doc_id: str, text: str, most: int) -> DataFrame:
+    """doc_id, n_shingles, f1, f2 (fingerprint of the set), regs (binary), few (the set, if of at most `most` shingles)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, f1, f2, regs = [], [], [], []
+        n, f1, f2, regs, few = [], [], [], [], []
         for t in b.column(1):
             s = shingle_set(t.as_py(), size)
             d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -145,10 +163,12 @@ def signatures(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
             f1.append((d & (2**64 - 1)) - 2**63)
             f2.append((d >> 64) - 2**63)
             regs.append(registers(s).tobytes())
+            few.append(s.tobytes() if 0 < len(s) <= most else None)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                                           pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "regs"])
+                                           pa.array(regs, pa.binary()), pa.array(few, pa.binary())],
+                                          names=["doc_id", "n_shingles", "f1", "f2", "regs", "few"])
     return map_batches(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), run,
-                       f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, regs binary")
+                       f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, regs binary, few binary")
 
 
 def levels(n: int) -> list[int]:
@@ -172,17 +192,36 @@ def band_keys(regs: bytes, n: int) -> list[int]:
     return out
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose sizes and register estimate do not rule the threshold out."""
+def _shingle_keys(classes: DataFrame, percent: int) -> DataFrame:
+    """(rep, key): the first n - ceil(percent n / 100) + 1 shingles of each class that has its set in `few`, in the
+    order of (count if above BLOCK, hash), so that shingles of many sets seldom are keys."""
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        n = b.column(1).to_numpy()
+        at = pa.array(np.repeat(np.arange(len(n)), n), pa.int64())
+        h = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(h)], names=["rep", "n", "h"])
+    s = map_batches(classes.filter("few IS NOT NULL").select("rep", "n", "few"), run, "rep bigint, n bigint, h bigint")
+    often = checkpointed(s.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > BLOCK))
+    s = s.join(maybe_broadcast(often, BROADCAST_IDS), "h", "left")
+    s = s.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h"))).alias("s"))
+    first = F.expr(f"slice(s, 1, int(n - ({percent} * n + 99) div 100 + 1))")
+    return s.select("rep", F.explode(first).alias("x")).select("rep", F.col("x.h").alias("key"))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and registers do not rule the threshold out."""
     regs = classes.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na"))
     j = pairs.join(regs, "a").join(regs.select(F.col("a").alias("b"), F.col("ra").alias("rb"), F.col("na").alias("nb")), "b")
-    j = j.filter(F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    j = j.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         x = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BUCKETS)
         y = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u2").reshape(-1, BUCKETS)
-        return b.select([0, 1]).filter(pa.array(estimate(x, y) >= threshold - MARGIN))
-    return map_batches(j.select("a", "b", "ra", "rb"), run, "a bigint, b bigint")
+        nx, ny = b.column(4).to_numpy(), b.column(5).to_numpy()
+        # registers empty on both sides are equal
+        few = few_unequal((x != y).sum(-1), nx + ny, percent)
+        return b.select([0, 1]).filter(pa.array(np.where(np.minimum(nx, ny) <= SMALL, few, estimate(x, y) >= percent / 100 - MARGIN)))
+    return map_batches(j.select("a", "b", "ra", "rb", "na", "nb"), run, "a bigint, b bigint")
 
 
 def spanning(adj: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,8 +256,8 @@ def _sides(g: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(g["blk"] == g["i"][0]), np.flatnonzero(g["blk"] == g["j"][0])
 
 
-def _plausible_blocks(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Spanning edges (a, b) of the plausible pairs across groups within each band. members: key, rep, comp, size."""
+def _plausible_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Spanning edges (a, b) of the plausible pairs across groups within each key. members: key, rep, comp, size."""
     m = _blocks(members.join(classes.select("rep", "regs", "n"), "rep").select("key", "size", "rep", "comp", "regs", "n"), "key", "size")
 
     def run(g: dict) -> dict:
@@ -228,11 +267,14 @@ def _plausible_blocks(members: DataFrame, classes: DataFrame, threshold: float)
         regs = np.frombuffer(b"".join(g["regs"]), "<u2").reshape(-1, BUCKETS)
         x, y, nx, ny = regs[left], regs[right], g["n"][left], g["n"][right]
         adj = g["comp"][left][:, None] != g["comp"][right][None, :]
-        adj &= np.minimum(nx[:, None], ny) >= threshold * np.maximum(nx[:, None], ny)
+        adj &= 100 * np.minimum(nx[:, None], ny) >= percent * np.maximum(nx[:, None], ny)
         some = np.flatnonzero(adj.any(axis=1))  # rows without a partner to try are left out
         if not len(some):
             return _edges([], [])
-        adj[some] &= estimate_matrix(x[some], y) >= threshold - MARGIN
+        same, union, both = _agreement(x[some], y)
+        few = few_unequal(union - same, nx[some][:, None] + ny, percent)
+        near = _corrected(same, union, both) >= percent / 100 - MARGIN
+        adj[some] &= np.where(np.minimum(nx[some][:, None], ny) <= SMALL, few, near)
         return _edges(*spanning(adj, g["rep"][left], g["rep"][right]))
     return map_groups(m, ["key", "i", "j"], run, "a bigint, b bigint", shuffle_partitions(m.sparkSession)).distinct()
 
@@ -307,29 +349,29 @@ def _full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by
     links of at least `percent` per cent similarity), kept (doc_id = component_id)."""
-    threshold = percent / 100
     docs = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    sig = checkpointed(signatures(docs, shingle, "doc_id", "text"))
+    sig = checkpointed(signatures(docs, shingle, "doc_id", "text", SMALL * 100 // max(percent, 1)))
     ids = (sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id")
-           .agg(F.min(F.struct("f1", "f2", F.col("n_shingles").alias("n"), "regs")).alias("m")).select("doc_id", "m.*"))
-    classes = checkpointed(ids.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "regs")).alias("m"))
-                           .select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), F.col("m.regs").alias("regs")))
+           .agg(F.min(F.struct("f1", "f2", F.col("n_shingles").alias("n"), "regs", "few")).alias("m")).select("doc_id", "m.*"))
+    classes = checkpointed(ids.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "regs", "few")).alias("m"))
+                           .select("f1", "f2", "n", F.col("m.doc_id").alias("rep"), F.col("m.regs").alias("regs"), F.col("m.few").alias("few")))
 
     def keyed(b: pa.RecordBatch) -> pa.RecordBatch:
         keys = [band_keys(r, n) for r, n in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
         rep = b.column(0).take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), pa.int64()))
         return pa.RecordBatch.from_arrays([rep, pa.array([x for k in keys for x in k], pa.int64())], names=["rep", "key"])
-    bands = map_batches(classes.select("rep", "n", "regs"), keyed, "rep bigint, key bigint")
+    bands = map_batches(classes.filter(F.col("n") > SMALL).select("rep", "n", "regs"), keyed, "rep bigint, key bigint")
+    bands = bands.unionByName(_shingle_keys(classes, percent))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("head")).filter("size > 1")
     members = checkpointed(bands.join(shared, "key"))  # small: keys that only one class has are gone
-    some = checkpointed(classes.join(members.select("rep").distinct(), "rep"))
+    some = checkpointed(classes.drop("few").join(members.select("rep").distinct(), "rep"))
     # groups of plausible pairs
-    near = checkpointed(_plausible(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), some, threshold))
+    near = checkpointed(_plausible(members.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), some, percent))
     group = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # in a band of two the head has met the other already
     m = members.select("key", "rep", "size").filter("size > 2").join(group, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = checkpointed(_plausible_blocks(m.join(mixed, "key"), some, threshold))
+    rest = checkpointed(_plausible_blocks(m.join(mixed, "key"), some, percent))
     if not rest.isEmpty():
         near = near.union(rest)
         group = connected_components(near).select(F.col("node").alias("rep"), F.col("component").alias("comp"))

@@ -305,6 +305,23 @@ def test_near_duplicates(spark, monkeypatch, block):
         assert got == brute_near(rows, k)
 
 
+def test_short_near_duplicates(spark):
+    """Pairs with c common shingles and d others, words of their own; and one passage that many short texts share."""
+    rng, rows, want = random.Random(11), [], []
+    for k in range(6000):
+        c = rng.randrange(4, 21) if k % 10 else rng.randrange(50, 90)
+        d = rng.randrange(1, c // 4 + 2) if k % 3 else c // 4
+        w, i = [f"p{k}w{j}" for j in range(c + d + 3)], rng.randrange(d + 1)
+        pair = [(2 * k, " ".join(w[i:])), (2 * k + 1, " ".join(w[:len(w) - d + i]))]
+        rows += pair
+        want += brute_near(pair, 4)
+    same = "a very common line of some ten words or so".split()
+    many = [(20_000 + k, " ".join(same + [f"v{rng.randrange(40)}" for _ in range(rng.randrange(4))])) for k in range(400)]
+    df = spark.createDataFrame(rows + many, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in hyperminhash.near_duplicates(df, shingle=4).select("doc_id", "n_shingles", "component_id", "kept").collect())
+    assert got == sorted(want + brute_near(many, 4))
+
+
 def test_near_duplicates_odd(spark, odd_docs, no_docs):
     df, rows = odd_docs
     got = hyperminhash.near_duplicates(df).collect()
