@@ -52,13 +52,13 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], columns: Seque
 
 def hrrp_scan(spark: SparkSession, path: str | Sequence[str], states: Sequence[str] | None = None,
               conditions: Sequence[str] | None = None, facilities: Sequence[str] | None = None,
-              fmt: str = "csv") -> DataFrame:
+              fmt: str = "csv", multi_line: bool = True) -> DataFrame:
     """Hospital-condition file -> typed table (see `prepare_hospital`). Slicers
     are applied on the stored text columns before typing, so with Parquet they
-    are pushed into the scan."""
+    are pushed into the scan. `multi_line` as in `read_text_csv`."""
     if fmt == "csv":
         cols = _header(spark, path)
-        raw = read_text_csv(spark, path, cols)
+        raw = read_text_csv(spark, path, cols, multi_line)
     else:
         raw = spark.read.format(fmt).load(path)
         cols = raw.columns
@@ -69,13 +69,14 @@ def hrrp_scan(spark: SparkSession, path: str | Sequence[str], states: Sequence[s
 
 
 def encounter_scan(spark: SparkSession, path: str | Sequence[str],
-                   numeric: Sequence[str] = NUMERIC_FIELDS) -> DataFrame:
+                   numeric: Sequence[str] = NUMERIC_FIELDS, multi_line: bool = True) -> DataFrame:
     """Encounter CSV -> table with encounter null tokens, numeric features as
-    double, ids as bigint. The target and patient columns must exist (A4)."""
+    double, ids as bigint. The target and patient columns must exist (A4). `multi_line`
+    as in `read_text_csv`."""
     cols = _header(spark, path)
     if TARGET_COLUMN not in cols or "patient_nbr" not in cols:
         raise ValueError(f"encounter file lacks {TARGET_COLUMN} or patient_nbr")
-    df = prepare_encounters(read_text_csv(spark, path, cols), numeric=numeric)
+    df = prepare_encounters(read_text_csv(spark, path, cols, multi_line), numeric=numeric)
     return df.select([F.trim(F.col(c)).try_cast("bigint").alias(c) if c in ID_COLUMNS else F.col(f"`{c}`")
                       for c in df.columns])
 

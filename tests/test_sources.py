@@ -83,3 +83,16 @@ def test_clean_export_and_document_sinks(spark, tmp_path):
     k = doc["kpis"]
     assert (k["records"], k["duplicate_rows"]) == (rows, dups) and dups > 0
     assert (k["persistent_high_err_hospitals"], k["persistent_low_err_hospitals"]) == (high, low)
+
+
+def test_scans_hand_multi_line_on(spark, tmp_path, monkeypatch):
+    from caresignal.sources import readers
+    seen, read = [], readers.read_text_csv
+    monkeypatch.setattr(readers, "read_text_csv", lambda *a: seen.append(a[3]) or read(*a))
+    hospital, encounter = tmp_path / "h.csv", tmp_path / "e.csv"
+    hospital.write_text(",".join(readers.HRRP_COLUMNS) + "\n")
+    encounter.write_text(f"patient_nbr,{readers.TARGET_COLUMN}\n1,NO\n")
+    for lines in (False, True):
+        readers.hrrp_scan(spark, str(hospital), multi_line=lines)
+        assert readers.encounter_scan(spark, str(encounter), numeric=[], multi_line=lines).count() == 1
+    assert seen == [False, False, True, True]
