@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_stream, crf_quality, embed_dedup, host_rules, hyperminhash, license_scan, packing, perspective, token_attribution, window_dedup
+from . import (bpe_stream, byte_transducer, crf_quality, embed_dedup, host_rules, hyperminhash, license_scan, norm_search, packing, perspective,
+               phrase_mining, token_attribution, window_dedup)
 from .common import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -58,6 +59,18 @@ def op10_window_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_byte_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_transducer.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_norm_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return norm_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -65,7 +78,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_embedding_dedup, op2_token_attribution, op3_packing, op4_bpe_roundtrip, op5_hyperminhash_dedup, op6_crf_quality,
-    op7_host_rules, op8_perspective_rotation, op9_license_scan, op10_window_line_dedup, pipeline)}
+    op7_host_rules, op8_perspective_rotation, op9_license_scan, op10_window_line_dedup,
+    op11_byte_transducer, op12_phrase_mining, op13_norm_search, pipeline)}
 
 _WS = r"[\x20\x09-\x0D]+"
 
@@ -174,5 +188,50 @@ kept AS (
 SELECT a.doc_id, CASE WHEN a.text IS NULL THEN NULL ELSE coalesce(kept.cleaned, '') END AS text, CAST(coalesce(kept.n, 0) AS BIGINT) AS n_lines,
   CAST(coalesce(kept.r, 0) AS BIGINT) AS n_removed
 FROM documents a LEFT JOIN kept ON a.doc_id IS NOT DISTINCT FROM kept.doc_id AND a.text = kept.text
+""",
+    "op12_phrase_mining": f"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws FROM documents)),
+w AS (
+  SELECT lang, ws[i] AS w1, ws[i + 1] AS w2, ws[i + 2] AS w3 FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM w GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM w WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {phrase_mining.MIN_COUNT}),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM w WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {phrase_mining.MIN_COUNT}),
+n AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f3 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f2 y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.f, 2, x.f, y.f
+  FROM f3 t JOIN f2 x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2, t.f, 1, x.f, y.f
+  FROM f2 t JOIN f1 x ON x.lang = t.lang AND x.w1 = t.w1 JOIN f1 y ON y.lang = t.lang AND y.w1 = t.w2
+  WHERE NOT EXISTS (SELECT 1 FROM f3 z WHERE z.lang = t.lang AND 100 * z.f >= 50 * t.f AND (z.w1 = t.w1 AND z.w2 = t.w2 OR z.w2 = t.w1 AND z.w3 = t.w2))),
+s AS (SELECT *, CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS score FROM cuts),
+c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM c)
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+  CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= {phrase_mining.TOP}
+""",
+    "op13_norm_search": f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+dl AS (SELECT row, doc_id, CAST(len(ts) AS BIGINT) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS nl FROM dl),
+q AS (
+  SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM (
+    SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+t AS (SELECT row, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT row, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c),
+s AS (
+  SELECT i, item_id, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // nl)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN dl USING (row), c GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= {norm_search.TOP}
 """,
 }
