@@ -34,10 +34,12 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
@@ -48,13 +50,15 @@ from .common import map_batches
 
 #: Characters split at a time; a block ends in front of white space.
 BLOCK = 1 << 18
-#: Pieces up to this many characters are cached; entries of the cache, which is emptied when full.
+#: Pieces up to this many characters are cached, in two generations of this many entries: when the newer
+#: is full, the older goes.
 CACHED_PIECE = 64
-CACHE = 250_000
+CACHE = 200_000
 #: States and pair answers kept before they are forgotten.
-MAX_STATES = 150_000
+MAX_STATES = 300_000
 MAX_PAIRS = 1_000_000
 _NEVER = 1 << 60
+_NONE = np.zeros(0, np.uint32)
 
 
 class Merges:
@@ -141,8 +145,16 @@ class Transducer:
                     n += 1
             ends[node] = token
         self._ends, self._inner = ends, inner
+        self._sound: dict[int, bool] = {}
         self._forget()
 
+    def _comes_out(self, token: int) -> bool:
+        """Is the token the encoding of its own bytes?"""
+        got = self._sound.get(token)
+        if got is None:
+            got = self._sound[token] = self.merges.built(token)[3]
+        return got
+
     def _forget(self) -> None:
         self._members: list[tuple] = []
         self._number: dict[tuple, int] = {}
@@ -158,37 +170,42 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         last, members = self._members[state]
-        child, ends, inner, merges = self._child, self._ends, self._inner, self.merges
+        child, ends, inner, holds = self._child.get, self._ends.get, self._inner, self.merges.holds
         after, whole = [], None
         for path, node in members:
-            node = child.get(node << 8 | byte)
+            node = child(node << 8 | byte)
             if node is None:
                 continue
-            token = ends.get(node)
-            if whole is None and token is not None and merges.built(token)[3]:
+            if whole is None and (token := ends(node)) is not None and self._comes_out(token):
                 before = path[-1] if path else last
-                if before < 0 or merges.holds(before, token):
+                if before < 0 or holds(before, token):
                     whole = (*path, token)
             if node in inner:
                 after.append((path, node))
         after.append((whole, 0))  # the one valid list up to here always exists
         first, agreed = after[0][0], 0
-        for k, token in enumerate(first):
-            if any(len(p) <= k or p[k] != token for p, _ in after):
-                break
-            agreed = k + 1
+        while agreed < len(first):
+            token = first[agreed]
+            for p, _ in after:
+                if len(p) <= agreed or p[agreed] != token:
+                    break
+            else:
+                agreed += 1
+                continue
+            break
         out = first[:agreed]
         if agreed:
             last = out[-1]
             after = [(p[agreed:], node) for p, node in after]
-        # the last token only matters where a member starts right behind it
-        members = (last if any(not p for p, _ in after) else -2, tuple(after))
+        # members in order of their boundary: only the first can start right behind the last emitted token,
+        # and the last token matters only there
+        key = (last if not after[0][0] else -2, tuple(after))
         if len(self._members) >= self.max_states:
             self._forget()
-            return self._state(members), out
-        raw = self.merges.raw
-        self.longest_wait = max(self.longest_wait, sum(len(raw[t]) for t in after[-1][0]))
-        got = self._moves[state << 8 | byte] = (self._state(members), out)
+            return self._state(key), out
+        if len(after[-1][0]) > 1:
+            self.longest_wait = max(self.longest_wait, sum(len(self.merges.raw[t]) for t in after[-1][0]))
+        got = self._moves[state << 8 | byte] = (self._state(key), out)
         return got
 
     def run(self, parts: Iterable[bytes]) -> Iterator[int]:
@@ -202,7 +219,7 @@ class Transducer:
                     yield from out
         yield from self._members[state][1][-1][0]
 
-    def piece(self, raw: bytes) -> tuple[int, ...]:
+    def piece(self, raw: bytes) -> list[int]:
         """Tokens of a short piece."""
         got, state, moves = [], self.start, self._moves
         for byte in raw:
@@ -214,21 +231,25 @@ class Transducer:
             if out:
                 got += out
         got += self._members[state][1][-1][0]
-        return tuple(got)
+        return got
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file; `pattern` splits texts into pieces."""
+    """Encoder and decoder of one rank file; `pattern` splits texts into pieces. Ids travel as little-endian uint32."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.merges = Merges(path)
         self.machine = Transducer(self.merges)
         self.pattern = regex.compile(pattern)
         self._gap = regex.compile(r"(?<=\S)\s")
-        self.raw = self.merges.raw
-        self.spelled = {i: str(i).encode() for i in self.raw}
+        raw = self.merges.raw
+        top = max(raw) + 1
+        #: bytes of each id, and its decimal digits with a space behind them; nothing for ids without a token
+        self.raw = pa.array([raw.get(i, b"") for i in range(top)], pa.large_binary())
+        self.spelled = pa.array([b"%d " % i if i in raw else b"" for i in range(top)], pa.large_binary())
         self._widest = max(map(len, self.merges.ranks))
-        self._cache: dict[str, tuple[int, ...]] = {}
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _blocks(self, text: str, size: int) -> Iterator[str]:
         at = 0
@@ -244,20 +265,23 @@ class ByteBpe:
         else:
             yield from self.machine.run(piece[k:k + 4096].encode() for k in range(0, len(piece), 4096))
 
-    def _short(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        own = self.merges.ranks.get(raw)
-        got = (own,) if own is not None else self.machine.piece(raw)
-        if len(self._cache) >= CACHE:
-            self._cache.clear()
-        self._cache[piece] = got
+    def _short(self, piece: str) -> bytes:
+        got = self._old.get(piece)
+        if got is None:
+            raw = piece.encode()
+            own = self.merges.ranks.get(raw)
+            ids = [own] if own is not None else self.machine.piece(raw)
+            got = array("I", ids).tobytes()
+        if len(self._new) >= CACHE:
+            self._old, self._new = self._new, {}
+        self._new[piece] = got
         return got
 
-    def encode(self, text: str | None, block: int = BLOCK) -> Iterator[list[int]]:
+    def encode(self, text: str | None, block: int = BLOCK) -> Iterator[np.ndarray]:
         """Ids of the whole text in stretches."""
         for b in self._blocks(text or "", block):
             pieces = self.pattern.findall(b)
-            got = list(map(self._cache.get, pieces))
+            got = list(map(self._new.get, pieces))
             if None in got:
                 done = 0
                 for k, x in enumerate(got):
@@ -265,20 +289,23 @@ class ByteBpe:
                         continue
                     p = pieces[k]
                     if len(p) <= CACHED_PIECE:
-                        got[k] = self._cache.get(p) or self._short(p)
+                        got[k] = self._new.get(p) or self._short(p)
                     else:
-                        yield list(chain.from_iterable(got[done:k]))
+                        yield np.frombuffer(b"".join(got[done:k]), "<u4")
                         tokens = self._long(p)
                         while some := list(islice(tokens, 4096)):
-                            yield some
+                            yield np.array(some, "<u4")
                         done = k + 1
                 got = got[done:]
-            yield list(chain.from_iterable(got))
+            yield np.frombuffer(b"".join(got), "<u4")
 
-    def bytes_of(self, ids: Iterable[int]) -> bytes:
-        return b"".join([x for i in ids if (x := self.raw.get(i)) is not None])
+    def bytes_of(self, ids: np.ndarray, table: pa.Array | None = None) -> memoryview:
+        """What the ids' entries of a table (by default their bytes) add up to; unknown ids add nothing."""
+        table = self.raw if table is None else table
+        ids = ids[ids < len(table)]
+        return memoryview(table.take(pa.array(ids)).buffers()[2] or b"") if len(ids) else memoryview(b"")
 
-    def decode(self, stretches: Iterable[list[int]]) -> Iterator[str]:
+    def decode(self, stretches: Iterable[np.ndarray]) -> Iterator[str]:
         """Text as it becomes complete; bytes that form no character become U+FFFD."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for ids in stretches:
@@ -289,10 +316,11 @@ class ByteBpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(tokens, sha256 of the decimal ids joined by a space, sha256 of the decoded bytes)."""
-        n, spelled, ids_sha, out_sha = 0, self.spelled, hashlib.sha256(), hashlib.sha256()
+        n, ids_sha, out_sha = 0, hashlib.sha256(), hashlib.sha256()
         for ids in self.encode(text):
-            if ids:
-                ids_sha.update((b" " if n else b"") + b" ".join([spelled[i] for i in ids]))
+            if len(ids):
+                ids_sha.update(b" " if n else b"")
+                ids_sha.update(self.bytes_of(ids, self.spelled)[:-1])
                 out_sha.update(self.bytes_of(ids))
                 n += len(ids)
         return n, ids_sha.hexdigest(), out_sha.hexdigest()
@@ -325,7 +353,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        ids = pa.array([list(chain.from_iterable(bpe.encode(t.as_py()))) for t in b.column(1)], pa.list_(pa.int32()))
+        ids = pa.array([np.concatenate([_NONE, *bpe.encode(t.as_py())]).astype(np.int32) for t in b.column(1)], pa.list_(pa.int32()))
         return pa.RecordBatch.from_arrays([b.column(0), ids], names=["doc_id", "ids"])
     return map_batches(rows, run, f"doc_id {kind}, ids array<int>")
 
@@ -336,6 +364,6 @@ def decode(tokens: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)
-        text = pa.array(["".join(bpe.decode([x.as_py() or []])) for x in b.column(1)], pa.string())
+        text = pa.array(["".join(bpe.decode([np.array([i for i in x.as_py() or () if i is not None and i >= 0], np.int64)])) for x in b.column(1)], pa.string())
         return pa.RecordBatch.from_arrays([b.column(0), text], names=["doc_id", "text"])
     return map_batches(rows, run, f"doc_id {kind}, text string")
