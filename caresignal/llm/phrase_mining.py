@@ -33,17 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import checkpointed, small_enough
+from .common import checkpointed, map_batches, small_enough
 
 ORDER = 3
 MIN_COUNT = 10
 TOP = 2000
 #: Bytes of text counted together in a map task.
-STRETCH = 16 << 20
+STRETCH = 12 << 20
 #: Copies of a looked-up row in the joins of candidates.
 SALTS = 8
 #: Bounds of the broadcast dictionary.
@@ -60,20 +61,18 @@ def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, n
     """(words, piece number of each, text number of each) of texts that lie one after the other in `raw`."""
     kind = _KIND[raw]
     word = kind == _WORD
-    first = word.copy()
-    first[1:] &= ~word[:-1]
     begins = starts[starts < len(raw)]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
     first[begins] = word[begins]
-    at = np.flatnonzero(first)
-    cut = (kind == _CUT).astype(np.int32)
-    np.add.at(cut, begins, 1)
-    pieces = np.cumsum(cut, dtype=np.int32)[at]
-    # word bytes alone, one word after the other
-    rank = np.cumsum(word, dtype=np.int64)
-    offsets = np.append(rank[at] - 1, rank[-1] if len(rank) else 0)
-    flat = _LOWER[raw[word]]
-    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat))
-    return words, pieces, np.searchsorted(starts, at, side="right") - 1
+    last[:-1] &= ~word[1:]
+    before = begins[begins > 0] - 1
+    last[before] = word[before]
+    at, end = np.flatnonzero(first), np.flatnonzero(last)
+    offsets = np.concatenate([[0], np.cumsum(end - at + 1)])
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[word]]))
+    owner = np.searchsorted(starts, at, side="right") - 1
+    return words, np.searchsorted(np.flatnonzero(kind == _CUT), at) + owner, owner
 
 
 def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,22 +140,33 @@ class Dictionary:
         rows = rows.sort_by([("lang", "ascending"), ("word", "ascending")])
         lang = rows["lang"].to_pylist()
         cuts = [k for k in range(len(lang)) if k == 0 or lang[k] != lang[k - 1]]
-        self.langs = {lang[a]: (k, a + 1, rows["word"].slice(a, b - a).combine_chunks())
-                      for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(lang)], strict=True))}
-        self.rows = pa.table({"id": pa.array(range(1, len(lang) + 1), pa.int32()), "lang": rows["lang"], "word": rows["word"]})
+        self.names = [lang[k] for k in cuts]
+        self.bounds = {lang[a]: (k, a, b) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(lang)], strict=True))}
+        self.words = pa.array(rows["word"].to_pylist(), pa.string())
+
+    def numbers(self, lang: str, words: pa.Array) -> tuple[int, np.ndarray]:
+        """(number of the lang, number of each word, 0 where it is not among the frequent ones)."""
+        if lang not in self.bounds:
+            return 0, np.zeros(len(words), np.int32)
+        k, a, b = self.bounds[lang]
+        found = pc.index_in(words, value_set=self.words.slice(a, b - a))
+        return k, np.asarray(pc.fill_null(found, -a - 1)) + a + 1
+
+    def phrases(self, words: list[np.ndarray]) -> pa.Array:
+        """The words of each row joined by a space, without the padding."""
+        spelled = pa.concat_arrays([pa.array([""]), self.words])
+        out = [spelled.take(pa.array(w)) for w in words]
+        return pc.utf8_rtrim(pc.binary_join_element_wise(*out, " "), " ")
 
 
 def number_windows(s: Stretch, known: Dictionary) -> Iterator[pa.RecordBatch]:
     """lang, w1, w2, w3, n of a stretch with numbers for the frequent words, 0 as padding."""
     ids, langs = np.zeros(len(s.codes), np.int32), np.zeros(len(s.codes), np.int32)
     for k, name in enumerate(s.langs):
-        if name in known.langs:
-            number, first, words = known.langs[name]
-            mine = np.flatnonzero(s.lang == k)
-            used, back = np.unique(s.codes[mine], return_inverse=True)
-            found = pc.index_in(s.words.take(pa.array(used - 1)).cast(pa.string()), value_set=words)
-            ids[mine] = (np.asarray(pc.fill_null(found, -first)) + first)[back]
-            langs[mine] = number
+        mine = np.flatnonzero(s.lang == k)
+        used, back = np.unique(s.codes[mine], return_inverse=True)
+        number, found = known.numbers(name, s.words.take(pa.array(used - 1)).cast(pa.string()))
+        ids[mine], langs[mine] = found[back], number
     w2, w3 = _leads(ids, s.pieces)
     w3[w2 == 0] = 0
     keep = np.flatnonzero(ids)
@@ -221,16 +231,15 @@ def _dictionary(frequent: DataFrame) -> Dictionary | None:
     return Dictionary(frequent.select("lang", "word").toArrow())
 
 
-def phrase_counts(docs: DataFrame, known: Dictionary | None, min_count: int = MIN_COUNT, lang: str = "lang", text: str = "text") -> DataFrame:
+def phrase_counts(docs: DataFrame, sent: Broadcast | None, min_count: int = MIN_COUNT, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, w1, w2, w3, f of the phrases of 1 to 3 words with f >= min_count, padded beyond their end: numbers of
-    `known`, or texts without it (then also one row with w1 = '' per lang, its number of words)."""
+    the dictionary `sent`, or texts without it (then also one row with w1 = '' per lang, its number of words)."""
     keys = ["lang", "w1", "w2", "w3"]
-    if known is None:
+    if sent is None:
         kind, pad = "string", F.lit("")
         windows = _per_stretch(docs, lang, text, text_windows, "lang string, w1 string, w2 string, w3 string, n bigint")
     else:
         kind, pad = "int", F.lit(0)
-        sent = docs.sparkSession.sparkContext.broadcast(known)
         windows = _per_stretch(docs, lang, text, lambda s: number_windows(s, sent.value), "lang int, w1 int, w2 int, w3 int, n bigint")
     windows = windows.groupBy(*keys).agg(F.sum("n").alias("f"))
     sums = (windows.rollup("lang", "w1", "w2").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
@@ -259,15 +268,18 @@ def _look_up(phrases: DataFrame, table: DataFrame, on: dict[str, str], value: st
     return mine.join(salted, cond, how).drop("_lang", "_own", "_salt", *[f"_{c}" for c in on])
 
 
-def _spelled(phrases: DataFrame, known: Dictionary | None) -> DataFrame:
+def _spelled(phrases: DataFrame, sent: Broadcast | None) -> DataFrame:
     """lang and phrase as texts."""
-    if known is None:
-        return phrases.withColumn("phrase", F.array_join(F.filter(F.array("w1", "w2", "w3"), lambda x: x != ""), " "))
-    table = F.broadcast(phrases.sparkSession.createDataFrame(known.rows))  # within the dictionary's bounds
-    for k, w in enumerate(("w1", "w2", "w3")):
-        names = table.select(F.col("id").alias(w), F.col("word").alias(f"_{w}"), *([F.col("lang").alias("_lang")] if k == 0 else []))
-        phrases = phrases.join(names, w, "left")
-    return phrases.withColumn("phrase", F.concat_ws(" ", "_w1", "_w2", "_w3")).withColumn("lang", F.col("_lang"))
+    numbers = ["a", "l", "r", "score"]
+    if sent is None:
+        return phrases.select("lang", F.array_join(F.filter(F.array("w1", "w2", "w3"), lambda x: x != ""), " ").alias("phrase"), *numbers)
+
+    def spell(b: pa.RecordBatch) -> pa.RecordBatch:
+        known = sent.value
+        langs = pa.array(known.names, pa.string()).take(b.column(0))
+        return pa.RecordBatch.from_arrays([langs, known.phrases([np.asarray(b.column(k)) for k in (1, 2, 3)]), *b.columns[4:]],
+                                          names=["lang", "phrase", *numbers])
+    return map_batches(phrases.select("lang", "w1", "w2", "w3", *numbers), spell, "lang string, phrase string, a bigint, l bigint, r bigint, score bigint")
 
 
 def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -277,8 +289,9 @@ def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, la
     # the words that matter, and each lang's number of words under the empty word
     words = checkpointed(words.where(F.col("f") >= min_count).union(words.groupBy("lang").agg(F.lit("").alias("word"), F.sum("f").alias("f"))))
     known = _dictionary(words.where("word <> ''"))
-    counts = checkpointed(phrase_counts(docs, known, min_count, lang, text))
-    pad = F.lit("") if known is None else F.lit(0)
+    sent = None if known is None else docs.sparkSession.sparkContext.broadcast(known)  # within the dictionary's bounds
+    counts = checkpointed(phrase_counts(docs, sent, min_count, lang, text))
+    pad = F.lit("") if sent is None else F.lit(0)
     one = counts.where((F.col("w1") != pad) & (F.col("w2") == pad))
     two = counts.where((F.col("w2") != pad) & (F.col("w3") == pad))
     three = counts.where(F.col("w3") != pad)
@@ -300,7 +313,6 @@ def mine_phrases(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, la
     p = _look_up(p, one, {"w1": "w2"}, "f", "r")
     p = p.select(*keys, F.col("f").alias("a"), "l", "r", _floor_score(F.col("f"), F.col("l"), F.col("r")).alias("score"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
-    named = _spelled(t.unionByName(p), known).select("lang", "phrase", "a", "l", "r", "score")
-    best = named.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
+    best = _spelled(t.unionByName(p), sent).withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top)
     n = words.where("word = ''").select("lang", F.col("f").alias("n"))
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
