@@ -6,7 +6,8 @@ whose demand vector has the largest dot product with the sequence's remaining ca
 placed, every dimension in units of its limit. Pieces may be cut: an example longer than a
 sequence fills whole sequences first, and when no pending piece fits, one is cut to fill
 the gap. What is left at a partition's end, and a window full of pieces too small to fill
-a sequence, is laid out in sequences whose lengths are powers of two, which need no padding.
+a sequence, and a sequence that a limit closes before it is full, are cut into sequences whose
+lengths are powers of two, which need no padding.
 
 Each task packs its own partition in a window of bounded size: no shuffle, nothing on the
 driver, and a lost task repeats the same result. A partition's rows only share sequences
@@ -40,7 +41,7 @@ WINDOW = 512
 OUT_ROWS = 8192
 #: Characters encoded at a time.
 GROUP_CHARS = 1 << 20
-_CACHE = 300_000
+_CACHE = 200_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -94,7 +95,7 @@ class Packer:
             waiting = len(self.pending)
             yield from self._drain(self.window // 2)
             if len(self.pending) == waiting:  # a window of tiny pieces holds less than a sequence
-                yield from self._lay_out(self.window // 2)
+                yield from self._drain(self.window // 2, rest=True)
 
     def _drain(self, down_to: int, rest: bool = False) -> Iterator[list[Piece]]:
         """Fill sequences until at most `down_to` pieces wait (and only while they fill a sequence, unless `rest`)."""
@@ -125,33 +126,31 @@ class Packer:
                 tokens -= int(took[0])
             if not seq:
                 break
-            yield seq
+            yield from self._even(seq)
         self.pending = [p for p, a in zip(items, alive, strict=True) if a]
 
     def finish(self) -> Iterator[list[Piece]]:
-        """The waiting pieces: full sequences while they last, then lengths that are powers of two."""
-        yield from self._lay_out(0)
-
-    def _lay_out(self, down_to: int) -> Iterator[list[Piece]]:
-        """Sequences, full or not, until at most `down_to` pieces wait; what is not full is cut into powers of two."""
-        for seq in self._drain(down_to, rest=True):
-            n = sum(len(p.ids) for p in seq)
-            seq = list(seq)
-            size = 1 << (n.bit_length() - 1)
-            while n and n < self.cap[0]:
-                part, got = [], 0
-                while got < size:
-                    p = seq.pop(0)
-                    if len(p.ids) > size - got:
-                        p, q = p.cut(size - got)
-                        seq.insert(0, q)
-                    part.append(p)
-                    got += len(p.ids)
-                yield part
-                n -= size
-                size = 1 << (n.bit_length() - 1) if n else 0
-            if n:
-                yield seq
+        """The waiting pieces."""
+        yield from self._drain(0, rest=True)
+
+    def _even(self, seq: list[Piece]) -> Iterator[list[Piece]]:
+        """A sequence that is not full, cut into sequences whose lengths are powers of two."""
+        n = sum(len(p.ids) for p in seq)
+        if n == self.cap[0]:
+            yield seq
+            return
+        seq = list(seq)
+        while n:
+            size, part, got = 1 << (n.bit_length() - 1), [], 0
+            while got < size:
+                p = seq.pop(0)
+                if len(p.ids) > size - got:
+                    p, q = p.cut(size - got)
+                    seq.insert(0, q)
+                part.append(p)
+                got += len(p.ids)
+            yield part
+            n -= size
 
 
 def _pack_partition(rows: Iterator[Piece], limits: tuple[int, int, int], key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -197,10 +196,16 @@ class ChunkEncoder:
         self.t.no_padding()
         self.merge = self.t.model.tokenize
         self.rules = Bpe(path, merging=False)
+        #: does lower() normalise ASCII, and does "<" stand in all special tokens?
+        self.plain = self.rules.lower
+        self.marked = all("<" in t for t in self.rules.special)
         symbols = byte_symbols()
         self.symbols = {b: symbols[b] for b in range(256)}
+        # chunks and pre-tokens in two generations each: when the newer is full, the older goes
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        self.older_pretokens: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
@@ -208,38 +213,46 @@ class ChunkEncoder:
     def _pretoken(self, p: str) -> bytes:
         got = self.pretokens.get(p)
         if got is None:
-            s = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(self.symbols)
-            got = array("I", [x.id for x in self.merge(s)]).tobytes()
+            got = self.older_pretokens.get(p)
+            if got is None:
+                s = p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(self.symbols)
+                got = array("I", [x.id for x in self.merge(s)]).tobytes()
             if len(self.pretokens) >= _CACHE:
-                self.pretokens.clear()
+                self.older_pretokens, self.pretokens = self.pretokens, {}
             self.pretokens[p] = got
         return got
 
     def _chunk(self, c: str) -> bytes:
-        if len(c) > CACHED_CHUNK or self.rules.holds_special(c):
+        if len(c) > CACHED_CHUNK or ((not self.marked or "<" in c) and self.rules.holds_special(c)):
             return self._whole(c)
-        p = self.rules.normal(c)
-        if p.isalpha() and p.isascii():
+        p = c.lower() if self.plain and c.isascii() else self.rules.normal(c)
+        if p.isascii() and p.isalpha():
             return self._pretoken(p)
         return b"".join(map(self._pretoken, self.rules.pattern.findall(p)))
 
+    def _known(self, c: str) -> bytes:
+        """A chunk that is not among the newer ones."""
+        got = self.older.get(c)
+        if got is None:
+            got = self._chunk(c)
+        if len(c) <= CACHED_CHUNK:
+            if len(self.cache) >= _CACHE:
+                self.older, self.cache = self.cache, {}
+            self.cache[c] = got
+        return got
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        known, out = self.cache, []
+        out = []
         for t in texts:
             if _ODD.search(t):
                 out.append(self._whole(t))
                 continue
             cs = t.split()
-            got = list(map(known.get, cs))
+            got = list(map(self.cache.get, cs))
             if None in got:
-                if len(known) >= _CACHE:
-                    known.clear()
                 for k, x in enumerate(got):
                     if x is None:
-                        c = cs[k]
-                        got[k] = x = known.get(c) or self._chunk(c)
-                        if len(c) <= CACHED_CHUNK:
-                            known[c] = x
+                        got[k] = self.cache.get(cs[k]) or self._known(cs[k])
             out.append(b"".join(got))
         return out
 
