@@ -4,16 +4,16 @@ Every word occurrence gives one window: itself and, as lead columns, the next tw
 its piece, padded where the piece ends. Only these longest windows are counted; n-grams are
 never exploded order by order. A word starts exactly one window, so the windows that begin
 with a phrase are its occurrences: f of three words is the count of their window, and
-Spark's ROLLUP over (lang, w1, w2) sums the windows to f of two words, of one word and to n.
+Spark's ROLLUP sums the windows to f of two words and of one.
 
 Windows are formed and counted a stretch of text at a time in the map tasks, with whole
 columns (`window_counts`), so a frequent window leaves a stretch as one row, and no prefix
 gathers more than one row per task and longest window.
 
-A window is also padded in front of a word with fewer than `min_count` occurrences, and
-windows that start with one are summed per lang: no candidate and none of its parts holds
-such a word. The words that remain (counted first) are sent to the tasks as a dictionary
-and windows travel as numbers. That table is broadcast only up to MAX_WORDS rows and
+Words are counted first (n is the sum of a lang's counts). A window is also padded in front
+of a word with fewer than `min_count` occurrences and dropped where it starts with one: no
+candidate and none of its parts holds such a word. The words that remain are sent to the
+tasks as a dictionary and windows travel as numbers. That table is broadcast only up to MAX_WORDS rows and
 MAX_WORD_BYTES; a corpus beyond either has its windows counted as texts without it, which
 gives the same rows.
 
@@ -44,7 +44,7 @@ ORDER = 3
 MIN_COUNT = 10
 TOP = 2000
 #: Bytes of text counted together in a map task.
-STRETCH = 12 << 20
+STRETCH = 4 << 20
 #: Copies of a looked-up row in the joins of candidates.
 SALTS = 8
 #: Bounds of the broadcast dictionary.
@@ -233,7 +233,7 @@ def _dictionary(frequent: DataFrame) -> Dictionary | None:
 
 def phrase_counts(docs: DataFrame, sent: Broadcast | None, min_count: int = MIN_COUNT, lang: str = "lang", text: str = "text") -> DataFrame:
     """lang, w1, w2, w3, f of the phrases of 1 to 3 words with f >= min_count, padded beyond their end: numbers of
-    the dictionary `sent`, or texts without it (then also one row with w1 = '' per lang, its number of words)."""
+    the dictionary `sent`, or texts without it."""
     keys = ["lang", "w1", "w2", "w3"]
     if sent is None:
         kind, pad = "string", F.lit("")
@@ -242,9 +242,9 @@ def phrase_counts(docs: DataFrame, sent: Broadcast | None, min_count: int = MIN_
         kind, pad = "int", F.lit(0)
         windows = _per_stretch(docs, lang, text, lambda s: number_windows(s, sent.value), "lang int, w1 int, w2 int, w3 int, n bigint")
     windows = windows.groupBy(*keys).agg(F.sum("n").alias("f"))
-    sums = (windows.rollup("lang", "w1", "w2").agg(F.sum("f").alias("f"), F.grouping_id().alias("level"))
-            .where((F.col("level") < 7) & ((F.col("level") == 3) | (F.col("f") >= min_count)) & ((F.col("level") > 0) | (F.col("w2") != pad)))
-            .select("lang", F.coalesce("w1", pad).cast(kind).alias("w1"), F.coalesce("w2", pad).cast(kind).alias("w2"), pad.cast(kind).alias("w3"), "f"))
+    sums = docs.sparkSession.sql("SELECT lang, w1, w2, sum(f) AS f, grouping_id() AS level FROM {windows} GROUP BY lang, w1, ROLLUP(w2)", windows=windows)
+    sums = (sums.where((F.col("f") >= min_count) & ((F.col("level") > 0) | (F.col("w2") != pad)))
+            .select("lang", "w1", F.coalesce("w2", pad).cast(kind).alias("w2"), pad.cast(kind).alias("w3"), "f"))
     # one condition on f and w3 together: a filter on w3 alone would move below the exchange that both branches share
     least = F.when(F.col("w3") != pad, F.lit(min_count)).otherwise(F.lit(1 << 62))
     return sums.union(windows.where(F.col("f") >= least).select(*keys, "f"))
