@@ -141,7 +141,7 @@ class Dictionary:
         lang = rows["lang"].to_pylist()
         cuts = [k for k in range(len(lang)) if k == 0 or lang[k] != lang[k - 1]]
         self.names = [lang[k] for k in cuts]
-        self.bounds = {lang[a]: (k, a, b) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(lang)], strict=True))}
+        self.bounds = {lang[a]: (k, a, b) for k, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(lang)], strict=False))}
         self.words = pa.array(rows["word"].to_pylist(), pa.string())
 
     def numbers(self, lang: str, words: pa.Array) -> tuple[int, np.ndarray]:
