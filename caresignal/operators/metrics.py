@@ -10,6 +10,7 @@ the grid is done with array functions over a bounded list.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,14 @@ def _small_groups(df: DataFrame, keys: Sequence[str], buckets: int) -> bool:
     return df.select(*keys).distinct().count() * max(buckets, 1) <= MAX_BROADCAST_CELLS
 
 
+def _join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """`left` with the columns of the group table `right` (broadcast if `small`, which the caller has checked);
+    a group whose key is null joins its own row."""
+    own = right.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    return left.join(F.broadcast(own) if small else own, reduce(Column.__and__, same)).drop(*[f"_g_{k}" for k in keys])
+
+
 def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[str] = (),
                    descending: bool = False, buckets: int = 256, suffix: str = "_cum",
                    broadcast_groups: bool | None = None) -> DataFrame:
@@ -56,7 +65,6 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
     keys = list(keys)
     if broadcast_groups is None:
         broadcast_groups = _small_groups(df, keys, buckets)
-    bc = F.broadcast if broadcast_groups else (lambda d: d)
     o = -F.col(order) if descending else F.col(order)
     if buckets > 1:
         qs = [i / buckets for i in range(1, buckets)]
@@ -65,7 +73,7 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
         # (two branches read it) or a lost shuffle block were recomputed; fix the boundaries once
         bounds = _materialize(bounds)
         if keys:
-            x = df.join(bc(bounds), keys)
+            x = _join_groups(df, bounds, keys, broadcast_groups)
         else:
             x = df.withColumn("_bounds", bounds.select("_bounds").scalar())
         x = x.withColumn("_bk", count_sorted_below(F.col("_bounds"), o, len(qs))).drop("_bounds")
@@ -78,7 +86,7 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], keys: Seque
     before = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, "_bk", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_off_{v}")
                                      for v in values])
-    x = x.join(bc(off), [*keys, "_bk"])
+    x = _join_groups(x, off, [*keys, "_bk"], broadcast_groups)
     return x.select(*[c for c in df.columns],
                     *[(F.col(f"_in_{v}") + F.col(f"_off_{v}")).alias(f"{v}{suffix}") for v in values])
 
@@ -95,18 +103,21 @@ def _materialize(df: DataFrame) -> DataFrame:
 def curve_metrics(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = (),
                   buckets: int = 256, materialize: bool = True) -> DataFrame:
     """Exact ROC-AUC (ties count one half) and average precision (step sum over
-    distinct thresholds, no interpolation) per group, from ONE running sum.
+    distinct thresholds, no interpolation) per group, from ONE running sum."""
+    sc = score_counts(df, label, score, keys)
+    return curve_of_counts(_materialize(sc) if materialize else sc, keys, buckets)
+
+
+def curve_of_counts(sc: DataFrame, keys: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """`curve_metrics` of a table of `score_counts`, which several passes read.
 
     Ascending inclusive sums give the negatives below each score; the counts at
     or above a score (for precision) are totals minus the ascending sums."""
     keys = list(keys)
-    sc = score_counts(df, label, score, keys)
-    if materialize:
-        sc = _materialize(sc)
     small = _small_groups(sc, keys, buckets)
     c = running_totals(sc, "s", ["pos", "neg"], keys, buckets=buckets, broadcast_groups=small)
     tot = sc.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    c = c.join(F.broadcast(tot) if small else tot, keys) if keys else c.select(
+    c = _join_groups(c, tot, keys, small) if keys else c.select(
         "*", tot.select("n_pos").scalar().alias("n_pos"), tot.select("n_neg").scalar().alias("n_neg"))
     # positives x (negatives strictly below + half the tied negatives), kept in integers
     auc_term = (F.col("pos").cast("decimal(38,0)") *
@@ -143,17 +154,43 @@ def brier_prevalence(df: DataFrame, label: str = "y", score: str = "p", keys: Se
         F.avg(y).alias("prevalence"))
 
 
+def brier_of_counts(sc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """`brier_prevalence` of a table of `score_counts`."""
+    s, n = F.col("s").cast("double"), F.col("pos") + F.col("neg")
+    # a row without a score has no error, as avg() skips it
+    scored = F.sum(F.when(s.isNotNull(), n))
+    return sc.groupBy(*keys).agg(
+        F.sum(n).alias("n"),
+        (F.sum(F.col("pos") * (s - 1) * (s - 1) + F.col("neg") * s * s) / scored).alias("brier_score"),
+        (F.sum("pos") / F.sum(n)).alias("prevalence"))
+
+
 def discrimination(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[str] = ()) -> DataFrame:
-    """roc_auc, pr_auc, brier_score, prevalence per group."""
+    """roc_auc, pr_auc, brier_score, prevalence per group, all from one counted table."""
+    return discrimination_of_counts(_materialize(score_counts(df, label, score, keys)), keys)
+
+
+def discrimination_of_counts(sc: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     keys = list(keys)
-    a = curve_metrics(df, label, score, keys).withColumnRenamed("average_precision", "pr_auc")
-    c = brier_prevalence(df, label, score, keys).select(*keys, "brier_score", "prevalence")
+    a = curve_of_counts(sc, keys).withColumnRenamed("average_precision", "pr_auc")
+    c = brier_of_counts(sc, keys).select(*keys, "brier_score", "prevalence")
     if keys:
-        return a.join(c, keys).select(*keys, "roc_auc", "pr_auc", "brier_score", "prevalence")
+        return _join_groups(a, c, keys, False).select(*keys, "roc_auc", "pr_auc", "brier_score", "prevalence")
     return a.select("roc_auc", "pr_auc", c.select("brier_score").scalar().alias("brier_score"),
                     c.select("prevalence").scalar().alias("prevalence"))
 
 
+def evaluation(df: DataFrame, thresholds: Sequence[float] = tuple(grid(SELECTION_GRID_PCT)), label: str = "y",
+               score: str = "p", keys: Sequence[str] = ()) -> DataFrame:
+    """Discrimination and the best threshold (`best_threshold`) per group. The scored table is read once, into
+    counts of distinct scores that merge by addition; every figure is folded from those."""
+    keys = list(keys)
+    sc = _materialize(score_counts(df, label, score, keys))
+    d, best = discrimination_of_counts(sc, keys), best_of_counts(sc, thresholds, keys)
+    best = best.select(*keys, F.col("threshold").alias("validation_threshold"), F.col("f1").alias("validation_f1"))
+    return _join_groups(d, best, keys, False) if keys else d.crossJoin(best)  # one row each
+
+
 # ---------------------------------------------------------------------------
 # Threshold metrics
 # ---------------------------------------------------------------------------
@@ -202,9 +239,13 @@ def threshold_table(df: DataFrame, thresholds: Sequence[float] = tuple(grid(REPO
     Each distinct score is assigned to its grid cell (number of thresholds <= s);
     per group the cells (at most len(grid)+1) are gathered and the counts at each
     threshold are suffix sums over that bounded list."""
+    return table_of_counts(score_counts(df, label, score, keys), thresholds, keys)
+
+
+def table_of_counts(sc: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """`threshold_table` of a table of `score_counts`."""
     ts = sorted(float(t) for t in thresholds)
     g = F.array(*[F.lit(t) for t in ts])
-    sc = score_counts(df, label, score, keys)
     cell = sc.withColumn("_cell", count_sorted_below(g, F.col("s"), len(ts), inclusive=True))
     per = cell.groupBy(*keys, "_cell").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     lists = per.groupBy(*keys).agg(F.collect_list(F.struct("_cell", "pos", "neg")).alias("_cells"),
@@ -226,6 +267,11 @@ def threshold_table(df: DataFrame, thresholds: Sequence[float] = tuple(grid(REPO
 def best_threshold(df: DataFrame, thresholds: Sequence[float] = tuple(grid(SELECTION_GRID_PCT)),
                    label: str = "y", score: str = "p", keys: Sequence[str] = ()) -> DataFrame:
     """H3: grid point with the highest F1 (already rounded to 4); lowest threshold wins ties."""
-    t = threshold_table(df, thresholds, label, score, keys)
+    return best_of_counts(score_counts(df, label, score, keys), thresholds, keys)
+
+
+def best_of_counts(sc: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """`best_threshold` of a table of `score_counts`."""
+    t = table_of_counts(sc, thresholds, keys)
     w = Window.partitionBy(*keys).orderBy(F.col("f1").desc(), F.col("threshold").asc())
     return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

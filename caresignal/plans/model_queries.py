@@ -3,6 +3,7 @@ the driver checks their rows, and the tests check planted-signal behaviour."""
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,19 @@ def _fit_cached(spark, sf_dir, spec: models.ModelSpec, drop=(), on=("train",)) -
     return _FIT_CACHE[key]
 
 
+def _fit_many(spark, sf_dir, wanted: list[tuple[models.ModelSpec, tuple]]) -> list[models.FittedModel]:
+    """Models of (spec, dropped features) on the training split; those not fitted yet run concurrently."""
+    keys = [(spark.sparkContext.applicationId, sf_dir, repr(spec), tuple(drop), ("train",)) for spec, drop in wanted]
+    todo = [k for k, key in enumerate(keys) if key not in _FIT_CACHE]
+    if todo:
+        train = encounter_table(spark, sf_dir).where("split = 'train'")
+        num, cat, _ = model_features(train)
+        left = lambda cols, drop: [c for c in cols if c not in drop]
+        fitted = models.fit_all(train, [(left(num, wanted[k][1]), left(cat, wanted[k][1]), wanted[k][0]) for k in todo])
+        _FIT_CACHE.update({keys[k]: fm for k, fm in zip(todo, fitted, strict=True)})
+    return [_FIT_CACHE[k] for k in keys]
+
+
 def _eval_splits(fm: models.FittedModel, df: DataFrame) -> DataFrame:
     return models.evaluate(fm.score(df), keys=["split"])
 
@@ -86,10 +100,11 @@ def q_coefficients(spark, sf_dir):
 # --- G2 / G3 ------------------------------------------------------------------------------
 @register("gbt_model")
 def q_gbt_model(spark, sf_dir):
-    spec = models.benchmark_specs()[1]
-    fm = _fit_cached(spark, sf_dir, spec)
-    e = encounter_table(spark, sf_dir).where("split IN ('validation', 'test')")
-    return _eval_splits(fm, e)
+    """Leaf-wise second-order boosting, and MLlib's boosted trees beside it."""
+    specs = (models.benchmark_specs()[1], models.mllib_gbt_spec())
+    rows = encounter_table(spark, sf_dir).where("split IN ('validation', 'test')")
+    long = [fm.score(rows).select(F.lit(fm.spec.kind).alias("estimator"), "split", "y", "p") for fm in _fit_many(spark, sf_dir, [(s, ()) for s in specs])]
+    return models.evaluate(long[0].unionAll(long[1]), keys=["estimator", "split"])
 
 
 @register("rf_model")
@@ -104,23 +119,21 @@ def q_rf_model(spark, sf_dir):
 VARIANTS = (("full", ()), ("diagnosis_reduced", DIAGNOSIS_REDUCED_DROP))
 
 
+def grid_candidates() -> list[tuple[str, tuple, models.ModelSpec]]:
+    return [(variant, drop, spec) for variant, drop in VARIANTS for spec in models.benchmark_specs()]
+
+
 def model_grid(spark, sf_dir) -> DataFrame:
-    rows = None
-    order = 0
-    for variant, drop in VARIANTS:
-        for spec in models.benchmark_specs():
-            fm = _fit_cached(spark, sf_dir, spec, drop)
-            val = fm.score(encounter_table(spark, sf_dir).where("split = 'validation'"))
-            ev = models.evaluate(val).select("roc_auc", "pr_auc", "brier_score")
-            best = metrics.best_threshold(val, metrics.grid(SELECTION_GRID_PCT)).select(
-                F.col("threshold").alias("validation_threshold"), F.col("f1").alias("validation_f1"))
-            r = ev.select(F.lit(spec.name).alias("model"), F.lit(variant).alias("feature_variant"),
-                          F.lit(order).alias("candidate_order"), "*",
-                          best.select("validation_threshold").scalar().alias("validation_threshold"),
-                          best.select("validation_f1").scalar().alias("validation_f1"))
-            rows = r if rows is None else rows.unionByName(r)
-            order += 1
-    return rows
+    """Six candidates, fitted concurrently; their scores of the validation rows are one long table that is counted
+    once, and all figures are folded from the counts."""
+    cands = grid_candidates()
+    fitted = _fit_many(spark, sf_dir, [(spec, drop) for _, drop, spec in cands])
+    val = encounter_table(spark, sf_dir).where("split = 'validation'")
+    long = reduce(DataFrame.unionAll, [fm.score(val).select(F.lit(k).alias("candidate_order"), "y", "p") for k, fm in enumerate(fitted)])
+    ev = metrics.evaluation(long, metrics.grid(SELECTION_GRID_PCT), keys=["candidate_order"])
+    name = lambda x: F.element_at(F.array(*[F.lit(v) for v in x]), F.col("candidate_order") + 1)
+    return ev.select(name([s.name for _, _, s in cands]).alias("model"), name([v for v, _, _ in cands]).alias("feature_variant"), "candidate_order",
+                     *[F.round(c, 4).alias(c) for c in ("roc_auc", "pr_auc", "brier_score")], "validation_threshold", "validation_f1")
 
 
 @register("model_grid")
@@ -130,12 +143,9 @@ def q_model_grid(spark, sf_dir):
 
 @register("select_winner")
 def q_select_winner(spark, sf_dir):
-    grid = model_grid(spark, sf_dir).cache()
-    w = models.pick_winner(grid).first()
-    grid.unpersist()
-    spec = {s.name: s for s in models.benchmark_specs()}[w["model"]]
-    drop = dict(VARIANTS)[w["feature_variant"]]
-    fm = _fit_cached(spark, sf_dir, spec, drop)
+    w = models.pick_winner(model_grid(spark, sf_dir)).first()
+    _, drop, spec = grid_candidates()[w["candidate_order"]]
+    fm = _fit_many(spark, sf_dir, [(spec, drop)])[0]
     test = fm.score(encounter_table(spark, sf_dir).where("split = 'test'"))
     ev = models.evaluate(test).select("roc_auc", "pr_auc", "brier_score")
     tm = metrics.threshold_metrics(test, float(w["validation_threshold"]))
@@ -155,7 +165,7 @@ def bundle_path(spark: SparkSession, sf_dir: str) -> str:
         sparse = prepare.sparse_columns(encounter_table(spark, sf_dir).where("split = 'train'"), ALL_FEATURES)
         dropped = sorted(r["column"] for r in sparse.where("dropped").select("column").collect())
         manifest = {"schema_version": "1.1.0", "generated_at_utc": datetime.now(timezone.utc).isoformat(),
-                    "model_id": MODEL_ID, "architecture": "GBTClassifier", "feature_variant": "full",
+                    "model_id": MODEL_ID, "architecture": "leaf-wise histogram boosting, stored as GBTClassificationModel", "feature_variant": "full",
                     "input_features": [c for c in ALL_FEATURES if c in types], "feature_types": types,
                     "dropped_sparse_columns": dropped, "outcome": OUTCOME, "fit_data": FIT_DATA,
                     "clinical_status": CLINICAL_STATUS, "public_patient_probability_allowed": False,
@@ -187,22 +197,19 @@ def q_model_bundle(spark, sf_dir):
 # --- G7: feature-group ablation -------------------------------------------------------------------
 @register("ablation")
 def q_ablation(spark, sf_dir):
+    """Baseline and one model without each feature group, fitted concurrently; all test scores are counted once."""
     test = encounter_table(spark, sf_dir).where("split = 'test'")
-    base = models.evaluate(_fit_cached(spark, sf_dir, models.baseline_spec()).score(test)).first()
-    train_cols = set(encounter_table(spark, sf_dir).columns)
-    out = None
-    for name, cols in FEATURE_GROUPS:
-        present = [c for c in cols if c in train_cols and c in set(NUMERIC) | set(CATEGORICAL)]
-        if not present:
-            continue
-        fm = _fit_cached(spark, sf_dir, models.baseline_spec(), drop=present)
-        ev = models.evaluate(fm.score(test))
-        r = ev.select(F.lit(name).alias("removed_group"), F.lit(",".join(present)).alias("removed_features"),
-                      "roc_auc", "pr_auc", "brier_score",
-                      F.round(F.col("roc_auc") - base["roc_auc"], 4).alias("delta_roc_auc_vs_baseline"),
-                      F.round(F.col("pr_auc") - base["pr_auc"], 4).alias("delta_pr_auc_vs_baseline"),
-                      F.round(F.col("brier_score") - base["brier_score"], 4).alias("delta_brier_vs_baseline"))
-        out = r if out is None else out.unionByName(r)
+    groups = [(name, [c for c in cols if c in (*NUMERIC, *CATEGORICAL)]) for name, cols in FEATURE_GROUPS]
+    groups = [("", []), *[(name, cols) for name, cols in groups if cols]]
+    fitted = _fit_many(spark, sf_dir, [(models.baseline_spec(), tuple(cols)) for _, cols in groups])
+    long = reduce(DataFrame.unionAll, [fm.score(test).select(F.lit(name).alias("removed_group"), "y", "p") for (name, _), fm in zip(groups, fitted, strict=True)])
+    figures = {"roc_auc": "roc_auc", "pr_auc": "pr_auc", "brier_score": "brier"}
+    ev = metrics._materialize(models.evaluate(long, keys=["removed_group"]))
+    base = ev.where("removed_group = ''")
+    removed = F.create_map(*[F.lit(x) for name, cols in groups for x in (name, ",".join(cols))])
+    out = ev.where("removed_group <> ''").select(
+        "removed_group", removed[F.col("removed_group")].alias("removed_features"), *figures,
+        *[F.round(F.col(c) - base.select(c).scalar(), 4).alias(f"delta_{short}_vs_baseline") for c, short in figures.items()])
     return out.orderBy("delta_roc_auc_vs_baseline", "removed_group")
 
 
