@@ -7,17 +7,20 @@ Scoring is a narrow `transform`."""
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import boosting, metrics
 from . import features as feats
@@ -208,38 +211,65 @@ def coefficients(fm: FittedModel, spark: SparkSession, k: int = 40) -> DataFrame
             .orderBy(F.abs("coefficient").desc(), "encoded_feature").limit(k))
 
 
+#: Rows that share one sort of a global rank.
+RANK_ROWS = 100_000
+#: Features whose permuted values travel together: (features x repeats) values a row.
+FEATURE_BATCH = 8
+
+
+def _ranked(df: DataFrame, keys: Sequence[str], seed: Sequence[Column], n: int, name: str) -> DataFrame:
+    """`df` with a rank 1 .. n per `keys` in a random order that `seed` fixes (hash of `_id` and the seed).
+
+    A hash is uniform, so its leading bits cut the order into ranges of about RANK_ROWS rows without sampling: a row's
+    rank is its position in its range plus the rows of the ranges before it. The order is that of the unsigned hash,
+    whatever the number of ranges."""
+    bits = max(0, math.ceil(math.log2(max(1.0, n / RANK_ROWS))))
+    x = df.withColumn("_h", F.xxhash64("_id", *seed))
+    x = x.withColumn("_part", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(F.col("_h").bitwiseXOR(F.lit(-1 << 63)), "_id")
+    x = x.withColumn("_in", F.row_number().over(inside))
+    if bits:
+        before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = x.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+        x = x.join(sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")), [*keys, "_part"])
+        x = x.withColumn("_in", F.col("_in") + F.col("_before"))
+    return x.withColumn(name, F.col("_in").cast("bigint")).drop("_h", "_part", "_in", "_before")
+
+
 def permuted_long(test: DataFrame, columns: Sequence[str], repeats: int = 5, seed: int = 42,
-                  id_col: str = "encounter_id", blocks: int = 64) -> DataFrame:
-    """Long table (feature, repeat, row) where, for each (feature, repeat), the
-    values of that feature are randomly permuted across rows.
-
-    Rows are hashed into `blocks` blocks anew for each (feature, repeat), whatever the
-    table's size; inside a block the value of the row ranked r by a seeded hash moves to
-    the row ranked r by id. Each block is a uniform permutation; `blocks` is the number
-    of tasks that share the ranking of one (feature, repeat)."""
-    parts = []
-    for f in columns:
-        base = test.withColumn("feature", F.lit(f)).withColumn(
-            "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        h = F.xxhash64(F.col(id_col), F.lit(f), F.col("repeat"), F.lit(seed))
-        base = base.withColumn("_blk", F.pmod(h, F.lit(blocks)))
-        wsrc = Window.partitionBy("feature", "repeat", "_blk").orderBy(
-            F.xxhash64(F.col(id_col), F.lit(f), F.col("repeat"), F.lit(seed + 1)), F.col(id_col))
-        wdst = Window.partitionBy("feature", "repeat", "_blk").orderBy(F.col(id_col))
-        src = base.select("feature", "repeat", "_blk", F.row_number().over(wsrc).alias("_r"),
-                          F.col(f"`{f}`").alias("_v"))
-        dst = base.withColumn("_r", F.row_number().over(wdst))
-        j = dst.join(src, ["feature", "repeat", "_blk", "_r"])
-        parts.append(j.withColumn(f, F.col("_v")).drop("_v", "_r", "_blk"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                  id_col: str = "encounter_id") -> DataFrame:
+    """Long table (feature, repeat, row) where, for each (feature, repeat), the values of that feature are randomly
+    permuted over all rows: one uniform permutation of the whole table at any size.
+
+    Every row has a rank, and every value a rank in a random order of its (feature, repeat); a value moves to the row
+    of its rank. Only (id, value) pairs are ranked and moved; the values of a rank are gathered (at most
+    FEATURE_BATCH x repeats) and whole rows are shuffled once per batch of features. `id_col` identifies a row."""
+    n = test.count()
+    rows = _ranked(test.withColumn("_id", F.col(id_col)), [], [F.lit(f"rows:{seed}")], n, "_r").drop("_id")
+    types = {f.name: f.dataType for f in test.schema.fields}
+    out = []
+    for at in range(0, len(columns), FEATURE_BATCH):
+        some = list(columns[at:at + FEATURE_BATCH])
+        slot = lambda c, kinds: F.col(f"`{c}`").cast(kinds[1]) if isinstance(types[c], kinds[0]) else F.lit(None).cast(kinds[1])
+        kinds = {"i": (T.IntegralType, "bigint"), "d": (T.FractionalType, "double")}
+        other = lambda c: F.lit(None).cast("string") if isinstance(types[c], (T.IntegralType, T.FractionalType)) else F.col(f"`{c}`").cast("string")
+        value = lambda c: F.struct(F.lit(c).alias("feature"), *[slot(c, k).alias(n) for n, k in kinds.items()], other(c).alias("t"))
+        pairs = (test.select(F.col(id_col).alias("_id"), F.explode(F.array(*[value(c) for c in some])).alias("v"))
+                 .select("_id", "v.*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")))
+        ranked = _ranked(pairs, ["feature", "repeat"], [F.col("feature"), F.col("repeat"), F.lit(seed)], n, "_r")
+        moved = ranked.groupBy("_r").agg(F.collect_list(F.struct("feature", "repeat", "i", "d", "t")).alias("_new"))
+        j = rows.join(moved, "_r").withColumn("_v", F.explode("_new"))
+        back = lambda c: F.when(F.col("_v.feature") == c, F.col("_v.i" if isinstance(types[c], T.IntegralType) else
+                                "_v.d" if isinstance(types[c], T.FractionalType) else "_v.t").cast(types[c])).otherwise(F.col(f"`{c}`")).alias(c)
+        out.append(j.select(F.col("_v.feature").alias("feature"), F.col("_v.repeat").alias("repeat"),
+                            *[back(c) if c in some else F.col(f"`{c}`") for c in test.columns]))
+    return reduce(DataFrame.unionAll, out)
 
 
 def permutation_importance(fm: FittedModel, test: DataFrame, columns: Sequence[str], label: str = "y",
                            repeats: int = 5, seed: int = 42, k: int = 25) -> DataFrame:
     """Mean and population std of the ROC-AUC drop over repeats."""
+    test = test.select(*dict.fromkeys(["encounter_id", label, *fm.features, *columns]))
     base_auc = metrics.roc_auc(fm.score(test), label).select("roc_auc").scalar()
     long = permuted_long(test, columns, repeats, seed)
     auc = metrics.roc_auc(fm.score(long), label, keys=["feature", "repeat"])

@@ -37,14 +37,37 @@ def test_permutation_importance_ranks_the_driver_first(lr, planted):
 
 def test_permutation_is_a_permutation(spark, planted):
     test = planted.where("split = 'test'").select("encounter_id", "number_inpatient", "age")
-    long = models.permuted_long(test, ["number_inpatient"], repeats=2, blocks=8)
-    for rep in (0, 1):
-        part = long.where(F.col("repeat") == rep)
-        assert part.count() == test.count()
-        a = sorted(r[0] for r in part.select("number_inpatient").collect())
-        b = sorted(r[0] for r in test.select("number_inpatient").collect())
-        assert a == b
-        assert part.select("encounter_id").distinct().count() == test.count()
+    long = models.permuted_long(test, ["number_inpatient", "age"], repeats=2).persist()
+    rows = {r["encounter_id"]: r for r in test.collect()}
+    for f, other in (("number_inpatient", "age"), ("age", "number_inpatient")):
+        for rep in (0, 1):
+            part = long.where((F.col("feature") == f) & (F.col("repeat") == rep)).collect()
+            assert sorted(r["encounter_id"] for r in part) == sorted(rows)
+            assert sorted(str(r[f]) for r in part) == sorted(str(r[f]) for r in rows.values())
+            assert all(r[other] == rows[r["encounter_id"]][other] for r in part)
+
+
+def test_permutation_covers_the_whole_table(spark, monkeypatch):
+    """A uniform permutation of all rows, whatever the number of ranges: about one fixed point, displacements spread."""
+    n, seen = 3000, []
+    df = spark.range(n).selectExpr("id AS encounter_id", "id AS v", "cast(id AS double) / 7 AS d", "cast(id % 2 = 0 AS boolean) AS b", "cast(null AS string) AS s")
+    for size in (100_000, 100):  # one range and 32
+        monkeypatch.setattr(models, "RANK_ROWS", size)
+        long = models.permuted_long(df.repartition(5), ["v", "d", "b", "s"], repeats=3)
+        assert [f.dataType for f in long.schema.fields[2:]] == [f.dataType for f in df.schema.fields]
+        got = {}
+        for r in long.where("feature IN ('v', 'd')").collect():
+            got[r["feature"], r["repeat"], r["encounter_id"]] = r["v"] if r["feature"] == "v" else round(r["d"] * 7)
+        seen.append(got)
+    assert seen[0] == seen[1] and len(seen[0]) == 6 * n
+    for f in ("v", "d"):
+        for rep in range(3):
+            to = [seen[0][f, rep, k] for k in range(n)]
+            assert sorted(to) == list(range(n)) and sum(x == k for k, x in enumerate(to)) <= 8
+            moved = sum(abs(x - k) for k, x in enumerate(to)) / n
+            assert abs(moved - n / 3) < n / 30  # the mean distance of a uniform permutation
+            assert abs(sum((x < n / 2) != (k < n / 2) for k, x in enumerate(to)) / n - 0.5) < 0.05
+    assert len({tuple(seen[0][f, rep, k] for k in range(50)) for f in ("v", "d") for rep in range(3)}) == 6
 
 
 def test_ablation_of_the_driver_group_lowers_auc(planted):
