@@ -41,7 +41,7 @@ WINDOW = 512
 OUT_ROWS = 8192
 #: Characters encoded at a time.
 GROUP_CHARS = 1 << 20
-_CACHE = 200_000
+_CACHE = 600_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
