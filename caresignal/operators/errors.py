@@ -53,8 +53,9 @@ def error_profile_categorical(df: DataFrame, features: Sequence[str] = FOCUS_CAT
                      *[F.coalesce(col_of(c).cast("string"), F.lit("MISSING")).alias(c) for c in feats]) \
         .unpivot(["group"], feats, "feature", "value")
     cnt = long.groupBy("group", "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    part = Window.partitionBy("group", "feature")
-    ranked = cnt.select("*", F.sum("n").over(part).alias("_tot"),
-                        F.row_number().over(part.orderBy(F.col("n").desc(), F.col("value"))).alias("rank"))
-    return ranked.where(F.col("rank") <= k).select(
+    total = cnt.groupBy("group", "feature").agg(F.sum("n").alias("_tot"))
+    # the rank has a window of its own, so its limit moves below the shuffle and a task sends k values a group on
+    order = Window.partitionBy("group", "feature").orderBy(F.col("n").desc(), F.col("value"))
+    top = cnt.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return top.join(total, ["group", "feature"]).select(
         "group", "feature", "rank", "value", F.round(F.col("n") / F.col("_tot"), 4).alias("share"))

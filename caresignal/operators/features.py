@@ -1,18 +1,13 @@
 """Feature preparation fitted on the training rows.
 
-Statistics are computed as DataFrames in a few passes (numeric columns and
-categorical columns are each unpivoted once), and only the small fitted values
-reach the driver: one median / mean / std per numeric feature and the kept
-levels per categorical feature. The encoded vector is then built with
-`StringIndexer` + `OneHotEncoder` + `VectorAssembler` inside an MLlib Pipeline.
+Statistics are computed as DataFrames in a few passes: numeric columns and
+categorical columns are each unpivoted once. `operators.stages` fits them as
+pipeline stages.
 """
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,85 +79,3 @@ def class_weights(train: DataFrame, label: str = "label") -> DataFrame:
     tot = Window.partitionBy()  # at most two rows
     return c.select("label", "n",
                     (F.sum("n").over(tot) / (F.count(F.lit(1)).over(tot) * F.col("n"))).alias("weight"))
-
-
-@dataclass
-class FittedPrep:
-    numeric: list[str]
-    categorical: list[str]
-    medians: dict[str, float] = field(default_factory=dict)
-    means: dict[str, float] = field(default_factory=dict)
-    stds: dict[str, float] = field(default_factory=dict)
-    modes: dict[str, str] = field(default_factory=dict)
-    kept: dict[str, list[str]] = field(default_factory=dict)
-    pooled: dict[str, list[str]] = field(default_factory=dict)
-    scale: bool = True
-
-    def to_dict(self) -> dict:
-        return dict(self.__dict__)
-
-
-def fit_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-             min_frequency: int = 10, scale: bool = True) -> FittedPrep:
-    """Fit imputation / scaling / pooling statistics on the training rows."""
-    fp = FittedPrep(list(numeric), list(categorical), scale=scale)
-    if numeric:
-        fp.medians = {r["feature"]: r["median"] for r in numeric_medians(train, numeric).collect()}
-        if scale:
-            for r in standardize_stats(train, numeric, fp.medians).collect():
-                fp.means[r["feature"]] = r["mean"]
-                fp.stds[r["feature"]] = r["std"]
-    if categorical:
-        counts = category_counts(train, categorical).persist()
-        fp.modes = {r["feature"]: r["mode"] for r in categorical_modes(counts).collect()}
-        pooled = category_pooling(train, categorical, min_frequency, counts=counts)
-        kept: dict[str, list[str]] = {c: [] for c in categorical}
-        rare: dict[str, list[str]] = {c: [] for c in categorical}
-        # one entry per distinct training level: bounded by the features' cardinality
-        for r in pooled.select("feature", "value", "kept").collect():
-            (kept if r["kept"] else rare)[r["feature"]].append(r["value"])
-        counts.unpersist()
-        fp.kept = {k: sorted(v) for k, v in kept.items()}
-        fp.pooled = {k: sorted(v) for k, v in rare.items()}
-    return fp
-
-
-def apply_prep(df: DataFrame, fp: FittedPrep) -> DataFrame:
-    """Narrow projection: impute, scale, pool. Adds `_n_<f>` and `_c_<f>` columns.
-    Levels seen in training but rare become the pooled level; levels never seen
-    stay as they are and encode to an all-zero block."""
-    cols = []
-    for c in fp.numeric:
-        v = F.coalesce(col_of(c).cast("double"), F.lit(fp.medians.get(c)))
-        if fp.scale:
-            std = fp.stds.get(c) or 0.0
-            v = (v - F.lit(fp.means.get(c, 0.0))) / F.lit(std if std > 0 else 1.0)
-        cols.append(F.coalesce(v, F.lit(0.0)).alias(f"_n_{c}"))
-    for c in fp.categorical:
-        v = F.coalesce(col_of(c).cast("string"), F.lit(fp.modes.get(c)))
-        rare = fp.pooled.get(c, [])
-        pooled = F.when(v.isin(rare), F.lit(INFREQUENT)).otherwise(v) if rare else v
-        cols.append(pooled.alias(f"_c_{c}"))
-    return df.select("*", *cols)
-
-
-def encoder_stages(fp: FittedPrep, output: str = "features") -> list:
-    """MLlib stages: index the pooled levels (unseen and missing -> the extra
-    'keep' index, which is the last category), one-hot with the last category
-    dropped so an unseen level encodes as all zeros while every known level keeps
-    its own column."""
-    stages = []
-    ohe_in, ohe_out = [], []
-    for c in fp.categorical:
-        stages.append(StringIndexer(inputCol=f"_c_{c}", outputCol=f"_i_{c}", handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        ohe_in.append(f"_i_{c}")
-        ohe_out.append(f"_o_{c}")
-    if ohe_in:
-        stages.append(OneHotEncoder(inputCols=ohe_in, outputCols=ohe_out, dropLast=True))
-    stages.append(VectorAssembler(inputCols=[f"_n_{c}" for c in fp.numeric] + ohe_out, outputCol=output))
-    return stages
-
-
-def fit_encoder(train_prepped: DataFrame, fp: FittedPrep) -> PipelineModel:
-    return Pipeline(stages=encoder_stages(fp)).fit(train_prepped)

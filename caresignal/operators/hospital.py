@@ -26,7 +26,8 @@ def _share_above_1() -> F.Column:
 
 def condition_summary(df: DataFrame) -> DataFrame:
     """Per condition (NULL condition dropped): valid count, mean / median ERR,
-    mean predicted / expected rate over all rows, % ERR > 1 over valid rows."""
+    mean predicted / expected rate over all rows, % ERR > 1 over valid rows.
+    Highest mean ERR first, conditions without one last."""
     e = col_of(ERR)
     return (df.where(col_of("Condition").isNotNull())
             .groupBy(col_of("Condition").alias("condition"))
@@ -36,7 +37,8 @@ def condition_summary(df: DataFrame) -> DataFrame:
                  F.median(e).alias("median_err"),
                  F.avg(col_of(PRED)).alias("mean_predicted_rate"),
                  F.avg(col_of(EXP)).alias("mean_expected_rate"),
-                 _share_above_1().alias("err_above_1_pct")))
+                 _share_above_1().alias("err_above_1_pct"))
+            .orderBy(F.col("mean_err").desc_nulls_last(), "condition"))
 
 
 def condition_payload(df: DataFrame) -> DataFrame:

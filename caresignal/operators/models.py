@@ -16,14 +16,12 @@ from functools import reduce
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import boosting, metrics
-from . import features as feats
+from . import boosting, metrics, stages
 
 LOGISTIC, GBT, FOREST = "logistic", "gradient_boosted_trees", "random_forest"
 #: boosted trees of operators.boosting: second order, leaf-wise, l2
@@ -69,25 +67,25 @@ def mllib_gbt_spec(gbt_iter: int = 250) -> ModelSpec:
 @dataclass
 class FittedModel:
     spec: ModelSpec
-    prep: feats.FittedPrep
-    model: PipelineModel          # encoder stages + estimator
-    features: list[str]
+    model: PipelineModel          # preparation, encoding and estimator
+    numeric: list[str]
+    categorical: list[str]
+
+    @property
+    def features(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
-        x = feats.apply_prep(df, self.prep)
-        s = self.model.transform(x)
-        keep = [c for c in df.columns]
-        return s.select(*[F.col(f"`{c}`") for c in keep],
-                        vector_to_array("probability")[1].alias(out))
-
-    def encoded_names(self) -> list[str]:
-        names = [f"numeric__{c}" for c in self.prep.numeric]
-        for c in self.prep.categorical:
-            idx = [s for s in self.model.stages if getattr(s, "getOutputCol", lambda: None)() == f"_i_{c}"]
-            labels = idx[0].labels if idx else []
-            # one-hot keeps every level; the extra unseen slot is dropped
-            names += [f"categorical__{c}_{lv}" for lv in labels]
-        return names
+        s = self.model.transform(df)
+        return s.select(*[F.col(f"`{c}`") for c in df.columns], vector_to_array("probability")[1].alias(out))
+
+
+Prep = tuple[stages.NumericPrepModel, stages.CategoryIndexerModel]
+
+
+def fit_prep(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], spec: ModelSpec) -> Prep:
+    return (stages.NumericPrep(inputCols=list(numeric), scale=spec.scale).fit(train),
+            stages.CategoryIndexer(inputCols=list(categorical), minFrequency=spec.min_frequency).fit(train))
 
 
 def _weights(train: DataFrame, label: str) -> DataFrame:
@@ -119,11 +117,11 @@ def fit_all(train: DataFrame, candidates: Sequence[tuple[Sequence[str], Sequence
     the preparation of equal features, and `parallelism` of them run as concurrent jobs."""
     train = train.persist()
     try:
-        preps: dict[tuple, feats.FittedPrep] = {}
+        preps: dict[tuple, Prep] = {}
         for num, cat, spec in candidates:
             key = (tuple(num), tuple(cat), spec.min_frequency, spec.scale)
             if key not in preps:
-                preps[key] = feats.fit_prep(train, num, cat, spec.min_frequency, spec.scale)
+                preps[key] = fit_prep(train, num, cat, spec)
 
         def one(c: tuple) -> FittedModel:
             num, cat, spec = c
@@ -136,16 +134,17 @@ def fit_all(train: DataFrame, candidates: Sequence[tuple[Sequence[str], Sequence
 
 
 def _fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], spec: ModelSpec,
-         label: str, prep: feats.FittedPrep | None = None) -> FittedModel:
-    prep = prep or feats.fit_prep(train, numeric, categorical, spec.min_frequency, spec.scale)
-    x = feats.apply_prep(train, prep)
+         label: str, prep: Prep | None = None) -> FittedModel:
+    prep = prep or fit_prep(train, numeric, categorical, spec)
+    x = prep[1].transform(prep[0].transform(train))
     if spec.balanced:
         x = _weights(x, label)
     x = x.withColumn("_label", F.col(label).cast("double"))
-    stages = feats.encoder_stages(prep)
+    encoder = stages.encoder_stages(numeric, categorical)
+    fitted = lambda rest: FittedModel(spec, PipelineModel(stages=[*prep, *rest]), list(numeric), list(categorical))
     p = dict(spec.params)
     if spec.kind == BOOSTING:
-        return FittedModel(spec, prep, _boosted(x, prep, stages, boosting.BoostingParams(**p)), list(numeric) + list(categorical))
+        return fitted(_boosted(x, prep, encoder, boosting.BoostingParams(**p)))
     if spec.kind == LOGISTIC:
         wsum = train.count()  # balanced weights sum to the row count
         x = x.coalesce(max(1, -(-wsum // TASK_ROWS)))
@@ -168,22 +167,20 @@ def _fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], s
         raise ValueError(spec.kind)
     x = x.persist()
     try:
-        model = Pipeline(stages=stages + [est]).fit(x)
+        return fitted(Pipeline(stages=[*encoder, est]).fit(x).stages)
     finally:
         x.unpersist()
-    return FittedModel(spec, prep, model, list(numeric) + list(categorical))
 
 
-def _boosted(x: DataFrame, prep: feats.FittedPrep, stages: list, params: boosting.BoostingParams) -> PipelineModel:
-    """Encoder stages and the boosted trees as one MLlib pipeline."""
-    encoder = Pipeline(stages=stages).fit(x)
-    levels = {s.getOutputCol(): len(s.labels) for s in encoder.stages if isinstance(s, StringIndexerModel)}
-    rows = encoder.transform(x).select(*[f"_n_{c}" for c in prep.numeric], *levels, "_label").persist()
+def _boosted(x: DataFrame, prep: Prep, encoder: list, params: boosting.BoostingParams) -> list:
+    """Encoder stages and the boosted trees, which are grown on numbers and level numbers."""
+    numeric, levels = [f"_n_{c}" for c in prep[0].getInputCols()], {f"_i_{c}": n for c, n in prep[1].label_counts().items()}
+    rows = x.select(*numeric, *levels, "_label").persist()
     try:
-        trees, lay, start = boosting.fit(rows, [f"_n_{c}" for c in prep.numeric], list(levels), list(levels.values()), "_label", params)
+        trees, lay, start = boosting.fit(rows, numeric, list(levels), list(levels.values()), "_label", params)
     finally:
         rows.unpersist()
-    return PipelineModel(stages=[*encoder.stages, boosting.as_mllib(x.sparkSession, trees, lay, start)])
+    return [*Pipeline(stages=encoder).fit(x).stages, boosting.as_mllib(x.sparkSession, trees, lay, start)]
 
 
 def evaluate(scored: DataFrame, label: str = "y", keys: Sequence[str] = ()) -> DataFrame:
@@ -201,11 +198,17 @@ def pick_winner(grid: DataFrame) -> DataFrame:
 
 def coefficients(fm: FittedModel, spark: SparkSession, k: int = 40) -> DataFrame:
     """Encoded term, coefficient, odds ratio; largest |coefficient| first."""
-    lr = fm.model.stages[-1]
-    coefs = list(lr.coefficients.toArray())
-    names = fm.encoded_names()
-    rows = [(n, float(c)) for n, c in zip(names, coefs)]
-    df = spark.createDataFrame(rows, "encoded_feature string, coefficient double")
+    _, indexer, *_, lr = fm.model.stages
+    terms = [(c, None) for c in fm.numeric] + [(c, float(k)) for c, n in indexer.label_counts().items() for k in range(n)]
+    rows = [(c, k, float(x)) for (c, k), x in zip(terms, lr.coefficients.toArray(), strict=True)]
+    df = spark.createDataFrame(rows, "feature string, index double, coefficient double")
+    if fm.categorical:
+        labels = indexer.levels.select("feature", "index", "label").distinct()
+        df = df.join(labels, ["feature", "index"], "left")
+        name = F.when(F.col("index").isNull(), F.concat(F.lit("numeric__"), "feature")).otherwise(F.concat(F.lit("categorical__"), "feature", F.lit("_"), "label"))
+    else:
+        name = F.concat(F.lit("numeric__"), "feature")
+    df = df.withColumn("encoded_feature", name)
     return (df.select("encoded_feature", F.round("coefficient", 6).alias("coefficient"),
                       F.round(F.exp("coefficient"), 6).alias("odds_ratio"))
             .orderBy(F.abs("coefficient").desc(), "encoded_feature").limit(k))
@@ -284,17 +287,13 @@ def permutation_importance(fm: FittedModel, test: DataFrame, columns: Sequence[s
 # ---------------------------------------------------------------------------
 
 def save_bundle(spark: SparkSession, fm: FittedModel, path: str, manifest: Mapping) -> None:
-    """Pipeline directory plus prep statistics and manifest as one-row JSON docs."""
+    """One pipeline directory (preparation included) and the manifest as a one-row JSON document."""
     fm.model.write().overwrite().save(f"{path}/pipeline")
-    doc = {"prep": fm.prep.to_dict(), "spec": fm.spec.__dict__, "features": fm.features, "manifest": dict(manifest)}
+    doc = {"spec": fm.spec.__dict__, "numeric": fm.numeric, "categorical": fm.categorical, "manifest": dict(manifest)}
     spark.createDataFrame([(json.dumps(doc, default=str),)], "doc string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/manifest")
 
 
 def load_bundle(spark: SparkSession, path: str) -> tuple[FittedModel, dict]:
     doc = json.loads(spark.read.text(f"{path}/manifest").first()[0])
-    prep = feats.FittedPrep(**doc["prep"])
-    spec = ModelSpec(**doc["spec"])
-    model = PipelineModel.load(f"{path}/pipeline")
-    return FittedModel(spec, prep, model, doc["features"]), doc["manifest"]
-
+    return FittedModel(ModelSpec(**doc["spec"]), PipelineModel.load(f"{path}/pipeline"), doc["numeric"], doc["categorical"]), doc["manifest"]

@@ -161,7 +161,7 @@ def bundle_path(spark: SparkSession, sf_dir: str) -> str:
         spec = models.benchmark_specs()[1]
         fm = _fit_cached(spark, sf_dir, spec, on=("train", "validation"))
         path = scratch_dir(spark, "bundle")
-        types = {c: "numeric" for c in fm.prep.numeric} | {c: "categorical" for c in fm.prep.categorical}
+        types = {c: "numeric" for c in fm.numeric} | {c: "categorical" for c in fm.categorical}
         sparse = prepare.sparse_columns(encounter_table(spark, sf_dir).where("split = 'train'"), ALL_FEATURES)
         dropped = sorted(r["column"] for r in sparse.where("dropped").select("column").collect())
         manifest = {"schema_version": "1.1.0", "generated_at_utc": datetime.now(timezone.utc).isoformat(),

@@ -141,3 +141,10 @@ def test_condition_slicer_reaches_the_parquet_scan(spark, tmp_path):
     plan = sliced._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "Measure Name" in plan.split("PushedFilters")[1].split("]")[0]
     assert [r["Condition"] for r in sliced.collect()] == ["COPD"]
+
+
+def test_conditions_are_ordered_by_mean_err(spark):
+    from caresignal.plans.hospital_queries import q_condition_summary
+    got = [r["mean_err"] for r in q_condition_summary(spark, "/root/testdata/sf0.001").collect()]
+    known = [x for x in got if x is not None]
+    assert known == sorted(known, reverse=True) and got[:len(known)] == known

@@ -1,7 +1,9 @@
 """Patient split, preparation statistics."""
 import pytest
 
-from caresignal.operators import features, prepare, split
+from pyspark.ml import Pipeline, PipelineModel
+
+from caresignal.operators import features, prepare, split, stages
 from caresignal.plans.patient_queries import encounter_table
 
 from conftest import SF01
@@ -54,17 +56,32 @@ def test_medians_std_and_class_weights(spark):
     assert w == {1: pytest.approx(2.0), 0: pytest.approx(4 / 6)}
 
 
-def test_unseen_category_encodes_as_zero_vector(spark):
+def test_preparation_is_one_saved_pipeline(spark, tmp_path, monkeypatch):
     train = spark.createDataFrame([("a", 1.0)] * 12 + [("b", 2.0)] * 12 + [("rare", 3.0)], "c string, x double")
-    fp = features.fit_prep(train, ["x"], ["c"], min_frequency=10, scale=False)
-    enc = features.fit_encoder(features.apply_prep(train, fp), fp)
-    test = spark.createDataFrame([("zzz", 1.0), ("a", 1.0), ("rare", 1.0)], "c string, x double")
-    v = [r["features"] for r in enc.transform(features.apply_prep(test, fp)).collect()]
-    # levels: __infrequent__, a, b (alphabetical); unseen -> all zeros, rare -> infrequent level
-    assert [float(x) for x in v[0].toArray()] == [1.0, 0.0, 0.0, 0.0]
-    assert v[1][0] == 1.0 and v[1][2] == 1.0
-    assert v[2][1] == 1.0
-    assert fp.kept["c"] == ["a", "b"]
+    prep = Pipeline(stages=[stages.NumericPrep(inputCols=["x"], scale=False), stages.CategoryIndexer(inputCols=["c"], minFrequency=10),
+                            *stages.encoder_stages(["x"], ["c"])])
+    test = spark.createDataFrame([("zzz", 1.0), ("a", 1.0), ("rare", 1.0), (None, None)], "c string, x double")
+    path = str(tmp_path / "prep")
+    model = prep.fit(train)
+    model.write().save(path)
+    for limit in (200_000, 0):  # broadcast and shuffle join of the level table
+        monkeypatch.setattr(stages, "MAX_BROADCAST_LEVELS", limit)
+        for m in (model, PipelineModel.load(path)):
+            v = {r["c"]: [float(x) for x in r["features"].toArray()] for r in m.transform(test).collect()}
+            # labels: __infrequent__, a, b (alphabetical); unseen -> all zeros, rare -> pooled, missing -> mode
+            assert v == {"zzz": [1.0, 0, 0, 0], "a": [1.0, 0, 1, 0], "rare": [1.0, 1, 0, 0], None: [2.0, 0, 1, 0]}
+            assert m.stages[1].label_counts() == {"c": 3}
+    pool = {r["value"]: r["label"] for r in model.stages[1].levels.collect()}
+    assert pool == {"a": "a", "b": "b", "rare": "__infrequent__"}
+
+
+def test_columns_without_values_and_without_categories(spark):
+    train = spark.createDataFrame([(None, None, 1.0)] * 3, "c string, x double, z double")
+    prep = Pipeline(stages=[stages.NumericPrep(inputCols=["x", "z"], scale=True), stages.CategoryIndexer(inputCols=["c"], minFrequency=1),
+                            *stages.encoder_stages(["x", "z"], [])])
+    rows = prep.fit(train).transform(spark.createDataFrame([("new", 5.0, None)], "c string, x double, z double")).collect()
+    assert rows[0]["_i_c"] == 0.0 and list(rows[0]["features"].toArray()) == [5.0, 0.0]
+    assert stages.CategoryIndexer(inputCols=[], minFrequency=1).fit(train).transform(train).columns == train.columns
 
 
 def test_align_columns_adds_typed_nulls(spark):
