@@ -39,9 +39,10 @@ MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 2048, 256, 2048
 #: Pieces that wait to be placed, at most, and the rows of one output batch.
 WINDOW = 512
 OUT_ROWS = 8192
-#: Characters encoded at a time.
+#: Texts taken from a batch, and characters encoded, at a time.
+SLICE = 256
 GROUP_CHARS = 1 << 20
-_CACHE = 600_000
+_CACHE = 400_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -297,9 +298,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "d
         def rows() -> Iterator[Piece]:
             b = head
             while b is not None:
-                for k, raw in zip(b.column(0).to_pylist(), enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                    ids = np.frombuffer(raw + tail, "<u4")
-                    yield Piece(k, 0, ids, len(ids))
+                for at in range(0, b.num_rows, SLICE):  # few texts at a time as Python strings
+                    some = b.slice(at, SLICE)
+                    for k, raw in zip(some.column(0).to_pylist(), enc.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
+                        ids = np.frombuffer(raw + tail, "<u4")
+                        yield Piece(k, 0, ids, len(ids))
                 b = next(it, None)
         yield from _pack_partition(rows(), limits, head.schema.field(0).type)
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(
