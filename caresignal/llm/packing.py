@@ -208,6 +208,10 @@ class ChunkEncoder:
         self.pretokens: dict[str, bytes] = {}
         self.older_pretokens: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        for held in (self.cache, self.older, self.pretokens, self.older_pretokens):
+            held.clear()
+
     def _whole(self, text: str) -> bytes:
         return array("I", self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -304,7 +308,10 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "d
                         ids = np.frombuffer(raw + tail, "<u4")
                         yield Piece(k, 0, ids, len(ids))
                 b = next(it, None)
-        yield from _pack_partition(rows(), limits, head.schema.field(0).type)
+        try:
+            yield from _pack_partition(rows(), limits, head.schema.field(0).type)
+        finally:
+            enc.forget()  # the worker may go on with other stages
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(
         run, f"doc_id {kind.simpleString()}, {_SCHEMA}")
 
