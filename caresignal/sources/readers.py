@@ -4,7 +4,9 @@ CSV files are read with an all-string schema (no inference pass over the data);
 typing happens in one projection afterwards so suppressed text is never lost."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,23 +38,57 @@ def _header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
     return spark.read.option("header", True).option("inferSchema", False).option("escape", '"').csv(path).columns
 
 
+#: Stands for a quoted run while lines are judged; a file that holds it itself is read whole.
+_RUN = "\u0001"
+
+
+def files_by_lines(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """Files whose lines are all whole rows, and files that may hold a line feed inside a cell.
+
+    A file is proven plain if each of its lines is by itself a row of whole cells: cut out quoted runs, and no
+    quote may be left and no run may touch anything but a comma, another run (a doubled quote) or the line's
+    end. Then every line starts and ends outside quotes. The pass reads lines, in splits, and groups by file."""
+    paths = [path] if isinstance(path, str) else list(path)
+    rest = F.regexp_replace("value", '"[^"]*"', _RUN)
+    opened = F.contains("value", F.lit(_RUN)) | F.contains(rest, F.lit('"')) | rest.rlike(f"[^,{_RUN}]{_RUN}|{_RUN}[^,{_RUN}]")
+    by = (spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), opened.alias("opened"))
+          .groupBy("file").agg(F.bool_or("opened").alias("opened")))
+    files = by.orderBy("file").collect()  # a name a file, as Spark's own listing holds
+    return [r["file"] for r in files if not r["opened"]], [r["file"] for r in files if r["opened"]]
+
+
+def _as_path(file: str) -> str:
+    """A file address of `_metadata` as a reader's path: decoded, and its glob characters escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file))
+
+
 def read_text_csv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None,
-                  multi_line: bool = True) -> DataFrame:
-    """CSV as text columns. Quotes are doubled inside quoted cells; with `multi_line` cells may hold line
-    feeds, at the price of one task per file (set it to False for files without them, which are then split).
+                  multi_line: bool | None = None) -> DataFrame:
+    """CSV as text columns. Quotes are doubled inside quoted cells.
+
+    By default a pass over the lines finds the files whose cells may hold line feeds: only those are read whole, one
+    task a file, and all others in splits. `multi_line` True reads every file whole, False none; neither takes the pass.
     Every file's header must name the columns in order, and a row with another number of cells stops the
     job (`columnPruning` off: the check needs whole rows)."""
     cols = list(columns) if columns else _header(spark, path)
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in cols])
-    # nullValue is a token nobody writes: the missing-value tokens are applied later
-    return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
-            .option("escape", '"').option("multiLine", multi_line).option("columnPruning", False)
-            .option("nullValue", "\u0000").option("emptyValue", "").csv(path))
+
+    def read(files: str | Sequence[str], whole: bool) -> DataFrame:
+        # nullValue is a token nobody writes: the missing-value tokens are applied later
+        return (spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+                .option("escape", '"').option("multiLine", whole).option("columnPruning", False)
+                .option("nullValue", "\u0000").option("emptyValue", "").csv(files))
+    if multi_line is not None:
+        return read(path, multi_line)
+    plain, opened = files_by_lines(spark, path)
+    if not plain or not opened:
+        return read(path, bool(opened))
+    return read([_as_path(f) for f in plain], False).unionAll(read([_as_path(f) for f in opened], True))
 
 
 def hrrp_scan(spark: SparkSession, path: str | Sequence[str], states: Sequence[str] | None = None,
               conditions: Sequence[str] | None = None, facilities: Sequence[str] | None = None,
-              fmt: str = "csv", multi_line: bool = True) -> DataFrame:
+              fmt: str = "csv", multi_line: bool | None = None) -> DataFrame:
     """Hospital-condition file -> typed table (see `prepare_hospital`). Slicers
     are applied on the stored text columns before typing, so with Parquet they
     are pushed into the scan. `multi_line` as in `read_text_csv`."""
@@ -69,7 +105,7 @@ def hrrp_scan(spark: SparkSession, path: str | Sequence[str], states: Sequence[s
 
 
 def encounter_scan(spark: SparkSession, path: str | Sequence[str],
-                   numeric: Sequence[str] = NUMERIC_FIELDS, multi_line: bool = True) -> DataFrame:
+                   numeric: Sequence[str] = NUMERIC_FIELDS, multi_line: bool | None = None) -> DataFrame:
     """Encounter CSV -> table with encounter null tokens, numeric features as
     double, ids as bigint. The target and patient columns must exist (A4). `multi_line`
     as in `read_text_csv`."""

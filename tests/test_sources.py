@@ -96,3 +96,44 @@ def test_scans_hand_multi_line_on(spark, tmp_path, monkeypatch):
         readers.hrrp_scan(spark, str(hospital), multi_line=lines)
         assert readers.encounter_scan(spark, str(encounter), numeric=[], multi_line=lines).count() == 1
     assert seen == [False, False, True, True]
+
+
+CELLS = ["", "plain", "a,b", 'say "hi"', '"', '""', "two\nlines", "x\n\"y\",z\n", " lead", "5 inch"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_csv_files_are_split_unless_a_cell_holds_a_line_feed(spark, tmp_path, seed):
+    import csv
+    import random
+    rng, want = random.Random(seed), []
+    for k, cells in enumerate((CELLS, [c for c in CELLS if "\n" not in c], ["plain", "5 inch"])):
+        with open(tmp_path / f"part [{k}] +%20.csv", "w", newline="") as f:
+            w = csv.writer(f, lineterminator="\n")
+            w.writerow(["id", "a", "b"])
+            for i in range(300):
+                w.writerow([f"{k}-{i}", rng.choice(cells), rng.choice(cells)])
+                want.append(f"{k}-{i}")
+    plain, opened = readers.files_by_lines(spark, str(tmp_path))
+    assert len(plain) == 2 and len(opened) == 1 and "%5B0%5D" in opened[0]
+    got = sorted(map(tuple, readers.read_text_csv(spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, readers.read_text_csv(spark, str(tmp_path), multi_line=True).collect()))
+    assert sorted(r[0] for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("text", ['5" pipe,"first\nsecond",6" x\n', 'a,"b\nc"\n', 'x"y"z,1\n', 'a,\x01\n'])
+def test_doubtful_lines_are_read_whole(spark, tmp_path, text):
+    (tmp_path / "f.csv").write_text("a,b\n" + text)
+    assert readers.files_by_lines(spark, str(tmp_path))[0] == []
+
+
+def test_a_large_plain_file_takes_many_tasks(spark, tmp_path):
+    with open(tmp_path / "f.csv", "w") as f:
+        f.write("id,a\n" + "".join(f'{i},"x, ""{i}"""\n' for i in range(20_000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        df = readers.read_text_csv(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 4
+        assert df.where(f"a = concat('x, \"', id, '\"')").count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
