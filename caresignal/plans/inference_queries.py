@@ -243,40 +243,39 @@ def q_decode_dims(spark, sf_dir):
 
 # ---- A1 / A3: CSV sources (fixture written to a scratch folder and read back) ---------------------
 @register("hrrp_scan", H(f"""
-SELECT facility_id, measure_name, readmissions_raw, readmissions AS readmissions_numeric, {R('err')} AS err,
-       condition, start_date FROM hrrp"""))
+SELECT facility_name, facility_id, state, measure_name, {R('discharges')} AS number_of_discharges, footnote,
+       {R('err')} AS excess_readmission_ratio, {R('predicted')} AS predicted_readmission_rate,
+       {R('expected')} AS expected_readmission_rate, readmissions_raw AS number_of_readmissions, start_date, end_date,
+       readmissions AS number_of_readmissions_numeric, condition FROM hrrp"""))
 def q_hrrp_scan(spark, sf_dir):
     from ..sources import fixtures
     path = scratch_dir(spark, "hrrp-csv")
     fixtures.hospital_raw(spark, sf_dir).write.option("header", True).csv(path)
     h = readers.hrrp_scan(spark, path)
-    return finish(h.select(F.col("`Facility ID`").alias("facility_id"), F.col("`Measure Name`").alias("measure_name"),
-                           F.col("`Number of Readmissions`").alias("readmissions_raw"),
-                           F.col("`Number of Readmissions Numeric`").alias("readmissions_numeric"),
-                           F.col("`Excess Readmission Ratio`").alias("err"), F.col("Condition").alias("condition"),
-                           F.col("`Start Date`").alias("start_date")))
+    return finish(h.select([F.col(f"`{c}`").alias(c.lower().replace(" ", "_")) for c in h.columns]))
 
 
-@register("encounter_scan", E("""
-SELECT encounter_id, patient_nbr, readmitted, gender, CAST(number_inpatient AS DOUBLE) AS number_inpatient,
-       diag_2, weight FROM enc"""))
+@register("encounter_scan", E(f"""
+SELECT encounter_id, patient_nbr, readmitted, age, gender, medical_specialty, diag_1, diag_2, diag_3, weight,
+       {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC_FIELDS)} FROM enc"""))
 def q_encounter_scan(spark, sf_dir):
     from ..sources import fixtures
     path = scratch_dir(spark, "encounter-csv")
     fixtures.encounters(spark, sf_dir).write.option("header", True).csv(path)
-    e = readers.encounter_scan(spark, path)
-    return e.select("encounter_id", "patient_nbr", "readmitted", "gender", "number_inpatient", "diag_2", "weight")
+    return readers.encounter_scan(spark, path)
 
 
 # ---- A6 sink round trip: the clean export written partitioned and read back with pruning --------------
 @register("clean_export_roundtrip", H(f"""
-SELECT facility_id AS Facility_ID, {R('err')} AS Excess_Readmission_Ratio, condition AS Condition
+SELECT facility_id AS Facility_ID, facility_name AS Facility_Name, state AS State, condition AS Condition,
+       {R('discharges')} AS Number_of_Discharges, {R('readmissions')} AS Number_of_Readmissions,
+       {R('err')} AS Excess_Readmission_Ratio, {R('predicted')} AS Predicted_Readmission_Rate,
+       {R('expected')} AS Expected_Readmission_Rate, start_date AS Start_Date, end_date AS End_Date
 FROM hrrp WHERE condition = 'COPD'"""))
 def q_clean_export_roundtrip(spark, sf_dir):
     path = scratch_dir(spark, "export")
     sinks.write_clean_export(hospital_table(spark, sf_dir), path, fmt="parquet", partition_by=("Condition",))
-    back = spark.read.parquet(path).where(F.col("Condition") == "COPD")  # partition pruning
-    return finish(back.select("Facility_ID", "Excess_Readmission_Ratio", "Condition"))
+    return finish(spark.read.parquet(path).where(F.col("Condition") == "COPD"))  # partition pruning
 
 
 # ---- I3 / I5: batch scoring of valid requests with the saved bundle -----------------------------

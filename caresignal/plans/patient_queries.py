@@ -80,6 +80,17 @@ def q_split_leakage(spark, sf_dir):
     return split.split_leakage(encounter_table(spark, sf_dir))
 
 
+@register("split_leakage_found", E("""
+SELECT patient_nbr, CAST(count(DISTINCT split) AS BIGINT) AS splits
+FROM (SELECT patient_nbr, CASE WHEN b < 64 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS split
+      FROM (SELECT patient_nbr, ('0x' || substr(md5('42:' || CAST(encounter_id AS VARCHAR)), 1, 8))::BIGINT % 100 AS b FROM encs))
+GROUP BY patient_nbr HAVING count(DISTINCT split) > 1"""))
+def q_split_leakage_found(spark, sf_dir):
+    """The check on a split that leaks: encounters are dealt, not patients."""
+    e = encounter_table(spark, sf_dir).select("patient_nbr", split.split_column("encounter_id").alias("split"))
+    return split.split_leakage(e)
+
+
 @register("split_profile", E(f"""
 SELECT split, CAST(count(*) AS BIGINT) AS encounters, CAST(count(DISTINCT patient_nbr) AS BIGINT) AS patients,
        {R('avg(y)')} AS prevalence
