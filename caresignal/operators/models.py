@@ -13,10 +13,15 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.common import _py2java
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +32,7 @@ LOGISTIC, GBT, FOREST = "logistic", "gradient_boosted_trees", "random_forest"
 #: boosted trees of operators.boosting: second order, leaf-wise, l2
 BOOSTING = "histogram_boosting"
 #: Rows a task of a logistic fit should have at least: each iteration is a job of its own.
-TASK_ROWS = 50_000
+TASK_ROWS = 15_000
 
 
 @dataclass
@@ -149,8 +154,10 @@ def _fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], s
         wsum = train.count()  # balanced weights sum to the row count
         x = x.coalesce(max(1, -(-wsum // TASK_ROWS)))
         est = LogisticRegression(featuresCol="features", labelCol="_label", maxIter=p.get("maxIter", 100),
-                                 regParam=1.0 / float(wsum), elasticNetParam=0.0, standardization=False,
-                                 tol=1e-6, weightCol="_w" if spec.balanced else None)
+                                 regParam=1.0 / max(1.0, float(wsum)), elasticNetParam=0.0, standardization=False,
+                                 tol=p.get("tol", 1e-9), weightCol="_w" if spec.balanced else None)
+        encoded = Pipeline(stages=encoder).fit(x)
+        return fitted([*encoded.stages, _penalised(encoded.transform(x), est)])
     elif spec.kind == GBT:
         # early stopping is asked for, never switched on by the table's size
         share = p.pop("holdout_share", 0.1)
@@ -172,6 +179,59 @@ def _fit(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], s
         x.unpersist()
 
 
+def _penalised(x: DataFrame, est: LogisticRegression) -> LogisticRegressionModel:
+    """Logistic regression whose intercept is penalised like every coefficient: it is the coefficient of a constant 1.
+
+    MLlib gives constant columns no coefficient, so the constant is turned with one varying feature z into (1 + z) /
+    sqrt 2 and (1 - z) / sqrt 2. Turning keeps every inner product and the squared norm, so the penalised optimum is
+    the same; the coefficients are turned back into a plain model. Without a varying feature the intercept is free."""
+    x = x.select("features", "_label", "_w") if est.isSet(est.weightCol) else x.select("features", "_label")
+    x = x.persist()
+    try:
+        variance = x.agg(Summarizer.variance(F.col("features")).alias("v")).first()["v"]
+        moving = [] if variance is None else [j for j, v in enumerate(variance.toArray()) if v > 0]
+        if not moving:
+            return est.fit(x)
+        z, rest = moving[0], [j for j in range(len(variance)) if j != moving[0]]
+        turned = VectorSlicer(inputCol="features", outputCol="_z", indices=[z]).transform(x)
+        value = vector_to_array("_z")[0]
+        turned = turned.withColumn("_u", (1 + value) / math.sqrt(2)).withColumn("_v", (1 - value) / math.sqrt(2))
+        parts = ["_u", "_v"]
+        if rest:
+            turned = VectorSlicer(inputCol="features", outputCol="_rest", indices=rest).transform(turned)
+            parts.append("_rest")
+        turned = VectorAssembler(inputCols=parts, outputCol="_turned").transform(turned).drop("features", "_z", "_rest", "_u", "_v")
+        turned = turned.persist()
+        try:
+            got = est.copy({est.featuresCol: "_turned", est.fitIntercept: False}).fit(turned).coefficients.toArray()
+        finally:
+            turned.unpersist()
+    finally:
+        x.unpersist()
+    coef = np.zeros(len(variance))
+    coef[z], intercept, coef[rest] = (got[0] - got[1]) / math.sqrt(2), (got[0] + got[1]) / math.sqrt(2), got[2:]
+    java = x.sparkSession._jvm.org.apache.spark.ml.classification.LogisticRegressionModel
+    return LogisticRegressionModel(java(est.uid, _py2java(x.sparkSession.sparkContext, Vectors.dense(coef)), float(intercept)))
+
+
+def optimality(fm: FittedModel, train: DataFrame, label: str = "y") -> DataFrame:
+    """Certificate of a fitted logistic model: (feature, terms, gradient_norm), the intercept as a feature of one term.
+
+    The gradient of sum(w * loss) + |b|^2 / 2 at the returned coefficients b, from one pass over the training rows.
+    The penalised loss is 1-strongly convex, so b is no further from the optimum than the norm of the whole gradient."""
+    x = fm.score(train.select(*dict.fromkeys([*fm.features, label])), "_p")
+    x = fm.model.transform(_weights(x, label) if fm.spec.balanced else x.withColumn("_w", F.lit(1.0)))
+    x = x.select("features", (F.col("_w") * (F.col("_p") - F.col(label))).alias("_r"))
+    side = lambda c: Summarizer.metrics("sum").summary(F.col("features"), c)["sum"]
+    over, under = F.greatest(F.col("_r"), F.lit(0.0)), F.greatest(-F.col("_r"), F.lit(0.0))  # weights may not be negative
+    row = x.agg(side(over).alias("over"), side(under).alias("under"), F.sum("_r").alias("one")).first()
+    lr, sizes = fm.model.stages[-1], [(c, 1) for c in fm.numeric] + list(fm.model.stages[1].label_counts().items())
+    grad = row["over"].toArray() - row["under"].toArray() + lr.coefficients.toArray()
+    ends = np.cumsum([n for _, n in sizes])
+    rows = [(c, n, float(np.linalg.norm(grad[e - n:e]))) for (c, n), e in zip(sizes, ends, strict=True)]
+    return train.sparkSession.createDataFrame([*rows, ("intercept", 1, abs(float(row["one"] + lr.intercept)))], "feature string, terms bigint, gradient_norm double")
+
+
 def _boosted(x: DataFrame, prep: Prep, encoder: list, params: boosting.BoostingParams) -> list:
     """Encoder stages and the boosted trees, which are grown on numbers and level numbers."""
     numeric, levels = [f"_n_{c}" for c in prep[0].getInputCols()], {f"_i_{c}": n for c, n in prep[1].label_counts().items()}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import DIAGNOSIS_REDUCED_DROP, FEATURE_GROUPS, SELECTION_GRID_PCT
 from ..operators import metrics, models, prepare
 from ..session import scratch_dir
-from .patient_queries import ALL_FEATURES, CATEGORICAL, NUMERIC, E
+from .patient_queries import ALL_FEATURES, CATEGORICAL, NUMERIC, E, pool_sql
 from .patient_queries import encounter_table as _encounter_table
 from .registry import R, register
 
@@ -91,6 +91,21 @@ def q_baseline_lr(spark, sf_dir):
     return _eval_splits(fm, e)
 
 
+#: A part of the mean penalised loss's gradient below this counts as zero.
+MAX_GRADIENT = 1e-5
+
+
+@register("logistic_optimality", E(
+    "SELECT feature, CAST(count(*) FILTER (WHERE kept) + max(CASE WHEN kept THEN 0 ELSE 1 END) AS BIGINT) AS terms, true AS optimal\n"
+    f"FROM ({pool_sql(10)}) GROUP BY feature\n"
+    + "\n".join(f"UNION ALL SELECT '{c}', CAST(1 AS BIGINT), true" for c in (*NUMERIC, "intercept"))))
+def q_logistic_optimality(spark, sf_dir):
+    """Terms of each feature of the baseline, and whether its part of the penalised loss's gradient is near zero."""
+    fm = _fit_cached(spark, sf_dir, models.baseline_spec())
+    train = encounter_table(spark, sf_dir).where("split = 'train'")
+    return models.optimality(fm, train).select("feature", "terms", (F.col("gradient_norm") < MAX_GRADIENT * train.count()).alias("optimal"))
+
+
 @register("coefficients")
 def q_coefficients(spark, sf_dir):
     fm = _fit_cached(spark, sf_dir, models.baseline_spec())

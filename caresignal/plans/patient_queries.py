@@ -179,7 +179,7 @@ def q_standardize(spark, sf_dir):
     return finish(features.standardize_stats(train, NUMERIC, features.numeric_medians(train, NUMERIC)))
 
 
-def _pool_sql(min_freq: int) -> str:
+def pool_sql(min_freq: int) -> str:
     parts = []
     for c in CATEGORICAL:
         parts.append(f"""
@@ -194,7 +194,7 @@ FROM (SELECT CAST({c} AS VARCHAR) AS value, count(*) AS n FROM encs WHERE split
     return "\nUNION ALL\n".join(parts)
 
 
-@register("category_pooling", E(_pool_sql(20)))
+@register("category_pooling", E(pool_sql(20)))
 def q_category_pooling(spark, sf_dir):
     train = encounter_table(spark, sf_dir).where("split = 'train'")
     return features.category_pooling(train, CATEGORICAL, min_frequency=20)

@@ -105,3 +105,41 @@ def test_winner_order_roc_then_pr_then_brier_then_position(spark):
     g = spark.createDataFrame(rows, "model string, candidate_order int, roc_auc double, pr_auc double, "
                                     "brier_score double")
     assert models.pick_winner(g).first()["model"] == "d"
+
+
+def _newton(x, y, w):
+    """Optimum of sum(w * loss) + |b|^2 / 2 with a constant as the last column."""
+    import numpy as np
+    x = np.hstack([x, np.ones((len(x), 1))])
+    b = np.zeros(x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ b))
+        g = x.T @ (w * (p - y)) + b
+        b -= np.linalg.solve(x.T @ (x * (w * p * (1 - p))[:, None]) + np.eye(len(b)), g)
+    return b
+
+
+@pytest.mark.parametrize("numeric,categorical", [(["a", "flat"], ["c"]), (["flat"], ["c"]), (["a"], [])])
+def test_logistic_penalises_the_intercept(spark, numeric, categorical):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    a, c = rng.normal(size=60), rng.integers(0, 3, 60)
+    y = (rng.random(60) < 1 / (1 + np.exp(-(a + c)))).astype(int)
+    df = spark.createDataFrame([(float(p), 4.0, f"l{q}", int(r)) for p, q, r in zip(a, c, y)], "a double, flat double, c string, y int")
+    spec = models.ModelSpec("m", models.LOGISTIC, {"maxIter": 500, "tol": 1e-14}, min_frequency=1)
+    fm = models.fit(df, numeric, categorical, spec)
+    columns = {"a": (a - a.mean()) / a.std(), "flat": np.zeros(60)}
+    x = np.stack([*[columns[n] for n in numeric], *[(c == k).astype(float) for k in range(3) if categorical]], 1)
+    w = np.where(y == 1, 60 / (2 * y.sum()), 60 / (2 * (60 - y.sum())))
+    want, lr = _newton(x, y, w), fm.model.stages[-1]
+    assert np.allclose([*lr.coefficients.toArray(), lr.intercept], want, atol=1e-4)
+    cert = {r["feature"]: r for r in models.optimality(fm, df).collect()}
+    assert set(cert) == {*numeric, *categorical, "intercept"} and all(r["gradient_norm"] < 1e-3 for r in cert.values())
+    # the certificate is the gradient at any coefficients, not at the optimum only
+    rough = models.fit(df, numeric, categorical, models.ModelSpec("m", models.LOGISTIC, {"maxIter": 1}, min_frequency=1))
+    lr = rough.model.stages[-1]
+    b = np.append(lr.coefficients.toArray(), lr.intercept)
+    ones = np.hstack([x, np.ones((60, 1))])
+    g = ones.T @ (w * (1 / (1 + np.exp(-ones @ b)) - y)) + b
+    norm = sum(r["gradient_norm"] ** 2 for r in models.optimality(rough, df).collect()) ** 0.5
+    assert abs(norm - np.linalg.norm(g)) < 1e-6
