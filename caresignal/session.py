@@ -64,10 +64,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through its own file system; nothing happens once the session has stopped."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _delete_scratch() -> None:
     for spark, path in _SCRATCH:
-        sc = spark.sparkContext
-        if sc._jsc is None:  # stopped already: the folders stay
-            continue
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        delete_path(spark, path)
