@@ -110,6 +110,24 @@ def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if small_enough(df, limit) else df
 
 
+#: Row hashes are broadcast up to this many (8 MB), joined by a shuffle beyond.
+BROADCAST_HASHES = 1_000_000
+
+
+def drop_repeated_rows(df: DataFrame) -> DataFrame:
+    """`df` with one of all rows that are equal in every column (nulls are equal to each other).
+
+    Rows are found by their hash, which alone is shuffled; only rows whose hash stands twice are grouped by all
+    columns, copies collapsing in the map tasks, and all others stay where they are."""
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    twice = checkpointed(df.select(row.alias("__h")).groupBy("__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__h"))
+    if twice.isEmpty():
+        return df
+    twice = maybe_broadcast(twice, BROADCAST_HASHES)
+    alone = df.join(twice, row == F.col("__h"), "left_anti")
+    return alone.unionAll(df.join(twice, row == F.col("__h"), "left_semi").dropDuplicates())
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 
