@@ -7,9 +7,11 @@ line's probability of being good; their mean, weighted by line length, is the do
 quality, mapped to a probability by a logistic curve fitted on training documents that
 the chain was not fitted on.
 
-Only fitting is bounded: at most TRAIN_DOCS labelled rows of the training folds, taken by
-hash of the id, without documents of over TRAIN_LINES lines. Scoring is one pass over the
-whole texts with no shuffle. Ids, sources, languages and labels are no inputs of a score.
+Only fitting is bounded: at most TRAIN_DOCS labelled documents of the training folds, taken
+in the order of a hash of the id, without documents of over TRAIN_LINES lines, and only as
+many of them as hold TRAIN_TOTAL lines together: the driver fits on about 1.2 kB a line.
+Scoring is one pass over the whole texts with no shuffle. Ids, sources, languages and labels
+are no inputs of a score.
 
 Defined cases: null, empty and wordless texts are one empty line and get a score like any
 other; repeated rows get equal scores; without usable labels of both kinds every score
@@ -18,6 +20,7 @@ is the share of good labels (0.5 without labels).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Bounds of the sample that the model is fitted on.
-TRAIN_DOCS, TRAIN_LINES = 6_000, 2_000
+TRAIN_DOCS, TRAIN_LINES, TRAIN_TOTAL = 6_000, 2_000, 300_000
+#: Texts whose features a task holds at once while it reads the sample.
+SLICE = 64
 BINS = 10
 ITERATIONS = 150
 L2 = 2e-4
@@ -172,6 +177,15 @@ def _batch_fb(s: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> tuple[np.nd
     return marg / np.maximum(marg.sum(-1, keepdims=True), 1e-300), pairs
 
 
+def _length_classes(lens: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of documents, longest first, whose lengths differ by less than a factor of two: padding at most doubles them."""
+    starts = [0]
+    for k, n in enumerate(lens):
+        if 2 * n <= lens[starts[-1]]:
+            starts.append(k)
+    return list(zip(starts, [*starts[1:], len(lens)], strict=True))
+
+
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, iterations: int = ITERATIONS) -> Crf:
     """Fit on (features, line lengths) of documents with 0/1 labels.
 
@@ -206,12 +220,17 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, iteration
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     own_pairs = np.zeros((len(train), 2, 2))
     own_pairs[np.arange(len(train)), y, y] = lens - 1
+    classes, first = _length_classes(lens), np.concatenate([[0], np.cumsum(lens)])
+    good, pairs = np.empty(len(row)), np.empty((len(train), 2, 2))
     for step in range(1, iterations + 1):
         w, trans = theta[:-4], theta[-4:].reshape(2, 2)
-        s = np.zeros((len(train), lens[0]))
-        s[row, col] = w[active].sum(axis=1)
-        marg, pairs = _batch_fb(s, lens, trans)
-        res = (y[row] - marg[row, col, 1]) * weight[row]
+        for a, b in classes:
+            at = slice(first[a], first[b])
+            s = np.zeros((b - a, lens[a]))
+            s[row[at] - a, col[at]] = w[active[at]].sum(axis=1)
+            marg, pairs[a:b] = _batch_fb(s, lens[a:b], trans)
+            good[at] = marg[row[at] - a, col[at], 1]
+        res = (y[row] - good) * weight[row]
         g = np.bincount(active.ravel(), weights=np.repeat(res, active.shape[1]), minlength=len(w))
         gt = ((own_pairs - pairs) * weight[:, None, None]).sum(0)
         grad = np.concatenate([g, gt.ravel()]) / total - L2 * theta
@@ -246,38 +265,52 @@ def _logistic(z: np.ndarray, t: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-          max_docs: int = TRAIN_DOCS) -> Crf:
-    """Fit on labelled rows outside the held-out fold. The sampled ids (at most `max_docs`) are broadcast; executors
-    compute line statistics, and only those come to the driver."""
+          max_docs: int = TRAIN_DOCS, max_total: int = TRAIN_TOTAL) -> Crf:
+    """Fit on labelled documents outside the held-out fold. The sampled ids (at most `max_docs`) are broadcast; executors
+    compute line statistics, and those of at most `max_total` lines come to the driver. Of rows with one id the text of
+    the least features counts."""
     lab = (labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("y"))
            .filter("doc_id IS NOT NULL AND y IN (0, 1)")
            .withColumn("h", F.crc32(F.col("doc_id").cast("string").cast("binary"))).filter(F.col("h") % FOLDS != HELD_OUT)
            .groupBy("doc_id").agg(F.min("y").alias("y"), F.min("h").alias("h")))
-    picked = lab.orderBy(F.xxhash64("h", "doc_id"), "doc_id").limit(max_docs).select("doc_id", "y")
+    picked = lab.select("doc_id", "y", F.xxhash64("h", "doc_id").alias("o")).orderBy("o", "doc_id").limit(max_docs)
     sample = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "doc_id")
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        xs, ls = [], []
-        for t in b.column(2):
-            x, n = line_features(t.as_py())
-            small = len(x) <= TRAIN_LINES
-            xs.append(x.astype("<f8").tobytes() if small else None)
-            ls.append(n.astype("<f8").tobytes() if small else None)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary()), pa.array(ls, pa.binary())],
-                                          names=["doc_id", "y", "x", "n"])
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = map_batches(sample.select("doc_id", "y", "text"), run, f"doc_id {kind}, y int, x binary, n binary").filter("x IS NOT NULL").collect()
-    # one row per id, in an order that no schedule changes
-    by_id = {}
-    for r in sorted(rows, key=lambda r: (r["doc_id"], bytes(r["x"]))):
-        by_id.setdefault(r["doc_id"], r)
+    rows = (sample.select("doc_id", "y", "o", "text").mapInArrow(_sample_features, f"doc_id {kind}, y int, o bigint, x binary, n binary")
+            .filter("x IS NOT NULL").groupBy("doc_id", "y", "o").agg(F.min(F.struct("x", "n")).alias("v")).persist())
+    try:
+        sizes = rows.select("o", (F.length("v.n") / 8).cast("long").alias("lines")).collect()
+        total, last = 0, None
+        for o, lines in sorted(tuple(r) for r in sizes):
+            total += lines
+            if total > max_total:
+                break
+            last = o
+        got = rows.filter(F.col("o") <= F.lit(last)).select("doc_id", "y", "v.x", "v.n").collect() if last is not None else []
+    finally:
+        rows.unpersist()
+    # an order that no schedule changes
+    got.sort(key=lambda r: r["doc_id"])
     rng = np.random.default_rng(11)
-    got = [by_id[k] for k in by_id]
     got = [got[k] for k in rng.permutation(len(got))]
     data = [(np.frombuffer(r["x"], "<f8").reshape(-1, len(FEATURES)), np.frombuffer(r["n"], "<f8")) for r in got]
     return fit(data, np.array([r["y"] for r in got], float))
 
 
+def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features and line lengths of sampled texts, null for those of over TRAIN_LINES lines; some texts at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            b = whole.slice(at, SLICE)
+            xs, ls = [], []
+            for t in b.column(3):
+                x, n = line_features(t.as_py())
+                small = len(x) <= TRAIN_LINES
+                xs.append(x.astype("<f8").tobytes() if small else None)
+                ls.append(n.astype("<f8").tobytes() if small else None)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(xs, pa.binary()), pa.array(ls, pa.binary())], names=["doc_id", "y", "o", "x", "n"])
+
+
 def score(docs: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     kind = docs.schema[doc_id].dataType.simpleString()

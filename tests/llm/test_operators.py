@@ -377,6 +377,43 @@ def test_quality_is_learned_from_training_folds(spark):
     assert np.mean([s >= 0.7 for s in good]) > 0.95
 
 
+def test_quality_sample_is_bounded_in_lines(spark):
+    """The driver gets whole documents, in the order of the hash, up to the bound of lines; repeated rows count once."""
+    rows = [(k, "\n".join(f"word {j} of {k}" for j in range(k % 9 + 1))) for k in range(80)]
+    df = spark.createDataFrame(rows + [rows[0]] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)], "doc_id bigint, quality int")
+    seen = []
+    real = crf_quality.fit
+    try:
+        crf_quality.fit = lambda data, y: seen.append((data, y)) or real(data, y, iterations=2)
+        for bound in (10**6, 60, 0):
+            crf_quality.train(df, labels, max_total=bound)
+    finally:
+        crf_quality.fit = real
+    (every, _), (some, y), (none, _) = seen
+    assert len(every) == len([k for k in range(80) if zlib.crc32(str(k).encode()) % 4 != 2])
+    assert sum(len(x) for x, _ in some) <= 60 < sum(len(x) for x, _ in some) + 9 and len(some) == len(y)
+    assert none == []
+
+
+def test_length_classes():
+    """Classes cover all documents and padding at most doubles their lines."""
+    lens = np.array(sorted([1, 1, 2, 3, 3, 7, 8, 15, 16, 16, 40, 900], reverse=True))
+    got = crf_quality._length_classes(lens)
+    assert [a for a, _ in got] == [0, *[b for _, b in got][:-1]] and got[-1][1] == len(lens)
+    assert all(lens[a] < 2 * lens[b - 1] for a, b in got)
+    rng = np.random.default_rng(1)
+    data = [(rng.normal(size=(n, len(crf_quality.FEATURES))) + k % 2, np.ones(n)) for k, n in enumerate([*lens, *lens])]
+    y = np.array([k % 2 for k in range(len(data))], float)
+    split = crf_quality.fit(data, y, iterations=20)
+    whole_classes, crf_quality._length_classes = crf_quality._length_classes, lambda lens: [(0, len(lens))]
+    try:
+        whole = crf_quality.fit(data, y, iterations=20)
+    finally:
+        crf_quality._length_classes = whole_classes
+    assert np.allclose(split.weights, whole.weights) and np.allclose(split.trans, whole.trans)
+
+
 def test_quality_odd(spark, odd_docs, no_docs):
     df, rows = odd_docs
     labels = spark.createDataFrame([(0, 1), (1, None)], "doc_id bigint, quality int")
