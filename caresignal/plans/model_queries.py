@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import DIAGNOSIS_REDUCED_DROP, FEATURE_GROUPS, SELECTION_GRID_PCT
 from ..operators import metrics, models, prepare
 from ..session import scratch_dir
+from ..sources import documents
+from ..sources.sinks import write_document
 from .patient_queries import ALL_FEATURES, CATEGORICAL, NUMERIC, E, pool_sql
 from .patient_queries import encounter_table as _encounter_table
 from .registry import R, register
@@ -309,3 +311,80 @@ def q_winner_on_scores(spark, sf_dir):
                                 for i, (n, s) in enumerate((("as_is", p), ("reversed", 1 - p), ("coarse", F.floor(p * 10) / 10)))]))
     long = scored_table(spark, sf_dir).where("split = 'validation'").select("y", cands.alias("c")).select("y", "c.*")
     return models.pick_winner(models.evaluate(long, keys=["model", "candidate_order"])).drop("prevalence")
+
+
+# --- A7: benchmark and ablation documents on scores that need no model, as written and read back ---------
+_SPLIT_CURVES_SQL = """
+, cands AS (
+  SELECT split, 'as_is' AS model, 0 AS candidate_order, y, p FROM scored WHERE split IN ('validation', 'test') UNION ALL
+  SELECT split, 'reversed', 1, y, 1 - p FROM scored WHERE split IN ('validation', 'test') UNION ALL
+  SELECT split, 'coarse', 2, y, floor(p * 10) / 10 FROM scored WHERE split IN ('validation', 'test'))
+, counts AS (SELECT split, model, p AS s, sum(y) AS pos, count(*) - sum(y) AS neg FROM cands GROUP BY ALL)
+, sums AS (
+  SELECT *, sum(neg) OVER (PARTITION BY split, model ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS neg_below,
+         sum(pos) OVER (PARTITION BY split, model ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS tp,
+         sum(neg) OVER (PARTITION BY split, model ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS fp FROM counts)
+, curves AS (
+  SELECT split, model, sum(pos * (coalesce(neg_below, 0) + 0.5 * neg)) / (sum(pos) * sum(neg)) AS roc_auc,
+         sum(pos * tp / (tp + fp)) / sum(pos) AS pr_auc FROM sums GROUP BY ALL)
+, shares AS (SELECT split, model, candidate_order, avg((p - y) * (p - y)) AS brier_score, avg(y) AS prevalence FROM cands GROUP BY ALL)
+, grid AS (
+  SELECT split, model, candidate_order, """ + ", ".join(f"{R(c, 4)} AS {c}" for c in ("roc_auc", "pr_auc", "brier_score", "prevalence")) + """
+  FROM curves JOIN shares USING (split, model))
+, winner AS (SELECT model FROM grid WHERE split = 'validation' ORDER BY roc_auc DESC, pr_auc DESC, brier_score ASC, candidate_order LIMIT 1)
+"""
+_FIGURES = ("roc_auc", "pr_auc", "brier_score", "prevalence")
+
+
+def _score_grid(spark, sf_dir) -> DataFrame:
+    """Figures of three deterministic scores on the validation and test rows, stored: documents read them several times."""
+    from .patient_queries import scored_table
+    p = F.col("p")
+    cands = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("candidate_order"), s.cast("double").alias("p"))
+                                for i, (n, s) in enumerate((("as_is", p), ("reversed", 1 - p), ("coarse", F.floor(p * 10) / 10)))]))
+    rows = scored_table(spark, sf_dir).where("split IN ('validation', 'test')").select("split", "y", cands.alias("c")).select("split", "y", "c.*")
+    return metrics._materialize(models.evaluate(rows, keys=["split", "model", "candidate_order"]))
+
+
+def _read_back(spark, doc: DataFrame, name: str) -> DataFrame:
+    path = scratch_dir(spark, name)
+    write_document(doc, path)
+    return spark.read.schema(doc.schema).json(path)
+
+
+@register("benchmark_doc", E("").rstrip() + _SPLIT_CURVES_SQL + f"""
+SELECT 'candidate' AS part, CAST(candidate_order AS INTEGER) AS position, model, {', '.join(_FIGURES)} FROM grid WHERE split = 'validation'
+UNION ALL SELECT 'winner', CAST(0 AS INTEGER), model, {', '.join(_FIGURES)} FROM grid JOIN winner USING (model) WHERE split = 'validation'
+UNION ALL SELECT 'winner_test', CAST(0 AS INTEGER), model, {', '.join(_FIGURES)} FROM grid JOIN winner USING (model) WHERE split = 'test'""")
+def q_benchmark_doc(spark, sf_dir):
+    """The written benchmark document's candidates by position, its winner and the winner's test figures."""
+    grid = _score_grid(spark, sf_dir)
+    candidates = grid.where("split = 'validation'").drop("split")
+    winner = models.pick_winner(candidates)
+    tested = grid.where("split = 'test'").drop("split").join(F.broadcast(winner.select("model")), "model")
+    doc = _read_back(spark, documents.benchmark_document(candidates, winner, tested), "benchmark-doc")
+    listed = doc.select(F.posexplode("validation_candidates").alias("position", "c")).select(
+        F.lit("candidate").alias("part"), "position", "c.model", *[f"c.{x}" for x in _FIGURES])
+    parts = []
+    for name, column in (("winner", "selected_winner"), ("winner_test", "winner_test")):
+        parts.append(doc.select(F.col(column).alias("c")).select(
+            F.lit(name).alias("part"), F.lit(0).alias("position"), "c.model", *[f"c.{x}" for x in _FIGURES]))
+    return listed.unionByName(parts[0]).unionByName(parts[1])
+
+
+@register("ablation_doc", E("").rstrip() + _SPLIT_CURVES_SQL + f"""
+, losses AS (
+  SELECT g.model, g.roc_auc, {R('g.roc_auc - b.roc_auc', 4)} AS delta FROM grid g, (SELECT roc_auc FROM grid WHERE split = 'validation' AND model = 'as_is') b
+  WHERE split = 'validation' AND model <> 'as_is')
+SELECT CAST(row_number() OVER (ORDER BY delta, model) - 1 AS INTEGER) AS position, model AS removed_group, roc_auc, delta AS delta_roc_auc_vs_baseline,
+       (SELECT roc_auc FROM grid WHERE split = 'validation' AND model = 'as_is') AS baseline_roc_auc FROM losses""")
+def q_ablation_doc(spark, sf_dir):
+    """The written ablation document's experiments by position (largest loss first) and its baseline."""
+    grid = _score_grid(spark, sf_dir).where("split = 'validation'").drop("split")
+    baseline = grid.where("model = 'as_is'")
+    others = grid.where("model <> 'as_is'").withColumnRenamed("model", "removed_group")
+    delta = F.round(F.col("roc_auc") - baseline.select("roc_auc").scalar(), 4)
+    doc = documents.ablation_document(baseline, others.withColumn("delta_roc_auc_vs_baseline", delta))
+    read = _read_back(spark, doc, "ablation-doc")
+    return read.select(F.col("baseline.roc_auc").alias("baseline_roc_auc"), F.posexplode("experiments").alias("position", "c")).select(
+        "position", "c.removed_group", "c.roc_auc", "c.delta_roc_auc_vs_baseline", "baseline_roc_auc")
