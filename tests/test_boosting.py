@@ -93,6 +93,14 @@ def test_equals_brute_force_for_any_partitions(spark, monkeypatch):
         assert r["p"] == pytest.approx(1 / (1 + math.exp(-want[r["id"]])), abs=1e-9)
 
 
+def test_more_rows_than_before_are_grown_in_one_task(spark, monkeypatch):
+    """576,000 rows (0.1 GB of tables) took thousands of jobs in tasks of 100,000 rows."""
+    monkeypatch.setattr(boosting, "_fit_by_jobs", lambda *a: pytest.fail("a job for each step"))
+    df = spark.range(0, 150_000, 1, 3).selectExpr("double(id % 7) x", "double(id % 11) z", "double(id % 3) c", "int(id % 7 > 3) y")
+    trees, _, _ = boosting.fit(df, ["x", "z"], ["c"], [LEVELS], "y", boosting.BoostingParams(rounds=3, max_leaves=4))
+    assert [t.splits[0][1] for t in trees] == [0, 0, 0]
+
+
 def test_limits_of_leaves(spark):
     data = rows(300, 9)
     for p in (boosting.BoostingParams(rounds=2, max_leaves=4, min_leaf=40), boosting.BoostingParams(rounds=1, max_leaves=31, min_leaf=151), boosting.BoostingParams(rounds=1, max_leaves=2)):
