@@ -50,9 +50,8 @@ def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         path = scratch_dir(spark, "requests")
-        # requests arrive as many small files; spread them so scans are parallel
-        n = spark.sparkContext.defaultParallelism
-        derive_requests(spark, sf_dir).repartition(n, "request_id").write.parquet(path)
+        # written as derived: a file for each partition of the last join, whole payloads are never shuffled
+        derive_requests(spark, sf_dir).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 

@@ -93,3 +93,15 @@ def test_decode_dims(spark):
     assert r[0]["diag_1_label"] == "Heart failure" and r[0]["change_label"] == "Changed"
     assert r[1]["discharge_disposition_id_label"] == "Rehabilitation facility" and r[1]["diag_1_label"] is None
     assert r[1]["change_label"] == "No change"
+
+
+def test_whole_payloads_are_not_shuffled(spark, monkeypatch):
+    """Requests are stored as they are derived."""
+    from conftest import SF001
+    from caresignal.plans import inference_queries as q
+    monkeypatch.setattr(q, "_WRITTEN", {})
+    seen = []
+    real = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: seen.append(self.columns) or real(self, *a))
+    assert q.request_table(spark, SF001).select("request_id").distinct().count() == q.encounter_table(spark, SF001).count()
+    assert not any("payload" in c for c in seen)
