@@ -143,3 +143,8 @@ def test_logistic_penalises_the_intercept(spark, numeric, categorical):
     g = ones.T @ (w * (1 / (1 + np.exp(-ones @ b)) - y)) + b
     norm = sum(r["gradient_norm"] ** 2 for r in models.optimality(rough, df).collect()) ** 0.5
     assert abs(norm - np.linalg.norm(g)) < 1e-6
+
+
+def test_tasks_of_a_logistic_fit_do_not_grow_with_the_rows():
+    """35 million rows took 2,304 tasks in each of hundreds of jobs, all reporting to the driver."""
+    assert [models._logistic_tasks(n, 12) for n in (0, 9_000, 40_000, 576_000, 5_760_000, 34_560_000)] == [1, 1, 3, 24, 24, 35]
