@@ -148,3 +148,15 @@ def test_logistic_penalises_the_intercept(spark, numeric, categorical):
 def test_tasks_of_a_logistic_fit_do_not_grow_with_the_rows():
     """35 million rows took 2,304 tasks in each of hundreds of jobs, all reporting to the driver."""
     assert [models._logistic_tasks(n, 12) for n in (0, 9_000, 40_000, 576_000, 5_760_000, 34_560_000)] == [1, 1, 3, 24, 24, 35]
+
+
+def test_permuted_rows_are_derived_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    df = spark.createDataFrame([(k, k % 7, str(k % 3)) for k in range(60)], "encounter_id int, a int, b string")
+    long = models.permuted_long(df.mapInPandas(look, df.schema), ["a", "b"], repeats=2)
+    assert long.count() == 60 * 2 * 2 and seen.value == 60
