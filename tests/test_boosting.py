@@ -2,6 +2,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -101,6 +102,35 @@ def test_more_rows_than_before_are_grown_in_one_task(spark, monkeypatch):
     assert [t.splits[0][1] for t in trees] == [0, 0, 0]
 
 
+def test_rows_of_1_gb_of_tables_are_grown_in_one_task(spark, monkeypatch):
+    """7,200,000 rows took about 20 jobs a tree, 5,000 for a model; the trees are those of the jobs."""
+    df = spark.range(0, 1_100_000, 1, 4).selectExpr("double(id % 7) x", "double(hash(id) % 41) z", "double(id % 4) c", "int(id % 7 + hash(id) % 5 > 3) y")
+    fit = lambda: boosting.fit(df, ["x", "z"], ["c"], [LEVELS], "y", boosting.BoostingParams(rounds=2, max_leaves=6))[0]
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "_fit_by_jobs", lambda *a: pytest.fail("a job for each step"))
+        whole = fit()
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300_000)
+    assert [(t.splits, t.values) for t in whole] == [(t.splits, t.values) for t in fit()]
+
+
+def test_columns_that_share_a_code_have_their_own_sums():
+    rng = np.random.default_rng(3)
+    n, widths = 20_000, [5, 90, 3, 4, 300]
+    codes, y = np.array([rng.integers(0, w, n) for w in widths], np.uint32), rng.integers(0, 2, n)
+    held = boosting.Held(((codes[:, a:b], y[a:b]) for a, b in ((0, 7), (7, 15_000), (15_000, n))), n, 3, widths)
+    assert sorted(c for g in held.groups for c in g) == list(range(5)) and len(held.groups) < 5 and (held.y == y).all()
+    weight, rows = rng.integers(-1 << 30, 1 << 30, n), np.flatnonzero(rng.integers(0, 3, n) == 0)
+    for some in (rows, slice(None), rows[:0]):
+        got, at = held.sums(some, (weight.astype(float),)), 0
+        for c, w in enumerate(widths):
+            for v in range(w):
+                mine = codes[c][some] == v
+                assert got[:, at + v].tolist() == [weight[some][mine].sum(), mine.sum()]
+            at += w
+    for c in range(5):
+        assert (held.left(rows, c, 2) == (codes[c][rows] <= 2 if c < 3 else codes[c][rows] != 2)).all()
+
+
 def test_limits_of_leaves(spark):
     data = rows(300, 9)
     for p in (boosting.BoostingParams(rounds=2, max_leaves=4, min_leaf=40), boosting.BoostingParams(rounds=1, max_leaves=31, min_leaf=151), boosting.BoostingParams(rounds=1, max_leaves=2)):
