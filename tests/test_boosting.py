@@ -154,6 +154,25 @@ def test_missing_values_and_one_class(spark):
         boosting.fit(df.limit(0), ["x"], [], [], "y")
 
 
+def test_first_order_trees_are_those_of_mllib(spark, monkeypatch):
+    """250 trees took more than 1,000 jobs. A parameter that only MLlib knows asks for its estimator."""
+    rng = random.Random(8)
+    data = [(k, None if k % 17 == 0 else float(rng.randrange(12)), round(rng.gauss(0, 1), 1), rng.choice("abcd"), rng.choice(["u", "v", None])) for k in range(900)]
+    data = [(*r, int(rng.random() < 1 / (1 + math.exp(3 - (r[1] or 4) / 2 - r[2] + (r[3] == "b"))))) for r in data]
+    train = spark.createDataFrame(data, "encounter_id int, n double, z double, c string, d string, y int").repartition(3).cache()
+    params = models.mllib_gbt_spec(12).params
+
+    def probabilities(more):
+        fm = models.fit(train, ["n", "z"], ["c", "d"], models.ModelSpec("g", models.GBT, {**params, **more}, min_frequency=5, balanced=False))
+        assert len(fm.model.stages[-1].trees) == 12 and fm.model.stages[-1].treeWeights == [1.0] + [0.06] * 11
+        return [r["p"] for r in fm.score(train).orderBy("encounter_id").collect()]
+    want = probabilities({"subsamplingRate": 1.0})
+    monkeypatch.setattr(models, "GBTClassifier", lambda *a, **k: pytest.fail("MLlib's jobs"))
+    got = probabilities({})
+    assert len(set(got)) > 100 and got == pytest.approx(want, abs=1e-6)
+    train.unpersist()
+
+
 def test_l2_shrinks_leaf_values(spark):
     data = rows(300, 2)
     low, high = (max(abs(v) for t in fitted(spark, data, boosting.BoostingParams(rounds=1, l2=x), 1)[1][0] for v in t.values.values()) for x in (0.0, 50.0))
